@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from custlens.functions.joins import lookup_join
+
 BUCKETS_PER_E = 1024.0
 
 
@@ -111,25 +113,24 @@ def exact_quantiles(
     return cdf.groupBy(*by).agg(*aggs).select(*by, *outs)
 
 
-def average_percent_rank(df: DataFrame, value: Column | str, name: str, spread_by: str) -> DataFrame:
-    """Adds the average rank of ``value`` divided by its non-null count.
+def average_percent_ranks(df: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:
+    """Adds, per name, the average rank of a measure divided by its non-null count.
 
-    The value table is joined back; values held by many rows (one order, no
-    spend) are hot join keys and take the salted path of :func:`lookup_join`.
+    All measures are ranked together in long form, so ``df`` is read twice
+    however many there are. Values shared by many rows (one order, no spend)
+    are hot join keys; :func:`lookup_join` salts them.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    cdf = cumulative_counts(df, value)
+    long = df.select(key, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("measure"), x.cast("double").alias("value"))
+        for name, x in measures.items()
+    ])))
     pct = (F.col("below") + (F.col("n") + 1).cast("double") / 2.0) / F.col("total").cast("double")
-    table = cdf.select(
-        F.col("value").alias("_rank_key"), pct.alias(name), F.col("n").alias("_n"),
-        F.col("total").alias("_total"),
-    )
-    from custlens.functions.joins import lookup_join
-
-    keyed = df.withColumn("_rank_key", value.cast("double"))
-    return lookup_join(
-        keyed, table, "_rank_key", weight="_n", total=F.col("_total"), spread_by=[spread_by]
-    ).drop("_rank_key")
+    table = cumulative_counts(long, "value", ["measure"]).select("measure", "value", "n", pct.alias("pct"))
+    ranked = lookup_join(long, table, ["measure", "value"], weight="n", spread_by=[key])
+    wide = ranked.groupBy(key).agg(*[
+        F.max(F.when(F.col("measure") == name, F.col("pct"))).alias(name) for name in measures
+    ])
+    return df.join(wide, key, "left")
 
 
 def ordered_row_numbers(

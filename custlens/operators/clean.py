@@ -101,10 +101,9 @@ def description_modes(df: DataFrame) -> DataFrame:
 
 def standardize_descriptions(df: DataFrame) -> DataFrame:
     modes = description_modes(df)
-    total = modes.agg(F.sum("lines").alias("t")).scalar()
     own = F.upper(strip(F.coalesce("description", F.lit(""))))
     return (
-        lookup_join(df, modes, "stock_code", "lines", total, spread_by=["invoice", "quantity", "description"])
+        lookup_join(df, modes, ["stock_code"], "lines", spread_by=["invoice", "quantity", "description"])
         .withColumn("description", F.coalesce("mode_description", own))
         .drop("mode_description")
     )
