@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.plans import core_queries
+from custlens.plans import core_queries, model_queries, serving_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    return {**core_queries.QUERIES}
+    return {**core_queries.QUERIES, **serving_queries.QUERIES, **model_queries.QUERIES}

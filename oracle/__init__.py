@@ -1,7 +1,9 @@
 """SQL statements that check the registered queries in another engine."""
 
+from __future__ import annotations
+
 
 def all_sql() -> dict[str, str]:
-    from oracle import core
+    from oracle import core, models, serving
 
-    return {**core.ORACLE}
+    return {**core.ORACLE, **serving.ORACLE, **models.ORACLE}
