@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from custlens.functions.columns import round_even
 from custlens.functions.ranking import exact_quantiles
-from custlens.operators.splits import Scaler, fit_scaler
+from custlens.operators.splits import Scaler, fit_scaler, scaled_vectors
 
 FEATURES = (
     "recency_days", "frequency", "total_spend", "gross_spend", "avg_order_value", "avg_basket_size",
@@ -25,39 +26,29 @@ def mean_square(scaler: Scaler) -> Column:
 
 
 class SpendingProfile:
-    """Linear autoencoder: a projection to ``LATENT`` components and back.
+    """Linear autoencoder: a projection to ``LATENT`` components and back."""
 
-    Only the components (columns x latent numbers) and the scaler are kept.
-    """
-
-    def __init__(self, scaler: Scaler, components: list[list[float]]):
+    def __init__(self, scaler: Scaler, model: PCAModel):
         self.scaler = scaler
-        self.components = components
+        self.model = model
 
     @classmethod
     def fit(cls, df: DataFrame, columns: tuple[str, ...] = FEATURES, latent: int = LATENT) -> "SpendingProfile":
-        columns = [c for c in columns if c in df.columns]
-        scaler = fit_scaler(df, columns)
-        scaled = scaler.apply(df.fillna(0, subset=columns))
-        vectors = VectorAssembler(inputCols=columns, outputCol="x").transform(scaled)
-        model = PCA(k=latent, inputCol="x", outputCol="z").fit(vectors.select("x"))
-        return cls(scaler, model.pc.toArray().T.tolist())
+        scaler = fit_scaler(df, [c for c in columns if c in df.columns])
+        vectors = scaled_vectors(df, scaler, "_x").select("_x")
+        return cls(scaler, PCA(k=latent, inputCol="_x", outputCol="_z").fit(vectors))
 
-    def error(self) -> Column:
-        """Mean squared difference of a row and its reconstruction.
+    def with_error(self, df: DataFrame, name: str) -> DataFrame:
+        """Adds the mean squared difference of a row and its reconstruction.
 
         The components are orthonormal, so it is what the projection leaves over.
         """
-        x = [self.scaler.scaled(c) for c in self.scaler.columns]
-        whole = F.lit(0.0)
-        for v in x:
-            whole = whole + v * v
-        for component in self.components:
-            z = F.lit(0.0)
-            for v, w in zip(x, component):
-                z = z + v * F.lit(w)
-            whole = whole - z * z
-        return F.greatest(whole, F.lit(0.0)) / float(len(x))
+        def squares(v: str) -> Column:
+            return F.aggregate(vector_to_array(v), F.lit(0.0), lambda s, x: s + x * x)
+
+        both = self.model.transform(scaled_vectors(df, self.scaler, "_x"))
+        left = F.greatest(squares("_x") - squares("_z"), F.lit(0.0))
+        return both.withColumn(name, left / float(len(self.scaler.columns))).drop("_x", "_z")
 
 
 def anomaly_thresholds(df: DataFrame, error: str, percentile: float = 95.0) -> DataFrame:

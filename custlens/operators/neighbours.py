@@ -10,13 +10,12 @@ answers with at most k rows per query.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window, functions as F
 
 from custlens.functions.stages import written
 from custlens.operators.splits import SEED
@@ -30,22 +29,21 @@ SLACK = 1e-9
 _RESULT = "qid long, tid long, d double, y double"
 
 
-def _cells(train: DataFrame, cells: int | None) -> tuple[DataFrame, list[list[float]]]:
-    """Training rows with their cell, and the centroids (bounded by MAX_CELLS)."""
+def _cells(train: DataFrame, cells: int | None) -> tuple[DataFrame, np.ndarray]:
+    """Training rows with their cell, and the centroids (at most MAX_CELLS)."""
     if cells is None:
         cells = max(1, min(MAX_CELLS, int(math.sqrt(train.count()) / 4)))
-    vectors = train.withColumn("v", array_to_vector("x"))
     if cells == 1:
         width = len(train.first()["x"])
-        return train.withColumn("cell", F.lit(0)), [[0.0] * width]
+        return train.withColumn("cell", F.lit(0)), np.zeros((1, width))
+    vectors = train.withColumn("v", array_to_vector("x"))
     model = KMeans(k=cells, seed=SEED, featuresCol="v", predictionCol="cell", maxIter=10).fit(vectors)
-    placed = model.transform(vectors).drop("v")
-    return placed, [c.tolist() for c in model.clusterCenters()]
+    return model.transform(vectors).drop("v"), np.array(model.clusterCenters())
 
 
-def _distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
+def _to_centers(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``x`` to all centroids."""
+    return np.sqrt(np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1))
 
 
 def _search(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -71,9 +69,12 @@ def _search(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
 
 def _blocked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training rows with a block number, and cells with size, block count and radius."""
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("to_center").alias("radius")).withColumn(
-        "blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    """Training rows with a block number, and per cell its radius and block count."""
+    sizes = written(
+        placed.groupBy("cell").agg(
+            F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.max("to_center").alias("radius")
+        ),
+        "cells",
     )
     # At most MAX_CELLS rows.
     blocked = placed.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn(
@@ -82,8 +83,9 @@ def _blocked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocked, sizes
 
 
-def _visit_blocks(visits: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _visit_blocks(visits: DataFrame, blocked: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries repeated per block of the cell, training blocks per query block."""
+    visits = visits.join(F.broadcast(sizes.select("cell", "blocks")), "cell")
     q_blocks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("q_blocks"))
     q = visits.join(F.broadcast(q_blocks), "cell").select(
         "qid", "x", "cell", F.pmod(F.xxhash64("qid"), F.col("q_blocks")).cast("int").alias("q_block"),
@@ -104,36 +106,37 @@ def nearest_neighbours(
     Ties in distance go to the smaller tid.
     """
     placed, centers = _cells(train, cells)
-    spark = train.sparkSession
-    center_array = spark.createDataFrame([(centers,)], "centers array<array<double>>").scalar()
-    placed = placed.withColumn("to_center", _distance(F.col("x"), center_array[F.col("cell")]))
+
+    @F.pandas_udf("double")
+    def to_center(x: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series(np.sqrt(((np.stack(x) - centers[cell.to_numpy()]) ** 2).sum(axis=1)))
+
+    placed = written(placed.withColumn("to_center", to_center("x", "cell")), "knn_cells")
     blocked, sizes = _blocked(placed)
-    # At most MAX_CELLS entries: cell -> radius and number of blocks.
-    stats = sizes.agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("radius", "blocks")))).alias("m"))
-    cell_map = written(stats, "cells").scalar()
-    exists = lambda cell: F.map_contains_key(cell_map, cell)
-
-    def reach(x: Column) -> Column:
-        """Distance to the centroid of every non-empty cell."""
-        all_cells = F.transform(center_array, lambda c, i: F.struct(_distance(x, c).alias("d"), i.alias("cell")))
-        return F.filter(all_cells, lambda r: exists(r["cell"]))
-
-    located = queries.select("qid", "x").withColumn("home", F.array_min(reach(F.col("x")))["cell"])
-    home = located.select("qid", "x", F.col("home").alias("cell"), cell_map[F.col("home")]["blocks"].alias("blocks"))
-    nearest_first = written(_keep(_search(*_visit_blocks(home, blocked), k), k), "home_neighbours")
+    known = sizes.collect()  # at most MAX_CELLS rows
+    used = np.array([r.cell for r in known])
+    radius = np.array([r.radius for r in known])
+    used_centers = centers[used]
+
+    @F.pandas_udf("int")
+    def home_cell(x: pd.Series) -> pd.Series:
+        return pd.Series(used[_to_centers(np.stack(x), used_centers).argmin(axis=1)])
+
+    @F.pandas_udf("array<int>")
+    def cells_in_reach(x: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
+        near = _to_centers(np.stack(x), used_centers) - radius <= limit.to_numpy()[:, None] + SLACK
+        near &= used != home.to_numpy()[:, None]
+        return pd.Series([used[row] for row in near])
+
+    home = queries.select("qid", "x", home_cell("x").alias("cell"))
+    nearest_first = written(_keep(_search(*_visit_blocks(home, blocked, sizes), k), k), "home_neighbours")
     bound = nearest_first.groupBy("qid").agg(F.max("d").alias("bound"), F.count(F.lit(1)).alias("found"))
     # With fewer than k rows at home nothing can be ruled out.
-    limit = F.when(F.col("found") >= k, F.col("bound")).otherwise(F.lit(float("inf")))
-    others = (
-        located.join(bound, "qid", "left")
-        .select("qid", "x", "home", F.coalesce(limit, F.lit(float("inf"))).alias("limit"))
-        .withColumn("visit", F.filter(reach(F.col("x")), lambda r: (
-            (r["cell"] != F.col("home")) & (r["d"] - cell_map[r["cell"]]["radius"] <= F.col("limit") + SLACK)
-        )))
-        .select("qid", "x", F.explode("visit.cell").alias("cell"))
-        .select("qid", "x", "cell", cell_map[F.col("cell")]["blocks"].alias("blocks"))
+    limit = F.coalesce(F.when(F.col("found") >= k, F.col("bound")), F.lit(float("inf")))
+    others = home.join(bound, "qid", "left").select(
+        "qid", "x", F.explode(cells_in_reach("x", "cell", limit)).alias("cell")
     )
-    second = _search(*_visit_blocks(others, blocked), k)
+    second = _search(*_visit_blocks(others, blocked, sizes), k)
     return _keep(nearest_first.drop("place").unionByName(second), k)
 
 

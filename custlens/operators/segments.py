@@ -6,12 +6,11 @@ import math
 
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlens.functions.columns import round_even
 from custlens.functions.stages import written
-from custlens.operators.splits import SEED, Scaler, fit_scaler
+from custlens.operators.splits import SEED, Scaler, fit_scaler, fitting_rows, in_parallel, scaled_vectors
 
 FEATURES = (
     "recency_days", "frequency", "total_spend", "avg_basket_size", "velocity_acceleration",
@@ -19,20 +18,14 @@ FEATURES = (
 )
 
 
-def scaled_vectors(df: DataFrame, scaler: Scaler, output: str = "x") -> DataFrame:
-    """Adds the scaled columns as one vector; nulls count as 0."""
-    names = [f"_s{i}" for i in range(len(scaler.columns))]
-    filled = df.withColumns({
-        n: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(scaler.means[c])) / F.lit(scaler.deviations[c])
-        for n, c in zip(names, scaler.columns)
-    })
-    return VectorAssembler(inputCols=names, outputCol=output).transform(filled).drop(*names)
-
-
 def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 15, seed: int = SEED) -> KMeansModel:
     """The fit with the lowest cost over several seeds."""
-    fits = (KMeans(k=k, seed=seed + i, featuresCol="x", predictionCol="cluster_id").fit(vectors) for i in range(restarts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    with fitting_rows(vectors) as rows:
+        def fit(i: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed + i, featuresCol="x", predictionCol="cluster_id").fit(rows)
+
+        fits = in_parallel(fit, range(restarts))
+        return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def squared_silhouette(clustered: DataFrame, label: str = "cluster_id", features: str = "x") -> float:
@@ -94,8 +87,9 @@ def evaluate_cluster_range(vectors: DataFrame, ks: range = range(2, 8), restarts
 
 def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
     """Full-covariance mixture and its BIC."""
-    model = GaussianMixture(k=k, seed=seed, featuresCol="x", predictionCol="gmm_cluster_id", maxIter=100).fit(vectors)
-    n, d = vectors.count(), len(vectors.first()["x"])
+    with fitting_rows(vectors.select("x")) as rows:
+        model = GaussianMixture(k=k, seed=seed, featuresCol="x", predictionCol="gmm_cluster_id", maxIter=100).fit(rows)
+        n, d = rows.count(), len(rows.first()["x"])
     free = (k - 1) + k * d + k * d * (d + 1) // 2
     return model, -2.0 * model.summary.logLikelihood + free * math.log(n)
 
@@ -163,7 +157,7 @@ def segment_customers(
     """K-means segments with personas: (customers, profile, model, scaler)."""
     scaler = fit_scaler(df, [c for c in columns if c in df.columns])
     vectors = written(scaled_vectors(df, scaler), "segment_vectors")
-    model = fit_kmeans(vectors, k, restarts)
+    model = fit_kmeans(vectors.select("x"), k, restarts)
     clustered = model.transform(vectors).drop("x")
     profile = label_personas(segment_profile(clustered))
     return with_segment_names(clustered, profile), profile, model, scaler

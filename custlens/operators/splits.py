@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlens.functions.ranking import ordered_row_numbers
@@ -104,6 +109,48 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> Scaler:
     )
 
 
+def scaled_vectors(df: DataFrame, scaler: Scaler, output: str = "x") -> DataFrame:
+    """Adds the scaled columns as one vector; nulls count as 0."""
+    names = [f"_s{i}" for i in range(len(scaler.columns))]
+    filled = df.withColumns({
+        n: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(scaler.means[c])) / F.lit(scaler.deviations[c])
+        for n, c in zip(names, scaler.columns)
+    })
+    return VectorAssembler(inputCols=names, outputCol=output).transform(filled).drop(*names)
+
+
+ROWS_PER_TASK = 100_000
+FITS_AT_ONCE = 4
+
+
+def in_parallel(fit: Callable, items: Iterable) -> list:
+    """Independent fits from a few driver threads, as Spark's own cross-validation runs them."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(fit), items)
+
+
+@contextmanager
+def fitting_rows(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` cached for an iterative fit, with tasks of a useful size.
+
+    A fit runs many short jobs; a small table in many partitions would spend
+    them on task starts. A large table keeps its partitions.
+    """
+    cached = rows.cache()
+    try:
+        tasks = max(1, -(-cached.count() // ROWS_PER_TASK))
+        if tasks >= cached.rdd.getNumPartitions():
+            yield cached
+        else:
+            packed = cached.coalesce(tasks).cache()
+            try:
+                yield packed
+            finally:
+                packed.unpersist()
+    finally:
+        cached.unpersist()
+
+
 def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

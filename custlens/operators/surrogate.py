@@ -22,6 +22,7 @@ from custlens.operators.splits import SEED
 
 SAMPLES = 5000
 FEATURES = 6
+ROWS_PER_TASK = 64
 
 
 @dataclass
@@ -153,4 +154,6 @@ def local_surrogates(
         f"{key} {kind}, churn_probability double, surrogate_score double, "
         "factors array<struct<rule string, weight double, impact string>>"
     )
-    return df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(explain, schema)
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in names])
+    # A customer costs thousands of model calls, so tasks get few of them.
+    return rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK))).mapInPandas(explain, schema)

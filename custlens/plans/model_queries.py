@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import round_even
+from custlens.functions.stages import written
 from custlens.operators import anomaly, explain, linear, models, segments, sequences, splits, surrogate
 from custlens.operators.metrics import classifier_metrics, exact_auc, regressor_metrics
 from custlens.operators.neighbours import distance_vote, nearest_neighbours
@@ -117,16 +118,20 @@ def sequence_model(s, d):
     seq = sequences.purchase_sequences(order_events(tables.observed(s, d)))
     rows = training.splits(s, d, "churn").join(seq, "customer_id").select(
         "customer_id", "split", F.col("churn").cast("double").alias("label"), array_to_vector(F.flatten("sequence")).alias("features")
-    ).cache()
+    )
+    rows = written(rows, "sequence_rows")
     width = sequences.LENGTH * len(sequences.STEP)
-    model = MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=60, seed=splits.SEED).fit(rows.filter("split = 'train'"))
+    with splits.fitting_rows(rows.filter("split = 'train'")) as train:
+        model = MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=60, seed=splits.SEED).fit(train)
     scored = model.transform(rows.filter("split = 'test'")).withColumn("probability", vector_to_array("probability")[1])
     return classifier_metrics(scored, "label")
 
 
 def anomaly_scores(s, d):
     profile, p95, p99 = serving_plan.spending_profile(s, d)
-    f = tables.features(s, d).select("customer_id", round_even(profile.error(), 6).alias("reconstruction_error"))
+    f = profile.with_error(tables.features(s, d), "e").select(
+        "customer_id", round_even("e", 6).alias("reconstruction_error")
+    )
     return anomaly.anomaly_flags(f, "reconstruction_error", p95, p99)
 
 
@@ -142,7 +147,8 @@ def anomaly_thresholds(s, d):
 
 def kmeans_sweep(s, d):
     f = tables.features(s, d)
-    vectors = segments.scaled_vectors(f, splits.fit_scaler(f, list(segments.FEATURES))).select("x").cache()
+    vectors = splits.scaled_vectors(f, splits.fit_scaler(f, list(segments.FEATURES))).select("x")
+    vectors = written(vectors, "sweep_vectors")
     rows = segments.evaluate_cluster_range(vectors)
     return s.createDataFrame(rows, "k int, inertia double, silhouette_sq double, davies_bouldin double")
 
@@ -157,7 +163,7 @@ def kmeans_profile(s, d):
 
 def gmm_segments(s, d):
     f = tables.features(s, d)
-    vectors = segments.scaled_vectors(f, splits.fit_scaler(f, list(segments.FEATURES))).cache()
+    vectors = splits.scaled_vectors(f, splits.fit_scaler(f, list(segments.FEATURES)))
     model, bic = segments.fit_gmm(vectors, 4)
     return model.transform(vectors).select("customer_id", "gmm_cluster_id", F.lit(bic).alias("bic"))
 
@@ -170,7 +176,7 @@ def _labelled(s, d):
 
 def silhouette_fixed(s, d):
     f, scaler = _labelled(s, d)
-    value = segments.squared_silhouette(segments.scaled_vectors(f, scaler).withColumn("cluster_id", F.col("cluster_id").cast("double")))
+    value = segments.squared_silhouette(splits.scaled_vectors(f, scaler).withColumn("cluster_id", F.col("cluster_id").cast("double")))
     return s.createDataFrame([(value,)], "v double").select(round_even("v", 6).alias("silhouette_sq"))
 
 
@@ -234,13 +240,13 @@ def tree_importance(s, d):
 
 
 def local_surrogate(s, d):
-    """Local rules of the production tree model for every test customer."""
+    """Local rules of the production tree model for every customer."""
     name = serving_plan.tree_model(s, d)
     f = training.fitted(s, d, name)
     ensemble = load_ensemble(s, f.model, f.path)
     rows, names = training.splits(s, d, "churn"), training.columns(s, d)
     bins = surrogate.fit_bins(rows.filter("split = 'train'"), names)
-    out = surrogate.local_surrogates(rows.filter("split = 'test'"), bins, ensemble.probability)
+    out = surrogate.local_surrogates(rows, bins, ensemble.probability)
     return out.select("customer_id", "churn_probability", "surrogate_score", F.inline("factors"))
 
 

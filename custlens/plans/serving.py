@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from custlens.functions.columns import round_even
 from custlens.functions.ranking import exact_quantiles
-from custlens.functions.stages import input_version, stage
+from custlens.functions.stages import input_version, stage, written
 from custlens.operators import anomaly, models, segments, serving
 from custlens.operators.features import rfm_features
 from custlens.operators.metrics import spend_prediction
 from custlens.operators.scoring import MODEL_VERSION, SCORING_SCHEMA, score_batch
-from custlens.operators.splits import Scaler, fit_scaler
+from custlens.operators.splits import Scaler, fit_scaler, scaled_vectors
 from custlens.operators.trees import load_ensemble, with_tree_factors
 from custlens.plans import tables, training
 
@@ -162,7 +162,8 @@ def spending_profile(spark: SparkSession, folder: str) -> tuple[anomaly.Spending
     if key not in _profiles:
         f = tables.features(spark, folder)
         profile = anomaly.SpendingProfile.fit(f)
-        cuts = anomaly.anomaly_thresholds(f.select(profile.error().alias("e")), "e").first()
+        errors = written(profile.with_error(f, "e").select("e"), "errors")
+        cuts = anomaly.anomaly_thresholds(errors, "e").first()
         _profiles[key] = (profile, cuts.threshold_p95, cuts.threshold_p99)
     return _profiles[key]
 
@@ -196,9 +197,9 @@ def fitted_scorer(spark: SparkSession, folder: str, churn: str, clv: str) -> Cal
         out = VectorAssembler(inputCols=value_inputs, outputCol="features").transform(out).drop(*value_inputs)
         out = value.model.transform(out).withColumn("clv", spend_prediction(F.col("prediction"), value.spec.log_target))
         out = out.drop("features", "prediction")
-        out = kmeans.transform(segments.scaled_vectors(out, seg_scaler)).drop("x")
+        out = kmeans.transform(scaled_vectors(out, seg_scaler)).drop("x")
         out = segments.with_segment_names(out, personas)
-        out = out.withColumn("anomaly_error", profile.error()).withColumn("anomaly_limit", F.lit(p95))
+        out = profile.with_error(out, "anomaly_error").withColumn("anomaly_limit", F.lit(p95))
         return with_tree_factors(out, ensemble, names)
 
     return score

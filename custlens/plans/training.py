@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from custlens.functions.stages import input_version, new_path, stage
+from custlens.functions.stages import input_version, new_path, stage, written
 from custlens.operators import models
 from custlens.operators.metrics import classifier_metrics, regressor_metrics
 from custlens.operators.neighbours import distance_vote, nearest_neighbours
-from custlens.operators.splits import Scaler, assign_splits, fit_scaler, model_inputs
+from custlens.operators.splits import Scaler, assign_splits, fit_scaler, fitting_rows, in_parallel, model_inputs
 from custlens.plans import tables
 
 SPECS = {**models.CHURN_MODELS, **models.CLV_MODELS}
@@ -72,11 +72,8 @@ def fitted(spark: SparkSession, folder: str, name: str) -> Fitted:
     """The model, fitted and saved at its first use in the application."""
     key = _key(spark, folder, name)
     if key not in _fitted:
-        rows = model_rows(spark, folder, name).cache()
-        try:
+        with fitting_rows(model_rows(spark, folder, name)) as rows:
             model = models.fit_model(rows, SPECS[name])
-        finally:
-            rows.unpersist()
         path = new_path(spark, name)
         model.write().overwrite().save(path)
         _fitted[key] = Fitted(model, path, SPECS[name], target_of(name))
@@ -120,7 +117,7 @@ def evaluation(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Metrics on validation and test rows, one row each, from the run log."""
     def build() -> DataFrame:
         rows = knn_predictions(spark, folder) if name == "churn_knn" else predictions(spark, folder, name)
-        rows = rows.filter("split <> 'train'").cache()
+        rows = written(rows.filter("split <> 'train'"), "evaluated")
         parts = []
         for part in ("val", "test"):
             chosen = rows.filter(F.col("split") == part)
@@ -136,7 +133,13 @@ def evaluation(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def run_log(spark: SparkSession, folder: str, target: str) -> DataFrame:
     names = [*models.CHURN_MODELS, "churn_knn"] if target == "churn" else list(models.CLV_MODELS)
-    return reduce(DataFrame.unionByName, [evaluation(spark, folder, n) for n in names])
+    # Shared inputs first, so that the threads do not build them twice.
+    columns(spark, folder)
+    splits(spark, folder, target)
+    for name in names:
+        if name in SPECS:
+            model_rows(spark, folder, name)
+    return reduce(DataFrame.unionByName, in_parallel(lambda n: evaluation(spark, folder, n), names))
 
 
 def comparison(spark: SparkSession, folder: str, target: str) -> DataFrame:
