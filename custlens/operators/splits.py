@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from custlens.functions.ranking import ordered_row_numbers
 
@@ -126,7 +126,7 @@ FITS_AT_ONCE = 4
 def in_parallel(fit: Callable, items: Iterable) -> list:
     """Independent fits from a few driver threads, as Spark's own cross-validation runs them."""
     with ThreadPool(FITS_AT_ONCE) as pool:
-        return pool.map(inheritable_thread_target(fit), items)
+        return pool.map(inheritable_thread_target(SparkSession.active())(fit), items)
 
 
 @contextmanager

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from custlens.functions.stages import written
 from custlens.sources.invoices import DataValidationError
 
 CORRUPT = "_corrupt"
@@ -26,14 +27,14 @@ def read_scoring_csv(spark: SparkSession, path: str, schema: T.StructType) -> tu
         spark.read.schema(with_corrupt).option("header", True)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in header]
-    present = [F.col(f"`{f.name}`") for f in schema.fields if f.name in header]
+    # Spark parses only the columns a query asks for; written whole, every bad cell is seen.
+    rows = written(rows, "upload")
     if rows.isEmpty():
         raise DataValidationError("scoring input has no rows")
-    # Spark refuses queries on the corrupt column alone, so a parsed column goes along.
-    bad = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(f"`{header[0]}`").alias("first_column"), CORRUPT)
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in header]
+    present = [F.col(f"`{f.name}`") for f in schema.fields if f.name in header]
     good = rows.filter(F.col(CORRUPT).isNull()).select(*present, *missing).select(*schema.fieldNames())
-    return good, bad
+    return good, rows.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

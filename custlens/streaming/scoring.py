@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from custlens.operators.scoring import SCORING_SCHEMA, score_batch
+from custlens.sources.uploads import CORRUPT
 
 
 def write_scored_batch(
@@ -21,7 +22,22 @@ def write_scored_batch(
     customer is counted twice. Of several records of
     one customer in a batch, the one with the highest risk is kept.
     """
-    scored, rejected = score_batch(batch, scorer, version, scored_at)
+    batch = batch.persist()  # parsed once, with all columns, so that every bad cell is seen
+    try:
+        _write(batch, batch_id, folder, scorer, version, scored_at)
+    finally:
+        batch.unpersist()
+
+
+def _write(batch, batch_id, folder, scorer, version, scored_at) -> None:
+    if CORRUPT not in batch.columns:
+        batch = batch.withColumn(CORRUPT, F.lit(None).cast("string"))
+    unreadable = batch.filter(F.col(CORRUPT).isNotNull())
+    scored, rejected = score_batch(batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), scorer, version, scored_at)
+    reasons = F.array(F.lit("unreadable cell"))
+    rejected = rejected.withColumn(CORRUPT, F.lit(None).cast("string")).unionByName(
+        unreadable.withColumn("reject_reasons", reasons)
+    )
     named = scored.filter(F.col("customer_id").isNotNull())
     others = [c for c in named.columns if c != "customer_id"]
     once = named.groupBy("customer_id").agg(F.max_by(F.struct(*others), "churn_probability").alias("row"))
@@ -36,7 +52,8 @@ def start_scoring(
 ) -> StreamingQuery:
     """Reads new CSV files under ``source`` and writes results under ``folder``."""
     records = (
-        spark.readStream.schema(SCORING_SCHEMA).option("header", True)
+        spark.readStream.schema(T.StructType([*SCORING_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]))
+        .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .option("maxFilesPerTrigger", files_per_batch).csv(source)
     )
     writer = records.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(
