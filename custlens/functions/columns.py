@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MICROS_PER_DAY = 86_400_000_000.0
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -36,7 +36,8 @@ def round_exact(x: Column | str, digits: int) -> Column:
 
     ``x * scale`` can land on a tie through its own rounding error. The error
     is recovered exactly by splitting ``x`` and decides such ties; everything
-    stays in generated code.
+    stays in generated code. ``x`` is used many times over: for long
+    expressions use :func:`rounded_exact`.
     """
     x = col(x).cast("double")
     scale = float(10**digits)
@@ -53,6 +54,22 @@ def round_exact(x: Column | str, digits: int) -> Column:
     return rounded / scale + F.lit(0.0)
 
 
+def rounded_exact(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Rounds columns of ``df`` in place, like :func:`round_exact`, on computed values."""
+    def text(x: str, n: int) -> str:
+        scale = f"{10**n}.0D"
+        high = f"({x} * {_SPLIT}D - ({x} * {_SPLIT}D - {x}))"
+        error = f"(({high} * {scale} - {x} * {scale}) + ({x} - {high}) * {scale})"
+        down = f"double(floor({x} * {scale}))"
+        tie = f"({x} * {scale} - {down} = 0.5D)"
+        return (
+            f"CASE WHEN {tie} AND {error} > 0D THEN {down} + 1D WHEN {tie} AND {error} < 0D THEN {down} "
+            f"ELSE rint({x} * {scale}) END / {scale} + 0D"
+        )
+
+    return df.withColumns({c: F.expr(text(f"`{c}`", n)) for c, n in digits.items()})
+
+
 def cents(amount: Column | str) -> Column:
     """A money amount with two decimals as a whole number, so that sums are exact."""
     return F.rint(col(amount) * 100.0).cast("bigint")

@@ -1,9 +1,11 @@
-"""Exact order statistics without a one-task sort.
+"""Exact order statistics without an unbounded one-task sort.
 
 A window without PARTITION BY moves the whole table into one task, and an
 exact percentile aggregate keeps all values of a group in one buffer. Here a
-column is first reduced to (value, count), then split into ordered buckets
-whose number is bounded, and only the per-bucket totals meet in one task.
+column is first reduced to (value, count), and that table is written. If no
+group of it has more than ``ONE_TASK_VALUES`` values, a window per group orders
+it. Otherwise it is cut into ordered buckets whose number is bounded, and only
+the per-bucket totals meet in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlens.functions.joins import lookup_join
+from custlens.functions.stages import written
 
 BUCKETS_PER_E = 1024.0
+ONE_TASK_VALUES = 1_000_000
 
 
 def value_bucket(x: Column) -> Column:
@@ -47,27 +51,27 @@ def cumulative_counts(
     present = F.col("value").isNotNull() & ~F.isnan("value")
     for key in by:
         present = present & F.col(key).isNotNull()
-    counts = (
-        rows.filter(present)
-        .withColumn("bucket", value_bucket(F.col("value")))
-        .groupBy(*by, "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums])
+    counts = written(
+        rows.filter(present).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums]),
+        "value_counts",
     )
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy(*by)
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if _largest_group(counts, by) <= ONE_TASK_VALUES:
+        return counts.select(
+            *by, "value", "n", (F.sum("n").over(running(group.orderBy("value"))) - F.col("n")).alias("below"),
+            F.sum("n").over(group).alias("total"), *sums,
+        )
+    counts = counts.withColumn("bucket", value_bucket(F.col("value")))
     totals = (
         counts.groupBy(*by, "bucket")
         .agg(F.sum("n").alias("bucket_n"))
-        .withColumn("before", F.sum("bucket_n").over(upto) - F.col("bucket_n"))
+        .withColumn("before", F.sum("bucket_n").over(running(group.orderBy("bucket"))) - F.col("bucket_n"))
         .withColumn("total", F.sum("bucket_n").over(group))
     )
     if keep_buckets is not None:
         totals = totals.filter(keep_buckets)
-    inside = (
-        Window.partitionBy(*by, "bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    inside = running(Window.partitionBy(*by, "bucket").orderBy("value"))
     return (
         counts.join(totals, [*by, "bucket"])
         .withColumn("below", F.col("before") + F.sum("n").over(inside) - F.col("n"))
@@ -75,12 +79,20 @@ def cumulative_counts(
     )
 
 
+def _largest_group(counts: DataFrame, by: Sequence[str]) -> int:
+    """Most distinct values of a group; one number."""
+    if not by:
+        return counts.count()
+    return counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
 def exact_quantiles(
     df: DataFrame, value: Column | str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Linear-interpolation quantiles, one row per group, one column per name.
+    """Linear-interpolation quantiles and the ``total`` of values, one row per
+    group, one column per name.
 
-    Only the buckets that hold a wanted rank are ordered.
+    With buckets, only those that hold a wanted rank are ordered.
     """
     def ranks(p: float) -> tuple[Column, Column, Column]:
         position = (F.col("total") - 1).cast("double") * F.lit(float(p))
@@ -110,7 +122,7 @@ def exact_quantiles(
             F.when(t >= 0.5, hi - (hi - lo) * (1.0 - t)).otherwise(lo + (hi - lo) * t)
         )
         outs.append(F.when(t == 0, lo).otherwise(mix).alias(name))
-    return cdf.groupBy(*by).agg(*aggs).select(*by, *outs)
+    return cdf.groupBy(*by).agg(*aggs).select(*by, *outs, "total")
 
 
 def average_percent_ranks(df: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:

@@ -115,18 +115,16 @@ def add_line_amount(df: DataFrame) -> DataFrame:
 
 def outlier_bounds(df: DataFrame, multiplier: float = 5.0) -> DataFrame:
     """One row: caps for quantity and price from the quartiles of the sale lines."""
-    sales = df.filter(~F.col("is_return"))
-    quartiles = {"q1": 0.25, "q3": 0.75}
-    caps = []
-    for name, floor in (("quantity", QUANTITY_FLOOR), ("price", PRICE_FLOOR)):
-        q = exact_quantiles(sales, name, quartiles)
-        cap = F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))
-        caps.append(q.select(F.greatest(cap, F.lit(floor)).alias("cap"), F.lit(name).alias("measure")))
-    both = caps[0].unionByName(caps[1])  # two rows
-    return both.agg(
-        F.max(F.when(F.col("measure") == "quantity", F.col("cap"))).alias("max_quantity"),
-        F.max(F.when(F.col("measure") == "price", F.col("cap"))).alias("max_price"),
-    )
+    floors = {"quantity": QUANTITY_FLOOR, "price": PRICE_FLOOR}
+    sales = df.filter(~F.col("is_return")).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("value")) for name in floors
+    ])))
+    quartiles = exact_quantiles(sales, "value", {"q1": 0.25, "q3": 0.75}, by=["measure"])
+    cap = F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))
+    return quartiles.agg(*[
+        F.greatest(F.max(F.when(F.col("measure") == name, cap)), F.lit(floor)).alias(f"max_{name}")
+        for name, floor in floors.items()
+    ])
 
 
 def is_outlier(bounds: DataFrame) -> Column:

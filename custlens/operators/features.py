@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custlens.functions.columns import clip, days_before, days_between, money, ratio, round_even, round_exact, timestamp
+from custlens.functions.columns import clip, days_before, days_between, money, ratio, round_even, rounded_exact, timestamp
 from custlens.functions.ranking import average_percent_ranks
 from custlens.functions.stages import written
 from custlens.operators import orders as rollup
@@ -54,6 +54,7 @@ def rfm_columns(cutoff: datetime) -> list[Column]:
 
 
 def velocity_columns(cutoff: datetime) -> list[Column]:
+    """Not rounded yet, see VELOCITY_DIGITS."""
     n = F.when(has_sales(), F.col("orders")).cast("double")
     tenure = clip(days_between(F.col("first_order"), timestamp(cutoff)), low=1.0)
     span = clip(days_between(F.col("first_order"), F.col("last_order")), low=0.0)
@@ -63,19 +64,23 @@ def velocity_columns(cutoff: datetime) -> list[Column]:
     recent = F.when(has_sales(), F.col("recent_orders"))
     pace = recent / F.greatest(n / tenure * 90.0, F.lit(0.1))
     return [
-        round_exact(tenure, 1).alias("tenure_days"),
-        round_exact(span, 1).alias("days_active_span"),
-        round_exact(F.when(n > 1, span / gaps).otherwise(tenure), 2).alias("inter_purchase_mean"),
-        round_exact(
-            F.when(n.isNull(), None).when(gaps > 1, F.sqrt(spread) / gaps).otherwise(0.0), 2
-        ).alias("inter_purchase_std"),
+        tenure.alias("tenure_days"),
+        span.alias("days_active_span"),
+        F.when(n > 1, span / gaps).otherwise(tenure).alias("inter_purchase_mean"),
+        F.when(n.isNull(), None).when(gaps > 1, F.sqrt(spread) / gaps).otherwise(0.0).alias("inter_purchase_std"),
         F.when(n.isNotNull(), (n == 1).cast("int")).alias("is_single_order"),
         recent.alias("recent_orders_last_90d"),
-        round_exact(recent / n, 4).alias("recent_orders_ratio"),
-        round_exact(clip(pace, 0.0, 10.0), 4).alias("velocity_acceleration"),
+        (recent / n).alias("recent_orders_ratio"),
+        clip(pace, 0.0, 10.0).alias("velocity_acceleration"),
     ]
 
 
+VELOCITY_DIGITS = {
+    "tenure_days": 1, "days_active_span": 1, "inter_purchase_mean": 2, "inter_purchase_std": 2,
+    "recent_orders_ratio": 4, "velocity_acceleration": 4,
+}
+
+
 def behavior_columns(categories: tuple[str, ...] = CATEGORIES) -> list[Column]:
     sold = has_sales()
     gross = money("gross_cents")
@@ -120,7 +125,7 @@ def velocity_features(lines: DataFrame, cutoff: datetime | None = None) -> DataF
     """Customers with a sale only."""
     lines, cutoff = _bounded(lines, cutoff)
     facts = customer_facts(lines, cutoff, products=False, country=False)
-    return facts.filter(has_sales()).select("customer_id", *velocity_columns(cutoff))
+    return rounded_exact(facts.filter(has_sales()).select("customer_id", *velocity_columns(cutoff)), VELOCITY_DIGITS)
 
 
 def behavior_features(
@@ -250,7 +255,7 @@ def customer_features(
         "primary_country", "is_uk",
     )
     # Ranks read the blocks several times; the lines behind them only once.
-    blocks = written(blocks, "feature_blocks")
+    blocks = written(rounded_exact(blocks, VELOCITY_DIGITS), "feature_blocks")
     scored = engagement_scores(blocks)
     labels = forward_targets(lines, cutoff, window_days, customers=blocks)
     merged = scored.join(labels, "customer_id", "left")

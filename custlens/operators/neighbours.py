@@ -23,6 +23,7 @@ from custlens.operators.splits import SEED
 NEIGHBOURS = 15
 BLOCK_ROWS = 4096
 MAX_CELLS = 1024
+QUERY_ROWS = 256
 # Distances of the pruning test carry rounding errors of the centroid arithmetic.
 SLACK = 1e-9
 
@@ -52,17 +53,21 @@ def _search(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         if queries.empty or rows.empty:
             return pd.DataFrame({"qid": [], "tid": [], "d": [], "y": []})
         x, ids, y = np.stack(rows["x"]), rows["tid"].to_numpy(), rows["y"].to_numpy()
+        q = np.stack(queries["x"])
+        size, q_size = (x**2).sum(axis=1), (q**2).sum(axis=1)
         found = []
-        for qid, q in zip(queries["qid"], queries["x"]):
-            d = np.sqrt(((x - q) ** 2).sum(axis=1))
-            if len(d) > k:
-                limit = np.partition(d, k - 1)[k - 1]
-                near = np.flatnonzero(d <= limit)
-            else:
-                near = np.arange(len(d))
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            found.append(pd.DataFrame({"qid": qid, "tid": ids[near], "d": d[near], "y": y[near]}))
-        return pd.concat(found)
+        for start in range(0, len(q), QUERY_ROWS):
+            part = slice(start, start + QUERY_ROWS)
+            # Quick squared distances pick the candidates, with room for their rounding errors.
+            quick = size + q_size[part, None] - 2.0 * (q[part] @ x.T)
+            room = 1e-9 * (size.max() + q_size[part] + 1.0)
+            limit = np.partition(quick, k - 1, axis=1)[:, k - 1] + room if len(x) > k else np.full(len(quick), np.inf)
+            for i, qid in enumerate(queries["qid"].iloc[part]):
+                near = np.flatnonzero(quick[i] <= limit[i])
+                d = np.sqrt(((x[near] - q[start + i]) ** 2).sum(axis=1))
+                best = np.lexsort((ids[near], d))[:k]
+                found.append((np.full(len(best), qid), ids[near[best]], d[best], y[near[best]]))
+        return pd.DataFrame(dict(zip(("qid", "tid", "d", "y"), map(np.concatenate, zip(*found)))))
 
     keys = ["cell", "block", "q_block"]
     return visits.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(nearest, _RESULT)

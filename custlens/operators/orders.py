@@ -138,8 +138,7 @@ def product_reference_prices(lines: DataFrame) -> DataFrame:
     """Median sale price per product, and its number of sale lines."""
     sales = lines.filter(sale() & F.col("stock_code").isNotNull())
     median = exact_quantiles(sales, "price", {"reference_price": 0.5}, by=["stock_code"])
-    counted = sales.groupBy("stock_code").agg(F.count(F.lit(1)).alias("sale_lines"))
-    return counted.join(median, "stock_code")
+    return median.withColumnRenamed("total", "sale_lines")
 
 
 def customer_product_facts(lines: DataFrame, with_discounts: bool = True) -> DataFrame:

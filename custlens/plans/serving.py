@@ -71,6 +71,13 @@ class RuleScorer:
 
 
 def rule_scorer(spark: SparkSession, folder: str) -> RuleScorer:
+    key = (spark.sparkContext.applicationId, folder, input_version(spark, folder))
+    if key not in _rule_scorers:
+        _rule_scorers[key] = _fit_rule_scorer(spark, folder)
+    return _rule_scorers[key]
+
+
+def _fit_rule_scorer(spark: SparkSession, folder: str) -> RuleScorer:
     f = tables.features(spark, folder)
     scaler = fit_scaler(f, list(anomaly.FEATURES))
     errors = f.select(anomaly.mean_square(scaler).alias("e"))
@@ -168,6 +175,7 @@ def spending_profile(spark: SparkSession, folder: str) -> tuple[anomaly.Spending
     return _profiles[key]
 
 
+_rule_scorers: dict[tuple, RuleScorer] = {}
 _segmented: dict[tuple, tuple] = {}
 _profiles: dict[tuple, tuple] = {}
 

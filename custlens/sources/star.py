@@ -14,12 +14,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions a source that has fewer splits than the cluster has cores.
+
+    One small file arrives as one task. A source with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
     order = table(spark, folder, "orders")
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation")  # 25 rows at every scale
-    part = table(spark, folder, "part")
+    name = F.col("p_name")
+    # Texts that depend on the part alone are made once per part.
+    part = table(spark, folder, "part").select(
+        "p_partkey", "p_name", F.concat(name, F.lit(" v2")).alias("variant"),
+        F.concat(F.lit("  "), F.upper(name)).alias("shouted"),
+        F.concat(
+            F.lpad(F.regexp_extract("p_brand", "([0-9]+)", 1), 2, "0"),
+            F.lpad(F.col("p_partkey").cast("string"), 6, "0"),
+        ).alias("code"),
+    )
     base = (
         line.join(order, line.l_orderkey == order.o_orderkey)
         .join(customer, F.col("o_custkey") == customer.c_custkey)
@@ -29,19 +47,14 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     order_key, line_no = F.col("l_orderkey"), F.col("l_linenumber")
     cancelled = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
-    supplier = F.col("l_suppkey") % 50
-    code = F.concat(
-        F.lpad(F.regexp_extract("p_brand", "([0-9]+)", 1), 2, "0"),
-        F.lpad(F.col("l_partkey").cast("string"), 6, "0"),
-    )
-    name, qty = F.col("p_name"), F.col("l_quantity")
+    supplier, qty = F.col("l_suppkey") % 50, F.col("l_quantity")
     copies = F.when(order_key % 25 == 3, 2).otherwise(1)
     return base.select(
         F.concat(F.when(cancelled, "C").otherwise(""), order_key.cast("string")).alias("invoice"),
         F.when(supplier == 0, "POST").when(supplier == 1, "BANK CHARGES")
-        .when(supplier == 2, "m ").otherwise(code).alias("stock_code"),
-        F.when(line_no == 5, "").when(line_no == 2, F.concat(name, F.lit(" v2")))
-        .when(line_no == 3, F.concat(F.lit("  "), F.upper(name))).otherwise(name).alias("description"),
+        .when(supplier == 2, "m ").otherwise(F.col("code")).alias("stock_code"),
+        F.when(line_no == 5, "").when(line_no == 2, F.col("variant"))
+        .when(line_no == 3, F.col("shouted")).otherwise(F.col("p_name")).alias("description"),
         F.when(order_key % 1000 == 7, qty * 1000)
         .when((line_no == 7) & (order_key % 10 == 1), 0.0)
         .when(returned & (F.col("l_partkey") % 4 != 0), -qty).otherwise(qty).alias("quantity"),
