@@ -79,6 +79,12 @@ def money(whole_cents: Column | str) -> Column:
     return col(whole_cents).cast("double") / 100.0
 
 
+def exact_mean(x: Column | str) -> Column:
+    """Mean from a decimal sum with six digits, so that row order cannot change it."""
+    total = F.sum(col(x).cast("decimal(28,6)")).cast("double")
+    return F.when(F.count(col(x)) > 0, total / F.count(col(x)))
+
+
 def days_between(start: Column | str, end: Column | str) -> Column:
     """Fractional days from ``start`` to ``end``."""
     return F.timestamp_diff("MICROSECOND", col(start), col(end)).cast("double") / MICROS_PER_DAY

@@ -103,7 +103,7 @@ def standardize_descriptions(df: DataFrame) -> DataFrame:
     modes = description_modes(df)
     own = F.upper(strip(F.coalesce("description", F.lit(""))))
     return (
-        lookup_join(df, modes, ["stock_code"], "lines", spread_by=["invoice", "quantity", "description"])
+        lookup_join(df, modes, ["stock_code"], "lines", spread_by=["customer_id", "invoice", "quantity", "price", "description"])
         .withColumn("description", F.coalesce("mode_description", own))
         .drop("mode_description")
     )

@@ -147,7 +147,7 @@ def customer_product_facts(lines: DataFrame, with_discounts: bool = True) -> Dat
     if with_discounts:
         prices = product_reference_prices(lines)
         sales = lookup_join(
-            sales, prices, ["stock_code"], "sale_lines", spread_by=["customer_id", "invoice", "quantity"]
+            sales, prices, ["stock_code"], "sale_lines", spread_by=["customer_id", "invoice", "quantity", "price"]
         )
         cheap = F.coalesce(F.col("price") < F.col("reference_price") * 0.90, F.lit(False))
     else:

@@ -8,7 +8,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from custlens.functions.columns import round_even
+from custlens.functions.columns import exact_mean, round_even
 from custlens.functions.stages import written
 from custlens.operators.splits import SEED, Scaler, fit_scaler, fitting_rows, in_parallel, scaled_vectors
 
@@ -104,7 +104,7 @@ def segment_profile(df: DataFrame, label: str = "cluster_id") -> DataFrame:
     counts = df.groupBy(label).agg(
         F.count("customer_id").alias("customer_count"),
         *[
-            (round_even(F.avg(F.col(c).cast("double")), 2) if c in df.columns else F.count(F.lit(1)).cast("double")).alias(name)
+            (round_even(exact_mean(c), 2) if c in df.columns else F.count(F.lit(1)).cast("double")).alias(name)
             for c, name in means.items()
         ],
     )

@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custlens.functions.columns import cents, round_even, round_exact, timestamp
+from custlens.functions.columns import cents, exact_mean, round_even, round_exact, timestamp
 from custlens.functions.ranking import exact_quantiles
 from custlens.operators.scoring import risk_tier
 
@@ -122,24 +122,31 @@ def rfm_metrics(features: DataFrame) -> DataFrame:
 def customer_360(
     customers: DataFrame, segments: DataFrame, predictions: DataFrame, anomalies: DataFrame, features: DataFrame
 ) -> DataFrame:
-    """Master data, segment, prediction history (newest first), latest anomaly and RFM per customer."""
-    fields = [c for c in predictions.columns if c not in ("customer_id", "scored_at")]
-    history = predictions.groupBy("customer_id").agg(
-        F.sort_array(F.collect_list(F.struct("scored_at", *fields)), asc=False).alias("historical_predictions")
-    )
-    segment = segments.select("customer_id", F.struct("segment_id", "segment_name", "engagement_score", "updated_at").alias("segment"))
-    anomaly = latest(anomalies, "flagged_at")
-    anomaly = anomaly.select("customer_id", F.struct(*[c for c in anomaly.columns if c != "customer_id"]).alias("latest_anomaly"))
-    rfm = rfm_metrics(features)
-    rfm = rfm.select("customer_id", F.struct(*[c for c in rfm.columns if c != "customer_id"]).alias("rfm_metrics"))
+    """Master data, segment, latest prediction and their number, latest anomaly and RFM per customer.
+
+    The predictions themselves stay rows, see :func:`prediction_history`.
+    """
+    def nested(df: DataFrame, name: str) -> DataFrame:
+        return df.select("customer_id", F.struct(*[c for c in df.columns if c != "customer_id"]).alias(name))
+
+    counts = predictions.groupBy("customer_id").agg(F.count(F.lit(1)).alias("historical_predictions_count"))
     return (
-        customers.join(segment, "customer_id", "left").join(history, "customer_id", "left")
-        .join(anomaly, "customer_id", "left").join(rfm, "customer_id", "left")
-        .withColumn("latest_prediction", F.try_element_at("historical_predictions", F.lit(1)))
-        .withColumn("historical_predictions_count", F.coalesce(F.array_size("historical_predictions"), F.lit(0)))
+        customers.join(nested(segments, "segment"), "customer_id", "left")
+        .join(nested(latest(predictions, "scored_at"), "latest_prediction"), "customer_id", "left")
+        .join(counts, "customer_id", "left")
+        .join(nested(latest(anomalies, "flagged_at"), "latest_anomaly"), "customer_id", "left")
+        .join(nested(rfm_metrics(features), "rfm_metrics"), "customer_id", "left")
+        .fillna(0, subset=["historical_predictions_count"])
     )
 
 
+def prediction_history(predictions: DataFrame, customer_id: int | None = None) -> DataFrame:
+    """All predictions, of one customer if given, newest first."""
+    if customer_id is None:
+        return predictions.orderBy("customer_id", F.desc("scored_at"))
+    return predictions.filter(F.col("customer_id") == customer_id).orderBy(F.desc("scored_at"))
+
+
 def customer_page(
     customers: DataFrame, segments: DataFrame, predictions: DataFrame, features: DataFrame,
     limit: int = 20, offset: int = 0,
@@ -218,11 +225,10 @@ def fixed_sample(df: DataFrame, n: int, seed: int = 42, key: str = "customer_id"
 
 
 def segment_summary(cohort: DataFrame) -> DataFrame:
-    mean = lambda c: F.avg(F.col(c).cast("double"))
     return cohort.groupBy("segment_name").agg(
-        F.count("customer_id").alias("customers"), mean("total_spend").alias("avg_spend"),
-        mean("frequency").alias("avg_freq"), mean("recency_days").alias("avg_recency"),
-        mean("predicted_clv").alias("avg_clv"), mean("churn_probability").alias("churn_risk"),
+        F.count("customer_id").alias("customers"), exact_mean("total_spend").alias("avg_spend"),
+        exact_mean("frequency").alias("avg_freq"), exact_mean("recency_days").alias("avg_recency"),
+        exact_mean("predicted_clv").alias("avg_clv"), exact_mean("churn_probability").alias("churn_risk"),
     )
 
 

@@ -182,7 +182,7 @@ _profiles: dict[tuple, tuple] = {}
 
 def tree_model(spark: SparkSession, folder: str) -> str:
     """The tree model in production: the best one by the run log."""
-    return training.picked(spark, folder, "churn", only=TREE_MODELS)
+    return training.picked(spark, folder, "churn", TREE_MODELS)
 
 
 def fitted_scorer(spark: SparkSession, folder: str, churn: str, clv: str) -> Callable[[DataFrame], DataFrame]:

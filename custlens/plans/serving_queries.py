@@ -80,19 +80,22 @@ def customer_360(s, d):
     full = serving.customer_360(
         h["customers"], h["customer_segments"], h["predictions"], h["anomaly_reports"], tables.features(s, d)
     )
-    history = F.array_join(F.transform(
-        "historical_predictions", lambda p: F.concat(F.date_format(p["scored_at"], "yyyy-MM-dd"), F.lit(" "), p["risk_tier"])
-    ), "; ")
     return full.select(
         "customer_id", "country", "first_order_date", "last_order_date", "is_uk",
         "segment.segment_name", F.col("latest_prediction.churn_probability").alias("latest_probability"),
-        F.col("latest_prediction.scored_at").alias("latest_scored_at"), history.alias("history"),
+        F.col("latest_prediction.scored_at").alias("latest_scored_at"),
         F.col("historical_predictions_count").alias("predictions"),
         F.col("latest_anomaly.reconstruction_error").alias("latest_error"), "latest_anomaly.is_anomaly_95",
         "rfm_metrics.recency_days", "rfm_metrics.frequency", "rfm_metrics.total_spend", "rfm_metrics.return_rate",
     )
 
 
+def prediction_history(s, d):
+    return serving.prediction_history(plan.histories(s, d)["predictions"]).select(
+        "customer_id", "scored_at", "churn_probability", "risk_tier"
+    )
+
+
 def customer_page(s, d):
     h = plan.histories(s, d)
     page = serving.customer_page(
@@ -133,8 +136,7 @@ def tier_counts(s, d):
 
 
 def segment_filter(s, d):
-    kept = serving.segment_filter(plan.cohort(s, d), personas=["At-Risk / Lapsed", "High-Value Inactive", "VIP Champions"])
-    return kept.select("customer_id", "segment_name", "total_spend")
+    return serving.segment_filter(plan.cohort(s, d)).select("customer_id", "segment_name", "total_spend")
 
 
 def fixed_sample(s, d):
@@ -178,7 +180,7 @@ QUERIES = {
     for f in (
         impute_features, reject_rows, risk_tier, batch_summary, batch_export, serving_customers, serving_segments,
         serving_predictions, serving_anomalies, upsert_customers, upsert_segments, append_predictions,
-        append_anomalies, customer_360, customer_page, cohort_view, cohort_view_unscored, kpis, tier_counts,
+        append_anomalies, customer_360, prediction_history, customer_page, cohort_view, cohort_view_unscored, kpis, tier_counts,
         segment_filter, fixed_sample, segment_summary, leaderboard, leaderboard_total, stream_score, batch_score,
     )
 }

@@ -131,8 +131,10 @@ def evaluation(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stage(spark, folder, f"run_{name}", build)
 
 
-def run_log(spark: SparkSession, folder: str, target: str) -> DataFrame:
-    names = [*models.CHURN_MODELS, "churn_knn"] if target == "churn" else list(models.CLV_MODELS)
+def run_log(spark: SparkSession, folder: str, target: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """Evaluation rows of all models of a target, or of the named ones."""
+    every = (*models.CHURN_MODELS, "churn_knn") if target == "churn" else tuple(models.CLV_MODELS)
+    names = names or every
     # Shared inputs first, so that the threads do not build them twice.
     columns(spark, folder)
     splits(spark, folder, target)
@@ -142,16 +144,13 @@ def run_log(spark: SparkSession, folder: str, target: str) -> DataFrame:
     return reduce(DataFrame.unionByName, in_parallel(lambda n: evaluation(spark, folder, n), names))
 
 
-def comparison(spark: SparkSession, folder: str, target: str) -> DataFrame:
+def comparison(spark: SparkSession, folder: str, target: str, names: tuple[str, ...] = ()) -> DataFrame:
     """Models by test quality, best first: AUC then recall, or R2."""
-    test = run_log(spark, folder, target).filter("split = 'test'")
+    test = run_log(spark, folder, target, names).filter("split = 'test'")
     order = ["roc_auc", "recall"] if target == "churn" else ["r2"]
     return test.orderBy(*[F.desc(c) for c in order], "model")
 
 
-def picked(spark: SparkSession, folder: str, target: str, only: tuple[str, ...] = ()) -> str:
-    """Name of the best model (among ``only``): one row of the small run log."""
-    ranked = comparison(spark, folder, target)
-    if only:
-        ranked = ranked.filter(F.col("model").isin(list(only)))
-    return ranked.first()["model"]
+def picked(spark: SparkSession, folder: str, target: str, names: tuple[str, ...] = ()) -> str:
+    """Name of the best model (among ``names``): one row of the small run log."""
+    return comparison(spark, folder, target, names).first()["model"]

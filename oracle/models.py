@@ -90,10 +90,10 @@ EXTRA = {
         m.sq + m.n * list_dot_product(p.x, p.x) - 2 * m.n * list_dot_product(p.x, m.center) as total
  from points p cross join cluster_moments m""",
     "profile": f"""
- select cluster_id, count(*)::bigint as customer_count, {half_even('avg(recency_days)', 2)} as recency_days, {half_even('avg(frequency)', 2)} as frequency,
-        {half_even('avg(total_spend)', 2)} as total_spend, {half_even('avg(avg_basket_size)', 2)} as avg_basket_size,
-        {half_even('avg(engagement_score)', 2)} as engagement_score, {half_even('avg(churn)', 2)} as churn_rate,
-        {half_even('avg(clv_next_90d)', 2)} as forward_clv, {half_even('count(*)::double / sum(count(*)) over ()', 4)} as share_of_cohort
+ select cluster_id, count(*)::bigint as customer_count, {half_even('sum(recency_days::decimal(28,6))::double / count(*)', 2)} as recency_days, {half_even('sum(frequency::decimal(28,6))::double / count(*)', 2)} as frequency,
+        {half_even('sum(total_spend::decimal(28,6))::double / count(*)', 2)} as total_spend, {half_even('sum(avg_basket_size::decimal(28,6))::double / count(*)', 2)} as avg_basket_size,
+        {half_even('sum(engagement_score::decimal(28,6))::double / count(*)', 2)} as engagement_score, {half_even('sum(churn::decimal(28,6))::double / count(*)', 2)} as churn_rate,
+        {half_even('sum(clv_next_90d::decimal(28,6))::double / count(*)', 2)} as forward_clv, {half_even('count(*)::double / sum(count(*)) over ()', 4)} as share_of_cohort
  from clustered group by cluster_id""",
     "named_clusters": """
  select *, case when total_spend >= 50000 or frequency >= 50 then 'VIP Champions'

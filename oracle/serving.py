@@ -109,12 +109,12 @@ ORACLE = {
     "append_anomalies": q("select * from anomalies_u"),
     "customer_360": q(f"""
  select c.customer_id, c.country, c.first_order_date, c.last_order_date, c.is_uk, s.segment_name, p.churn_probability as latest_probability,
-        p.scored_at as latest_scored_at, h.history, coalesce(h.n, 0)::int as predictions, a.reconstruction_error as latest_error, a.is_anomaly_95,
+        p.scored_at as latest_scored_at, coalesce(h.n, 0)::bigint as predictions, a.reconstruction_error as latest_error, a.is_anomaly_95,
         f.recency_days, f.frequency::double as frequency, {half_even('f.total_spend', 2)} as total_spend, {half_even('f.return_line_rate', 4)} as return_rate
  from customers_u c left join segments_u s on c.customer_id = s.customer_id left join last_prediction p on c.customer_id = p.customer_id
- left join (select customer_id, count(*) as n, string_agg(strftime(scored_at, '%Y-%m-%d') || ' ' || risk_tier, '; ' order by scored_at desc) as history
-            from predictions_u group by 1) h on c.customer_id = h.customer_id
+ left join (select customer_id, count(*) as n from predictions_u group by 1) h on c.customer_id = h.customer_id
  left join last_anomaly a on c.customer_id = a.customer_id left join features f on c.customer_id = f.customer_id"""),
+    "prediction_history": q("select customer_id, scored_at, churn_probability, risk_tier from predictions_u"),
     "customer_page": q(f"""
  select c.customer_id, c.country, s.segment_name, p.churn_probability, p.risk_tier, p.scored_at, (p.scored_at is not null)::int as historical_predictions_count,
         f.recency_days, {half_even('f.total_spend', 2)} as total_spend
@@ -132,12 +132,11 @@ ORACLE = {
         count(*) filter (where is_anomaly_95)::bigint as anomalies from cohort_t"""),
     "tier_counts": q("select risk_tier, count(*)::bigint as customers from cohort_t group by 1"),
     "segment_filter": q("""
- select customer_id, segment_name, total_spend from cohort_t where segment_name in ('At-Risk / Lapsed', 'High-Value Inactive', 'VIP Champions')
- and total_spend >= 0 and total_spend <= (select quantile_cont(total_spend, 0.98) from cohort_t)"""),
+ select customer_id, segment_name, total_spend from cohort_t where total_spend >= 0 and total_spend <= (select quantile_cont(total_spend, 0.98) from cohort_t)"""),
     "fixed_sample": q("select customer_id, recency_days, total_spend from cohort_t order by md5(customer_id::varchar || ':42'), customer_id limit 1500"),
     "segment_summary": q(f"""
- select segment_name, count(*)::bigint as customers, {half_even('avg(total_spend)', 4)} as avg_spend, {half_even('avg(frequency)', 4)} as avg_freq,
-        {half_even('avg(recency_days)', 4)} as avg_recency, {half_even('avg(predicted_clv)', 4)} as avg_clv, {half_even('avg(churn_probability)', 4)} as churn_risk
+ select segment_name, count(*)::bigint as customers, {half_even('sum(total_spend::decimal(28,6))::double / count(*)', 4)} as avg_spend, {half_even('sum(frequency::decimal(28,6))::double / count(*)', 4)} as avg_freq,
+        {half_even('sum(recency_days::decimal(28,6))::double / count(*)', 4)} as avg_recency, {half_even('sum(predicted_clv::decimal(28,6))::double / count(*)', 4)} as avg_clv, {half_even('sum(churn_probability::decimal(28,6))::double / count(*)', 4)} as churn_risk
  from cohort_t group by 1"""),
     "leaderboard": q("select * from risky order by priority_revenue_at_risk desc, customer_id limit 100"),
     "leaderboard_total": q("select count(*)::bigint as accounts, coalesce(sum(priority_revenue_at_risk::decimal(18,2))::double, 0.0::double) as revenue_at_risk from risky"),

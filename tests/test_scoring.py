@@ -139,7 +139,7 @@ def test_upsert_and_history(spark):
     features = scoring.impute(records(spark, ROWS[:2]))
     full = by_key(serving.customer_360(serving.upsert_customers(customers, second), segs, history, anomalies, features))
     assert full[88002].historical_predictions_count == 2 and full[88002].latest_prediction.scored_at == T2
-    assert [p.scored_at for p in full[88001].historical_predictions] == [T2, T1]
+    assert [p.scored_at for p in serving.prediction_history(history, 88001).collect()] == [T2, T1]
     assert full[88002].segment is None and full[88001].rfm_metrics.frequency == 9.0
     page = serving.customer_page(serving.upsert_customers(customers, second), segs, history, features, limit=1, offset=1).collect()
     assert [r.customer_id for r in page] == [88002] and page[0].historical_predictions_count == 1
@@ -160,6 +160,24 @@ def test_leaderboard(spark):
     assert serving.fixed_sample(cohort, 3).collect() == serving.fixed_sample(cohort.repartition(4), 3).collect()
 
 
+def test_segment_filter_and_view(spark):
+    rows = [(i, "A" if i % 2 else "B", "France" if i < 50 else "Spain", 91.0 if i == 0 else 90.0, 1, float(i)) for i in range(101)]
+    seg = spark.createDataFrame(rows, "customer_id long, segment_name string, primary_country string, recency_days double, frequency int, total_spend double")
+    assert serving.segment_filter(seg).count() == 99  # the 98th percentile is 98
+    got = serving.segment_filter(seg, personas=["A"], country="France", low=10.0, high=20.0).collect()
+    assert sorted(r.customer_id for r in got) == [11, 13, 15, 17, 19]
+    scored = scorer(scoring.impute(records(spark, [{**ROWS[0], "customer_id": 5}])))
+    p, a = serving.predictions_table(scored, "v", T1), serving.anomalies_table(scored, F.lit(0.01), F.lit(0.02), T1)
+    newer = p.withColumns({"scored_at": F.lit(str(T2)).cast("timestamp_ntz"), "churn_probability": F.lit(0.9), "risk_tier": F.lit("High Risk")})
+    view = serving.cohort_view(seg, p.unionByName(newer), a)
+    v = by_key(view)
+    assert len(v) == 101 == view.count()  # history does not repeat customers
+    assert (v[5].churn_probability, v[5].risk_tier, v[5].is_anomaly_95) == (0.9, "High Risk", True)
+    assert (v[0].churn_probability, v[0].risk_tier, v[1].churn_probability, v[2].predicted_clv) == (0.85, "High Risk", 0.25, 0.9)
+    k = serving.kpis(view).first()
+    assert (k.customers, k.high_risk, k.anomalies) == (101, 2, 1)
+
+
 def test_csv_upload(spark, tmp_path):
     path = str(tmp_path / "in.csv")
     (tmp_path / "in.csv").write_text("customer_id,recency_days,frequency,total_spend,extra\n1,10,2,50.5,a\n2,many,1,5,b\n3,5,1,7.5,c\n")
