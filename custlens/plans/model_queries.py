@@ -92,8 +92,8 @@ def ridge_gram(s, d):
     rows = splits.assign_splits(tables.features(s, d), "clv_next_90d").filter("split = 'train'")
     names = splits.model_inputs(rows)
     scaler = splits.fit_scaler(rows, names)
-    sums = linear.gram_sums(scaler.apply(rows), names, "clv_next_90d")
-    return sums.withColumn("value", round_even("value", 4))
+    scaled = scaler.apply(rows).withColumn("clv_millions", F.col("clv_next_90d") / 1e6)
+    return linear.gram_sums(scaled, names, "clv_millions").withColumn("value", round_even("value", 6))
 
 
 def ridge_weights(s, d):

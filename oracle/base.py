@@ -135,7 +135,7 @@ CTES["countries"] = """
    select *, row_number() over (partition by customer_id order by n desc, country) as rn
    from (select customer_id, country, count(*) as n from observed group by 1, 2)) where rn = 1"""
 CTES["rfm"] = f"""
- select customer_id, greatest(0.0::double, {days('last_sale', 't')}) as recency_days,
+ select customer_id, case when last_sale is not null then greatest(0.0::double, {days('last_sale', 't')}) end as recency_days,
         nullif(orders, 0)::bigint as frequency, gross as gross_spend, net as total_spend, items as total_items,
         case when orders > 0 then products end::bigint as unique_products_count,
         {half_even('net / nullif(orders, 0)', 2)} as avg_order_value,
@@ -144,7 +144,6 @@ CTES["rfm"] = f"""
         {half_even('ln(1.0::double + greatest(net, 0.0::double))', 4)} as log_total_spend,
         {half_even('ln(1.0::double + nullif(orders, 0))', 4)} as log_frequency
  from line_sums, cutoff"""
-CTES["rfm"] = CTES["rfm"].replace("greatest(0.0::double, (", "greatest(0.0::double, (", 1)
 CTES["behavior"] = f"""
  select customer_id,
         case when orders > 0 then q4_orders::double / orders end as seasonal_q4_order_share,

@@ -7,7 +7,7 @@ from oracle.base import INPUTS, days, exact, half_even, with_ctes
 ANOMALY = ("recency_days frequency total_spend gross_spend avg_order_value avg_basket_size velocity_acceleration "
            "return_spend_ratio return_line_rate discount_sensitivity engagement_score").split()
 CLUSTER = "recency_days frequency total_spend avg_basket_size velocity_acceleration return_line_rate engagement_score".split()
-GRAM = [*INPUTS, "clv_next_90d", "one"]
+GRAM = [*INPUTS, "clv_millions", "one"]
 
 MARGIN = "(recency_days / 100.0::double - frequency / 5.0::double)"
 P = f"(1.0::double / (1.0::double + exp(-{MARGIN})))"
@@ -64,7 +64,7 @@ EXTRA = {
  select qid, y, d, row_number() over (partition by qid order by d, tid) as place from (
   select q.customer_id as qid, t.customer_id as tid, t.churn as y, list_distance(q.x, t.x) as d
   from knn_x q join knn_x t on q.split <> 'train' and t.split = 'train')""",
-    "gram_x": "select [" + ", ".join([z(c) for c in INPUTS] + ["clv_next_90d", "1.0::double"]) + "]::double[] as x from clv_train, clv_stats",
+    "gram_x": "select [" + ", ".join([z(c) for c in INPUTS] + ["clv_next_90d / 1000000.0::double", "1.0::double"]) + "]::double[] as x from clv_train, clv_stats",
     "order_events": """
  select customer_id, invoice, min(invoice_date) as seen, sum(total_amount::decimal(18,2))::double as amount, sum(quantity) as quantity,
         bool_or(is_return) as returned from observed group by 1, 2""",
@@ -160,7 +160,7 @@ ORACLE = {
  select qid as customer_id, {half_even('case when count(*) filter (where d = 0) > 0 then avg(y) filter (where d = 0) else sum(y / d) / sum(1.0::double / d) end', 6)} as probability
  from knn_near where place <= 15 group by qid"""),
     "ridge_gram": q(f"""
- select {GRAM!r}[i] as row_name, {GRAM!r}[j] as column_name, {half_even('sum(x[i] * x[j])', 4)} as value
+ select {GRAM!r}[i] as row_name, {GRAM!r}[j] as column_name, {half_even('sum(x[i] * x[j])', 6)} as value
  from gram_x, range(1, {len(GRAM) + 1}) a(i), range(1, {len(GRAM) + 1}) b(j) group by i, j"""),
     "purchase_sequences": q(f"""
  select customer_id, position::int as position, {half_even('coalesce(amount, 0.0::double)', 6)} as amount, {half_even('coalesce(gap, 0.0::double)', 6)} as gap,
