@@ -85,9 +85,19 @@ def exact_mean(x: Column | str) -> Column:
     return F.when(F.count(col(x)) > 0, total / F.count(col(x)))
 
 
+def _micros_of_day(x: Column) -> Column:
+    seconds = F.hour(x) * 3600 + F.minute(x) * 60
+    return seconds.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("bigint")
+
+
 def days_between(start: Column | str, end: Column | str) -> Column:
-    """Fractional days from ``start`` to ``end``."""
-    return F.timestamp_diff("MICROSECOND", col(start), col(end)).cast("double") / MICROS_PER_DAY
+    """Fractional days between zone-free timestamps.
+
+    ``timestampdiff`` would read them in the session zone, where a day may have 23 hours.
+    """
+    start, end = col(start), col(end)
+    days = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint") * 86_400_000_000
+    return (days + _micros_of_day(end) - _micros_of_day(start)).cast("double") / MICROS_PER_DAY
 
 
 def timestamp(value: datetime | Column) -> Column:

@@ -20,7 +20,7 @@ def _order_sums(lines: DataFrame, period: Column) -> DataFrame:
 
 def monthly_sales(lines: DataFrame) -> DataFrame:
     """Sales by month: revenue, distinct orders, distinct customers."""
-    orders = _order_sums(lines.filter(sale()), F.date_format("invoice_date", "yyyy-MM").alias("year_month"))
+    orders = _order_sums(lines.filter(sale()), F.substring(F.to_date("invoice_date").cast("string"), 1, 7).alias("year_month"))
     return orders.groupBy("year_month").agg(
         _total("cents").alias("revenue"),
         F.count_distinct("invoice").alias("order_count"),

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from custlens.functions.columns import round_even, round_exact
+from custlens.functions import ranking
+from custlens.functions.columns import days_between, round_even, round_exact, rounded_exact
 from custlens.functions.joins import lookup_join
 from custlens.functions.ranking import average_percent_ranks, cumulative_counts, exact_quantiles, ordered_row_numbers
 
@@ -22,9 +25,26 @@ def test_rounding_matches_numpy_and_python(spark):
     for r in rows:
         assert r.np2 == float(np.round(np.array([r.x]), 2)[0])
         assert (r.py2, r.py1, r.py0) == (round(r.x, 2), round(r.x, 1), round(r.x, 0))
-
-
-def test_quantiles_match_numpy(spark):
+    columns = df.select("x", F.col("x").alias("y"))
+    assert all(r.y == round(r.x, 2) for r in rounded_exact(columns, {"y": 2}).collect())
+
+
+def test_days_do_not_depend_on_the_session_zone(spark):
+    a, b = datetime(2010, 3, 13, 12, 30, 15, 250000), datetime(2010, 3, 15, 2, 30)  # a clock change lies between
+    df = spark.createDataFrame([(a, b)], "a timestamp_ntz, b timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = df.select(days_between("a", "b"), days_between("b", "a")).first()
+            assert got[0] == (b - a) / timedelta(days=1) and got[1] == -got[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("one_task", [1_000_000, 0], ids=["window", "buckets"])
+def test_quantiles_match_numpy(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK_VALUES", one_task)
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(0, 100, 900).round(2), np.full(600, 1.0), [-5e6, 7e7]])
     groups = rng.integers(0, 3, len(values))
@@ -38,13 +58,17 @@ def test_quantiles_match_numpy(spark):
     assert whole.m == float(np.median(values))
 
 
-def test_cumulative_counts_ignore_nulls(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0], ids=["window", "buckets"])
+def test_cumulative_counts_ignore_nulls(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK_VALUES", one_task)
     df = spark.createDataFrame([(1.0,), (1.0,), (None,), (3.0,), (-2.0,), (float("nan"),)], "x double")
     got = {r.value: (r.n, r.below, r.total) for r in cumulative_counts(df, "x").collect()}
     assert got == {-2.0: (1, 0, 4), 1.0: (2, 1, 4), 3.0: (1, 3, 4)}
 
 
-def test_percent_ranks_match_pandas(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0], ids=["window", "buckets"])
+def test_percent_ranks_match_pandas(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK_VALUES", one_task)
     rng = np.random.default_rng(3)
     a = np.where(rng.random(500) < 0.4, 1.0, rng.integers(0, 50, 500)).astype(float)
     b = rng.normal(0, 1, 500)
