@@ -11,7 +11,8 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custlens.operators.splits import SEED, class_weights
 
@@ -125,6 +126,15 @@ def fit_model(rows: DataFrame, spec: Spec):
     return spec.fit(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
 
 
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """A saved model of any kind; its class is in the metadata beside it."""
+    return DefaultParamsReader.loadParamsInstance(path, spark.sparkContext)
+
+
 def churn_probability(model, df: DataFrame) -> DataFrame:
     """Adds ``probability`` of churn as a double."""
     names = {"rawPrediction", "prediction", "probability"}

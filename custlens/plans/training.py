@@ -75,7 +75,7 @@ def fitted(spark: SparkSession, folder: str, name: str) -> Fitted:
         with fitting_rows(model_rows(spark, folder, name)) as rows:
             model = models.fit_model(rows, SPECS[name])
         path = new_path(spark, name)
-        model.write().overwrite().save(path)
+        models.save_model(model, path)
         _fitted[key] = Fitted(model, path, SPECS[name], target_of(name))
     return _fitted[key]
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from custlens.functions.columns import timestamp
+
 
 def write_cleaned(df: DataFrame, path: str) -> None:
-    """The cleaned table by month, in time order inside files, so that a cutoff prunes."""
+    """The cleaned table in folders by month, in time order inside the files."""
     (
         df.withColumn("year", F.year("invoice_date")).withColumn("month", F.month("invoice_date"))
         .sortWithinPartitions("year", "month", "invoice_date")
@@ -16,6 +20,16 @@ def write_cleaned(df: DataFrame, path: str) -> None:
     )
 
 
+def read_cleaned(spark: SparkSession, path: str, cutoff: datetime | None = None) -> DataFrame:
+    """The cleaned table up to a cutoff; months after it are not listed or read."""
+    lines = spark.read.parquet(path)
+    if cutoff is not None:
+        year, month = F.col("year"), F.col("month")
+        months = (year < cutoff.year) | ((year == cutoff.year) & (month <= cutoff.month))
+        lines = lines.filter(months & (F.col("invoice_date") <= timestamp(cutoff)))
+    return lines.drop("year", "month")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small result (audit, profiles, metrics) as JSON lines."""
     df.write.mode("overwrite").json(path)
