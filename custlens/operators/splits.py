@@ -158,6 +158,3 @@ def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
     weight = F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))
     return counts.select(label, "n", weight.alias("weight"))
 
-
-def with_class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).drop("n")), label)  # one row per class
