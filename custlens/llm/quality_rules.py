@@ -107,7 +107,7 @@ def _share(words: Column, test: Callable[[Column], Column]) -> Column:
     return F.size(F.filter(words, test)) * 100
 
 
-#: Limits are chosen for plain mistakes of extraction, so that tables, lists and notes are kept.
+#: Limits are chosen for text that isn't prose: noise, tables, broken or repeated lines.
 RULES = (
     Rule("too_short", lambda text, words: F.size(words) < 50),
     Rule("repetitive", lambda text, words: repeat_words(words) * 100 > F.size(words) * 50),
@@ -116,7 +116,7 @@ RULES = (
         full_lines(text), lambda lines: (F.size(lines) >= 4) & (dup_lines(lines) * 100 > F.size(lines) * 60))),
     Rule("word_length", lambda text, words: let(
         word_chars(words), lambda chars: (chars < F.size(words) * 2) | (chars > F.size(words) * 20))),
-    Rule("few_letters", lambda text, words: _share(words, lambda w: w.rlike("\\p{L}")) < F.size(words) * 40),
+    Rule("few_letters", lambda text, words: _share(words, lambda w: w.rlike("\\p{L}")) < F.size(words) * 80),
     Rule("cut_lines", lambda text, words: let(full_lines(text), lambda lines: (F.size(lines) >= 4) & (
         _share(lines, lambda line: line.rlike("(\\.\\.\\.|…)[ \\t-\\r]*$")) > F.size(lines) * 60))),
     Rule("digits", lambda text, words: F.length(F.regexp_replace(text, "[^0-9]+", "")) * 2 > word_chars(words)),
