@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,15 +47,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about ``most_bytes`` of text; a longer text is a part of its own."""
     text = batch.column(column)
-    sizes = np.cumsum(np.asarray(text.value_lengths().fill_null(0) if hasattr(text, "value_lengths")
-                                 else pa.compute.binary_length(text).fill_null(0), dtype=np.int64))
+    sizes = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy().astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import license_scan, pii, quality_rules, secret_scan
+from custlens.llm import license_scan, packing, pii, quality_rules, secret_scan
 from custlens.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("detections")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(documents(spark, sf_dir))
 
@@ -28,4 +32,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op5_pii, op7_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_license_scan, op4_best_fit_packing, op5_pii, op7_secret_scan, op10_quality_rules)}
