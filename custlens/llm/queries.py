@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import license_scan, packing, pii, quality_rules, secret_scan
+from custlens.llm import license_scan, line_dedup, packing, pii, quality_rules, secret_scan
 from custlens.llm.common import documents
 
 
@@ -26,10 +26,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.report(docs, quality_rules.ordered(docs))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op4_best_fit_packing, op5_pii, op7_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_license_scan, op4_best_fit_packing, op5_pii, op7_secret_scan, op8_line_dedup, op10_quality_rules)}

@@ -2,6 +2,26 @@
 
 from __future__ import annotations
 
+LINE_DEDUP = """
+with lines as (
+ select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as nr
+ from documents),
+trimmed as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from lines),
+numbered as (select doc_id, nr, s, row_number() over (partition by doc_id order by nr) as place from trimmed where s <> ''),
+threes as (
+ select doc_id, place, s || chr(10) || lead(s, 1) over w || chr(10) || lead(s, 2) over w as three,
+        [nr, lead(nr, 1) over w, lead(nr, 2) over w] as covers
+ from numbered window w as (partition by doc_id order by place)),
+ranked as (
+ select *, row_number() over (partition by three order by doc_id, place) as nth from threes where three is not null),
+gone as (select distinct doc_id, unnest(covers) as nr from ranked where nth > 1)
+select t.doc_id, count(*) filter (t.s <> '') as n_lines, count(g.nr) as n_removed,
+       coalesce(string_agg(t.line, chr(10) order by t.nr) filter (g.nr is null), '') as text
+from trimmed t left join gone g on t.doc_id = g.doc_id and t.nr = g.nr
+group by t.doc_id
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": LINE_DEDUP}
