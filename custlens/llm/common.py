@@ -30,6 +30,24 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN))
 
 
+#: ASCII control characters, blanks and punctuation, for texts in which A-Z are still to be lowered.
+NOT_PLAIN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def plain_words(text: Column) -> Column:
+    """The runs of letters, digits and characters outside ASCII, as an array."""
+    bare = F.regexp_replace(text, "^" + NOT_PLAIN, "")
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, NOT_PLAIN))
+    # a separator at the end leaves an empty last piece
+    return let(words, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, 1, F.size(w) - 1)).otherwise(w))
+
+
+def document_key() -> Column:
+    """A digest of id and text: rows with the same id and the same text are one document."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text)))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

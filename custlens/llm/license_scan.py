@@ -20,9 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custlens.llm.common import let, rows_of
+from custlens.llm.common import let, plain_words, rows_of
 
-NOT_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases whose places count as base detections, with their labels.
@@ -244,10 +243,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         ))
 
     text = F.col("text")
-    bare = F.regexp_replace(text, "^" + NOT_WORD, "")
-    words = F.when(bare == "", F.array().cast(strings)).otherwise(F.split(bare, NOT_WORD))
-    # a separator at the end leaves an empty last piece
-    words = let(words, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, 1, F.size(w) - 1)).otherwise(w))
+    words = plain_words(text)
     none = F.array()
     lowered = lambda w: F.split(F.translate(F.array_join(w, " "), UPPER, LOWER), " ")
     outcome = let(words, lambda w: F.when(

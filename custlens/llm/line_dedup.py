@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.stages import written
-from custlens.llm.common import SPACES, let, rows_of
+from custlens.llm.common import SPACES, document_key, let, rows_of
 
 WINDOW = 3
 
@@ -40,11 +40,6 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def _key() -> Column:
-    """A digest of id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), _text())))
-
-
 def windows(docs: DataFrame) -> DataFrame:
     """One row per window: digest of its lines, document, place, and the numbers of the lines that it covers."""
     def here(full: Column) -> Column:
@@ -54,7 +49,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 F.unhex(F.md5(F.concat_ws("\n", *(full[i + k]["s"] for k in range(WINDOW))))).alias("digest"),
                 i.alias("place"), F.array(*(full[i + k]["at"] for k in range(WINDOW))).alias("covers"))))
 
-    return docs.select("doc_id", _key().alias("doc_key"), F.inline(let(_full(_text()), here)))
+    return docs.select("doc_id", document_key().alias("doc_key"), F.inline(let(_full(_text()), here)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -70,7 +65,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame) -> DataFrame:
     """The rows of the documents as one column ``row``, and ``gone``, the numbers of lines to remove or null."""
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key().alias("doc_key"))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), document_key().alias("doc_key"))
     return base.join(removed_lines(docs), "doc_key", "left")
 
 

@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import license_scan, line_dedup, packing, pii, quality_rules, secret_scan
-from custlens.llm.common import documents
+from custlens.llm import decontaminate, license_scan, line_dedup, packing, pii, quality_rules, secret_scan
+from custlens.llm.common import documents, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +41,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op4_best_fit_packing, op5_pii, op7_secret_scan, op8_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op4_best_fit_packing, op5_pii, op7_secret_scan, op8_line_dedup, op10_quality_rules)}

@@ -22,6 +22,25 @@ from trimmed t left join gone g on t.doc_id = g.doc_id and t.nr = g.nr
 group by t.doc_id
 """
 
+#: Words are runs of letters, digits and characters outside ASCII.
+DECONTAMINATION = r"""
+with words as (
+ select 'd' as kind, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+ union all
+ select 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+sized as (
+ select *, len(w) as n, least(5, len(w)) as k from words where len(w) > 0),
+lengths as (select distinct k from sized where kind = 'i'),
+grams as (
+ select distinct s.kind, s.id, l.k, unnest(list_transform(range(1, s.n - l.k + 2), lambda i: array_to_string(s.w[i:i + l.k - 1], ' '))) as gram
+ from sized s join lengths l on s.n >= l.k and (s.kind = 'd' or s.k = l.k)),
+sizes as (select id, count(*) as n_item from grams where kind = 'i' group by id)
+select d.id as doc_id, i.id as item_id, count(*) as n_shared, max(n_item) as n_item,
+       count(*)::double / max(n_item) as containment
+from grams d join grams i on d.kind = 'd' and i.kind = 'i' and d.k = i.k and d.gram = i.gram join sizes z on z.id = i.id
+group by d.id, i.id having count(*) * 100 >= 80 * max(n_item)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP}
+    return {"op1_decontamination": DECONTAMINATION, "op8_line_dedup": LINE_DEDUP}
