@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import decontaminate, license_scan, line_dedup, packing, pii, quality_rules, secret_scan
+from custlens.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan
 from custlens.llm.common import documents, table
 
 
@@ -27,6 +27,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(documents(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -41,4 +45,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op4_best_fit_packing, op5_pii, op7_secret_scan, op8_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op4_best_fit_packing, op5_pii, op6_ngram_join, op7_secret_scan, op8_line_dedup, op10_quality_rules)}
