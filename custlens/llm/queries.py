@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan
+from custlens.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup
 from custlens.llm.common import documents, table
 
 
@@ -19,6 +19,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("detections")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -45,4 +49,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op4_best_fit_packing, op5_pii, op6_ngram_join, op7_secret_scan, op8_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_substring_dedup, op4_best_fit_packing, op5_pii, op6_ngram_join, op7_secret_scan, op8_line_dedup, op10_quality_rules)}
