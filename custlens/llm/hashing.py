@@ -110,3 +110,19 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
         best, place = np.where(better, other, best[:len(other)]), np.where(better, at, place[:len(other)])
         have += step
     return place[:count]
+
+
+def byte_run_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n successive bytes."""
+    count = len(data) - n + 1
+    if count <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    total = byte_sums(data)
+    return mix((total[n:] - total[:count]) * powers(len(data) + 1, INVERSE)[:count])
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any run of bytes follows."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1, BASE)[:-1], out=total[1:])
+    return total
