@@ -329,8 +329,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
         both * 100 >= percent * (F.size("hashes_a") + F.size("hashes_b") - both)).select("set_a", "set_b")
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents, and the component of every set that is linked with another: node, label."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = written(document_sets(texts, n), "document_sets")
     shared = written(shared_keys(part_keys(texts, n, percent)), "shared_keys")
@@ -372,9 +372,25 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     second = written(verified(candidate_pairs(blocks, percent), texts, sets, n, percent), "links_2")
     labels = by_set(first.unionByName(second))
 
+    return sets, labels
+
+
+def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+    sets, labels = _labelled(docs, n, percent)
     ids = sets.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"))
-    named_ids = ids.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    smallest = named_ids.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_set = written(named_ids.join(smallest, "label").select("set", "component_id"), "components")
+    named = ids.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    of_set = written(named.join(smallest, "label").select("set", "component_id"), "components")
     return sets.join(of_set, "set", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest id of their component, and those without shingles; all columns are kept.
+
+    Of rows that have the smallest id of a component more than once, each stays.
+    """
+    found = linked(docs, n, percent)
+    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near_copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
