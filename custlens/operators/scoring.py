@@ -70,8 +70,9 @@ def reject_reasons() -> Column:
 
 
 def check_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid records, and the rejected ones with their reasons."""
-    marked = df.withColumn("reject_reasons", reject_reasons())
+    """Valid records, and the rejected ones with their reasons. A value that is not a number counts as missing."""
+    numbers = df.withColumns({f: F.when(~F.isnan(F.col(f)), F.col(f)) for f in FIELDS})
+    marked = numbers.withColumn("reject_reasons", reject_reasons())
     bad = F.size("reject_reasons") > 0
     return marked.filter(~bad).drop("reject_reasons"), marked.filter(bad)
 

@@ -8,6 +8,7 @@ from custlens.functions.columns import round_even
 from custlens.functions.stages import new_path
 from custlens.operators import scoring, serving
 from custlens.plans import serving as plan, tables, training
+from custlens.sources.uploads import read_scoring_csv
 from custlens.streaming.scoring import read_scored, start_scoring
 
 
@@ -164,12 +165,43 @@ def batch_score(s, d):
     return scored.withColumn("top_risk_factors", F.to_json("top_risk_factors"))
 
 
+def upload_folder(s, d) -> str:
+    """CSV files as customers send them: four or five columns in different orders, and one with further customers' rows.
+
+    Odd customers come with the columns turned round, every 50th one's recency is no number, every 70th one's frequency
+    is out of range, and every 90th one comes a second time.
+    """
+    folder = new_path(s, "uploads")
+    rows = plan.partial_records(s, d).select("customer_id", "recency_days", "frequency", "total_spend").withColumns({
+        "recency_days": F.when(F.col("customer_id") % 50 == 0, float("nan")).otherwise(F.col("recency_days")),
+        "frequency": F.when(F.col("customer_id") % 70 == 0, -1.0).otherwise(F.col("frequency")),
+    })
+    odd = F.col("customer_id") % 2 == 1
+    parts = {
+        "even": rows.filter(~odd),
+        "odd": rows.filter(odd).select("total_spend", F.lit("web").alias("channel"), "frequency", "customer_id", "recency_days"),
+        "again": rows.filter(F.col("customer_id") % 90 == 0).select("frequency", "total_spend", "recency_days", "customer_id"),
+    }
+    for part in parts.values():
+        part.write.mode("append").option("header", True).csv(f"{folder}/in")
+    return folder
+
+
+def upload_rows(s, d):
+    """What a folder of uploads holds, by header: accepted records and reasons of the rejected ones."""
+    records, _ = read_scoring_csv(s, f"{upload_folder(s, d)}/in", scoring.SCORING_SCHEMA)
+    good, bad = scoring.check_records(records)
+    columns = ["customer_id", "recency_days", "frequency", "total_spend", "avg_order_value"]
+    return good.select(*columns, F.lit("").alias("reasons")).unionByName(
+        bad.select(*columns, F.array_join("reject_reasons", "; ").alias("reasons")))
+
+
 def stream_score(s, d):
-    """The partial records as CSV files, scored by the stream with the rule scorer."""
-    folder = new_path(s, "stream")
-    plan.partial_records(s, d).write.option("header", True).csv(f"{folder}/in")
+    """The uploads scored by the stream with the rule scorer."""
+    folder = upload_folder(s, d)
     query = start_scoring(
-        s, f"{folder}/in", f"{folder}/out", plan.rule_scorer(s, d), scoring.MODEL_VERSION, plan.RESCORED_AT, once=True
+        s, f"{folder}/in", f"{folder}/out", plan.rule_scorer(s, d), scoring.MODEL_VERSION, once=True,
+        clock=lambda: plan.RESCORED_AT,
     )
     query.awaitTermination()
     return scoring.export_rows(read_scored(s, f"{folder}/out"))
@@ -181,6 +213,6 @@ QUERIES = {
         impute_features, reject_rows, risk_tier, batch_summary, batch_export, serving_customers, serving_segments,
         serving_predictions, serving_anomalies, upsert_customers, upsert_segments, append_predictions,
         append_anomalies, customer_360, prediction_history, customer_page, cohort_view, cohort_view_unscored, kpis, tier_counts,
-        segment_filter, fixed_sample, segment_summary, leaderboard, leaderboard_total, stream_score, batch_score,
+        segment_filter, fixed_sample, segment_summary, leaderboard, leaderboard_total, upload_rows, stream_score, batch_score,
     )
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from custlens.functions.columns import strip
+from custlens.sources.headers import layouts
 
 
 class DataValidationError(Exception):
@@ -62,11 +64,14 @@ def coerce_raw_types(df: DataFrame) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """One sheet: a folder or file of CSV (with header) or Parquet."""
+    """One sheet: a file or a folder of CSV (each file with its own header) or Parquet."""
     if fmt == "csv":
-        header = spark.read.option("header", True).csv(path)
-        check_raw_schema(header)
-        return header.select(*RAW_COLUMNS)
+        parts = [spark.read.option("header", True).csv(files) for _, files in layouts(spark, [path])]
+        if not parts:
+            raise DataValidationError(f"no lines in {path}")
+        for part in parts:
+            check_raw_schema(part)
+        return reduce(DataFrame.unionByName, [part.select(*RAW_COLUMNS) for part in parts])
     sheet = spark.read.format(fmt).load(path)
     check_raw_schema(sheet)
     return sheet.select(*RAW_COLUMNS)

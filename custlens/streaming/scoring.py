@@ -3,62 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from custlens.operators.scoring import SCORING_SCHEMA, score_batch
-from custlens.sources.uploads import CORRUPT
+from custlens.sources.uploads import CORRUPT, read_records
+
+
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
 def write_scored_batch(
-    batch: DataFrame, batch_id: int, folder: str, scorer: Callable[[DataFrame], DataFrame],
+    records: DataFrame, unreadable: DataFrame, batch_id: int, folder: str, scorer: Callable[[DataFrame], DataFrame],
     version: str, scored_at: datetime,
 ) -> None:
-    """Scores one micro-batch into its own folder.
+    """Scores the records of one micro-batch into its own folder: every record is scored or rejected.
 
-    A batch that is run again after a failure replaces its folder, so no
-    customer is counted twice. Of several records of
-    one customer in a batch, the one with the highest risk is kept.
+    A batch that is run again after a failure replaces its folder, so no record is counted twice.
     """
-    batch = batch.persist()  # parsed once, with all columns, so that every bad cell is seen
-    try:
-        _write(batch, batch_id, folder, scorer, version, scored_at)
-    finally:
-        batch.unpersist()
-
-
-def _write(batch, batch_id, folder, scorer, version, scored_at) -> None:
-    if CORRUPT not in batch.columns:
-        batch = batch.withColumn(CORRUPT, F.lit(None).cast("string"))
-    unreadable = batch.filter(F.col(CORRUPT).isNotNull())
-    scored, rejected = score_batch(batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), scorer, version, scored_at)
-    reasons = F.array(F.lit("unreadable cell"))
+    scored, rejected = score_batch(records, scorer, version, scored_at)
     rejected = rejected.withColumn(CORRUPT, F.lit(None).cast("string")).unionByName(
-        unreadable.withColumn("reject_reasons", reasons)
+        unreadable.select(CORRUPT).withColumn("reject_reasons", F.array(F.lit("unreadable cell"))), allowMissingColumns=True
     )
-    named = scored.filter(F.col("customer_id").isNotNull())
-    others = [c for c in named.columns if c != "customer_id"]
-    once = named.groupBy("customer_id").agg(F.max_by(F.struct(*others), "churn_probability").alias("row"))
-    kept = once.select("customer_id", "row.*").unionByName(scored.filter(F.col("customer_id").isNull()))
-    kept.write.mode("overwrite").parquet(f"{folder}/predictions/batch_id={batch_id}")
+    scored.write.mode("overwrite").parquet(f"{folder}/predictions/batch_id={batch_id}")
     rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch_id={batch_id}")
 
 
 def start_scoring(
     spark: SparkSession, source: str, folder: str, scorer: Callable[[DataFrame], DataFrame],
-    version: str, scored_at: datetime, files_per_batch: int = 100, once: bool = False,
+    version: str, files_per_batch: int = 100, once: bool = False, clock: Callable[[], datetime] = utc_now,
 ) -> StreamingQuery:
-    """Reads new CSV files under ``source`` and writes results under ``folder``."""
-    records = (
-        spark.readStream.schema(T.StructType([*SCORING_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", files_per_batch).csv(source)
-    )
-    writer = records.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(
-        lambda batch, batch_id: write_scored_batch(batch, batch_id, folder, scorer, version, scored_at)
-    )
+    """Reads new CSV files under ``source`` and writes results under ``folder``.
+
+    The stream tells which files are new; each micro-batch reads its files by their own headers. Its records carry the
+    time at which it was scored.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
+    files = lines.select(F.col("_metadata.file_path").alias("file"))
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        paths = [r["file"] for r in batch.distinct().collect()]  # at most files_per_batch
+        if paths:
+            records, unreadable = read_records(batch.sparkSession, sorted(paths), SCORING_SCHEMA)
+            write_scored_batch(records, unreadable, batch_id, folder, scorer, version, clock())
+
+    writer = files.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(score)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 

@@ -24,6 +24,11 @@ IMPUTED = {
     "velocity_acceleration": "1.0::double", "has_returned": "0.0::double", **{c: "0.0::double" for c in SHARES}, "is_uk": "1.0::double",
     "engagement_score": f"least(greatest(50.0::double + {F1} * 3.0::double + total_spend / 100.0::double - {REC} / 5.0::double, 0.0::double), 100.0::double)",
 }
+# uploads give neither items nor products, which have their own defaults then
+UPLOAD_IMPUTED = IMPUTED | {
+    "total_items": "0.0::double", "unique_products_count": "0.0::double", "avg_basket_size": "10.0::double",
+    "avg_unique_products_per_order": "3.0::double",
+}
 CLUSTER_ID = "(case when engagement_score <= 40 then 0 when engagement_score <= 70 then 1 else 2 end + case when recency_days > 90 then 3 else 0 end)::int"
 ERROR = "(" + " + ".join(f"{z(c)} * {z(c)}" for c in ANOMALY) + f") / {len(ANOMALY)}.0::double"
 RULE_P = "(1.0::double / (1.0::double + exp(-(recency_days / 100.0::double - frequency / 5.0::double))))"
@@ -38,12 +43,25 @@ EXTRA = {
         count(distinct stock_code) filter (where not is_return)::double as unique_products_count
  from cleaned group by customer_id""",
     "imputed": "select customer_id, " + ", ".join(f"({e})::double as {c}" for c, e in IMPUTED.items()) + " from records",
+    "uploaded": """
+ select customer_id, case when customer_id % 50 <> 0 then recency_days end as recency_days,
+        case when customer_id % 70 = 0 then -1.0::double else frequency end as frequency, total_spend, null::double as avg_order_value
+ from records, range(2) t(copy) where copy = 0 or customer_id % 90 = 0""",
+    "upload_checked": """
+ select *, concat_ws('; ', case when recency_days is null then 'recency_days is missing' end, case when recency_days < 0 then 'recency_days < 0' end,
+        case when frequency < 0 then 'frequency < 0' end) as reasons from uploaded""",
+    "upload_imputed": "select customer_id, " + ", ".join(f"({e})::double as {c}" for c, e in UPLOAD_IMPUTED.items()) + " from upload_checked where reasons = ''",
     "errors": f"select {ERROR} as e from features, anomaly_stats",
     "limits95": f"select {half_even('quantile_cont(e, 0.95)', 4)} as p95, {half_even('quantile_cont(e, 0.99)', 4)} as p99 from errors",
     "rescored": f"""
  select customer_id, {exact('p', 4)} as churn_probability, p >= 0.5 as is_churn, {exact('clv', 2)} as predicted_clv, {tier('p')} as risk_tier,
         coalesce(segment_name, 'Cluster ' || cluster_id) as segment_name, e >= p95 as is_anomaly, {exact('e', 4)} as anomaly_score
  from (select *, {RULE_P} as p, {RULE_CLV} as clv, {CLUSTER_ID} as cluster_id, {ERROR} as e from imputed, anomaly_stats, limits95) r
+ left join personas using (cluster_id)""",
+    "upload_scored": f"""
+ select customer_id, {exact('p', 4)} as churn_probability, p >= 0.5 as is_churn, {exact('clv', 2)} as predicted_clv, {tier('p')} as risk_tier,
+        coalesce(segment_name, 'Cluster ' || cluster_id) as segment_name, e >= p95 as is_anomaly, {exact('e', 4)} as anomaly_score
+ from (select *, {RULE_P} as p, {RULE_CLV} as clv, {CLUSTER_ID} as cluster_id, {ERROR} as e from upload_imputed, anomaly_stats, limits95) r
  left join personas using (cluster_id)""",
     "customers_t": """
  select customer_id, primary_country as country, first_order_date, last_order_date, is_uk = 1 as is_uk from features left join (
@@ -140,5 +158,6 @@ ORACLE = {
  from cohort_t group by 1"""),
     "leaderboard": q("select * from risky order by priority_revenue_at_risk desc, customer_id limit 100"),
     "leaderboard_total": q("select count(*)::bigint as accounts, coalesce(sum(priority_revenue_at_risk::decimal(18,2))::double, 0.0::double) as revenue_at_risk from risky"),
-    "stream_score": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
+    "upload_rows": q("select * from upload_checked"),
+    "stream_score": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from upload_scored"),
 }

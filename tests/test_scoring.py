@@ -192,27 +192,68 @@ def test_csv_upload(spark, tmp_path):
         read_scoring_csv(spark, str(tmp_path / "x.json"), scoring.SCORING_SCHEMA)
 
 
+def test_upload_columns_by_name(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("customer_id,recency_days,frequency,total_spend\n1,10,2,50.5\n2,NaN,1,5\n")
+    (folder / "b.csv").write_text("total_spend,extra,customer_id,frequency,recency_days\n900,x,7,3,4\n")
+    (folder / "c.csv").write_text("customer_id,total_spend\n9,1\n")
+    good, bad = read_scoring_csv(spark, str(folder), scoring.SCORING_SCHEMA)
+    rows = {r.customer_id: (r.recency_days, r.frequency, r.total_spend) for r in good.collect()}
+    assert rows == {1: (10.0, 2.0, 50.5), 2: (None, 1.0, 5.0), 7: (4.0, 3.0, 900.0), 9: (None, None, 1.0)}
+    assert bad.count() == 0
+    _, rejected = scoring.check_records(good)
+    assert {r.customer_id: r.reject_reasons for r in rejected.collect()} == {
+        2: ["recency_days is missing"], 9: ["recency_days is missing", "frequency is missing"]}
+
+
+def test_not_a_number_is_missing(spark):
+    nan = spark.createDataFrame([(1, float("nan"), 2.0, 3.0)], "customer_id long, recency_days double, frequency double, total_spend double")
+    full = nan.select("customer_id", *[
+        F.col(f) if f in nan.columns else F.lit(None).cast("double").alias(f) for f in scoring.FIELDS])
+    good, bad = scoring.check_records(full)
+    assert good.count() == 0 and bad.first().reject_reasons == ["recency_days is missing"]
+
+
+def test_raw_sheets_by_name(spark, tmp_path):
+    from custlens.sources.invoices import read_sheet
+
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n1,a,x,5,2010-01-01,2.5,7,UK\n")
+    (folder / "b.csv").write_text("Invoice,StockCode,Description,Price,InvoiceDate,Quantity,Customer ID,Country\n2,a,x,2.5,2010-01-01,5,7,UK\n")
+    rows = read_sheet(spark, str(folder), "csv").select("Quantity", "Price").collect()
+    assert [tuple(r) for r in rows] == [("5", "2.5")] * 2
+
+
 def test_stream_is_repeatable(spark):
     folder = new_path(spark, "stream_test")
     header = True
     records(spark, ROWS).write.option("header", header).csv(f"{folder}/in")
-    run = lambda: start_scoring(spark, f"{folder}/in", f"{folder}/out", scorer, "v1.0.0", T1, once=True).awaitTermination()
+    times = iter([T1, T2, T2, T2])
+    run = lambda: start_scoring(
+        spark, f"{folder}/in", f"{folder}/out", scorer, "v1.0.0", once=True, clock=lambda: next(times)).awaitTermination()
     run()
     first = read_scored(spark, f"{folder}/out").select("customer_id", "churn_probability").orderBy("customer_id").collect()
     assert [r.customer_id for r in first] == [None, 88001, 88002]
     run()  # nothing new
     # The same batch again, as after a failure: it replaces its folder.
-    write_scored_batch(records(spark, ROWS), 0, f"{folder}/out", scorer, "v1.0.0", T1)
+    none = spark.createDataFrame([], "_corrupt string")
+    write_scored_batch(records(spark, ROWS), none, 0, f"{folder}/out", scorer, "v1.0.0", T1)
     assert read_scored(spark, f"{folder}/out").select("customer_id", "churn_probability").orderBy("customer_id").collect() == first
-    records(spark, [{**ROWS[0], "customer_id": 99}]).write.mode("append").option("header", header).csv(f"{folder}/in")
+    # a customer twice: both records are scored, at the time of their batch
+    records(spark, [{**ROWS[0], "customer_id": 99}] * 2).write.mode("append").option("header", header).csv(f"{folder}/in")
     run()
-    assert read_scored(spark, f"{folder}/out").count() == 4
+    scored = read_scored(spark, f"{folder}/out")
+    assert scored.count() == 5
+    assert {r.customer_id: r.scored_at for r in scored.collect()} == {None: T1, 88001: T1, 88002: T1, 99: T2}
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/bad.csv")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    names = scoring.SCORING_SCHEMA.fieldNames()
-    out.write((",".join(names) + "\n7,5,1,10,oops" + "," * (len(names) - 5) + "\n").encode())
+    # few columns in another order, and one bad cell
+    out.write(b"total_spend,frequency,customer_id,recency_days\n10,oops,7,5\n20,3,8,6\n")
     out.close()
     run()
-    assert read_scored(spark, f"{folder}/out").count() == 4
-    assert spark.read.parquet(f"{folder}/out/rejected").filter("customer_id = 7").first().reject_reasons == ["unreadable cell"]
-    assert spark.read.parquet(f"{folder}/out/rejected").filter("customer_id = 88004").count() == 1
+    assert read_scored(spark, f"{folder}/out").filter("customer_id = 8").count() == 1
+    rejected = spark.read.option("mergeSchema", True).parquet(f"{folder}/out/rejected")
+    assert rejected.filter("_corrupt like '10,oops%'").first().reject_reasons == ["unreadable cell"]
+    assert rejected.filter("customer_id = 88004").count() == 1
