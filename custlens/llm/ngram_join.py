@@ -12,7 +12,7 @@ in a whole part.
 
 Equal sets are one point, and linked. What is asked for is components, so pairs inside one need no further look:
 
-1. Each set is compared with the smallest of those that it shares a key with. The links found make components, and a
+1. Each set is compared with one of those that it shares a key with, the one with most shared keys. The links found make components, and a
    group of many copies mostly becomes one here, in linear work.
 2. For keys that still hold sets of several components, the sets outside the largest component of the key are looked up
    in R-trees over blocks of the key's sets. Survivors of the bound are compared, and links between components added.
@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.stages import written
-from custlens.llm.common import slices
+from custlens.llm.common import document_key, slices
 from custlens.llm.graph import components
 from custlens.llm.hashing import mix, run_hashes, words
 
-#: Coordinates of a point.
-DIMENSIONS = 32
+#: Coordinates of a point, a power of two. The overlap of two sets that share nothing is bounded by about the square of
+#: their size over this number, so a few hundred tell texts of usual length apart.
+DIMENSIONS = 256
 #: Points in a leaf of the tree, and in one block of a key's points.
 LEAF, BLOCK = 16, 2048
 SLICE = 2 << 20
@@ -67,7 +68,7 @@ def digest(values: np.ndarray) -> bytes:
 
 def point(values: np.ndarray) -> np.ndarray:
     """How many hashes fall into each group."""
-    return np.bincount((values >> np.uint64(59)).astype(np.int64), minlength=DIMENSIONS)
+    return np.bincount((values % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
 class Bands:
@@ -120,7 +121,7 @@ def _short(digest16: bytes) -> int:
     return int.from_bytes(digest16[:8], "little", signed=True)
 
 
-SETS = f"doc_id bigint, n_shingles bigint, set binary, node bigint, point array<int>"
+SETS = "doc_id bigint, doc_key binary, n_shingles bigint, set binary, node bigint, point array<int>"
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -137,11 +138,11 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                     nodes.append(_short(own) if own else None)
                     points.append(point(values) if own else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()),
+                    [batch.column("doc_id"), batch.column("doc_key"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()),
                      pa.array(nodes, pa.int64()), pa.array(points, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "set", "node", "point"])
+                    names=["doc_id", "doc_key", "n_shingles", "set", "node", "point"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.select("doc_id", document_key().alias("doc_key"), "text").mapInArrow(run, SETS)
 
 
 def part_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -172,43 +173,41 @@ def part_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, node, hub) for keys that several sets have; hub is the smallest of them. Groups stream through."""
+    """The distinct (key, node) of keys that several sets have. Groups of any size stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_key = left_node = np.zeros(0, np.int64)
-        open_hub = None  # of the last key so far, once it is known to be shared
+        last_key = last_node = np.zeros(0, np.int64)
+        open_ = False  # whether the last row's key has had another row before
         for batch in batches:
-            key = np.concatenate([left_key, batch.column("key").to_numpy()])
-            node = np.concatenate([left_node, batch.column("node").to_numpy()])
+            key = np.concatenate([last_key, batch.column("key").to_numpy()])
+            node = np.concatenate([last_node, batch.column("node").to_numpy()])
+            if not len(key):
+                continue
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             key, node = key[new], node[new]
-            begins = np.ones(len(key), dtype=bool)
-            begins[1:] = key[1:] != key[:-1]
-            group = np.cumsum(begins) - 1
-            first = np.flatnonzero(begins)
-            several = np.diff(np.append(first, len(key))) > 1
-            hub = node[first]
-            if open_hub is not None and len(key) and key[0] == open_hub[0]:
-                hub[0], several[0] = open_hub[1], True
-            # the last row waits, as it may repeat or begin a shared group
-            out = several[group]
-            out[-1:] = False
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[out]), pa.array(node[out]), pa.array(hub[group[out]])], names=["key", "node", "hub"])
-            if len(key):
-                open_hub = (key[-1], hub[group[-1]], several[group[-1]]) if several[group[-1]] else None
-                left_key, left_node = key[-1:], node[-1:]
-        if open_hub is not None and len(left_key):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(left_key), pa.array(left_node), pa.array([open_hub[1]], pa.int64())], names=["key", "node", "hub"])
-
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, hub bigint")
+            same = key[1:] == key[:-1]
+            several = np.append(same, False)
+            several[1:] |= same
+            several[0] |= open_
+            open_ = bool(several[-1])
+            several[-1] = False  # the last row waits, as it may repeat or begin a shared group
+            yield pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(node[several])], names=["key", "node"])
+            last_key, last_node = key[-1:], node[-1:]
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array(last_key), pa.array(last_node)], names=["key", "node"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint")
 
 
 # ---- the tree ----
 
 
+def _overlap(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """The sums of the smaller coordinates."""
+    return np.minimum(points, point).sum(axis=1, dtype=np.int64)
+
+
 class CountTree:
     """A static R-tree over points: leaves of near points, and boxes of growing numbers of leaves above."""
 
@@ -240,14 +239,14 @@ class CountTree:
         for k in range(len(self.levels) - 1, -1, -1):
             low, high, top, _ = self.levels[k]
             # the overlap is at most the sum of smaller coordinates; the size that suits best is the overlap itself
-            bound = np.minimum(top[alive], point).sum(axis=1)
+            bound = _overlap(top[alive], point)
             possible = np.minimum(bound, high[alive])
             fits = possible * 100 >= percent * (size + np.maximum(low[alive], possible) - possible)
             alive = alive[fits]
             width, count = self.levels[k][3], len(self.levels[k - 1][0]) if k else len(self.points)
             alive = (alive[:, None] * width + np.arange(width)).ravel()
             alive = alive[alive < count]
-        bound = np.minimum(self.points[alive], point).sum(axis=1)
+        bound = _overlap(self.points[alive], point)
         fits = bound * 100 >= percent * (size + self.sizes[alive] - bound)
         return self.order[alive[fits]]
 
@@ -264,7 +263,7 @@ def candidate_pairs(blocks: DataFrame, percent: int) -> DataFrame:
         def answer(rows: pa.Table) -> pa.RecordBatch:
             node, component, size = (rows[c].to_numpy() for c in ("node", "component", "size"))
             asks = rows["asks"].to_numpy(zero_copy_only=False)
-            points = rows["point"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS).astype(np.int64)
+            points = rows["point"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
             inside = np.flatnonzero(~asks)
             pairs: list[tuple[int, int]] = []
             if len(inside):
@@ -344,8 +343,11 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     def side(x: str) -> DataFrame:
         return points.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("point").alias(f"point_{x}"))
 
-    # 1. each set and the smallest that it shares a key with
-    stars = shared.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).where("a <> b")
+    # 1. each set and the one of those that it shares a key with that shares most keys itself: an original rather than
+    # one of its copies
+    degree = shared.groupBy("node").agg(F.count("*").alias("keys"))
+    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("keys", "node")).alias("hub"))
+    stars = shared.join(hubs, "key").groupBy(F.col("node").alias("b")).agg(F.max("hub")["node"].alias("a")).where("a <> b")
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b")
     first = written(verified(stars, texts, sets, n, percent), "links_1")
 
@@ -356,7 +358,7 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     # 2. keys that hold several components still
     named = points.join(labels.withColumnRenamed("node", "set"), "set", "left").select(
         "node", "size", "point", F.xxhash64(F.coalesce("label", "set")).alias("component"))
-    members = written(shared.select("key", "node").join(named.select("node", "component"), "node"), "key_members")
+    members = written(shared.join(named.select("node", "component"), "node"), "key_members")
     by_component = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
     mixed = by_component.groupBy("key").agg(
         F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("largest"),
@@ -387,10 +389,25 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of their component, and those without shingles; all columns are kept.
+    """One document of each component, and all without shingles; all columns are kept.
 
-    Of rows that have the smallest id of a component more than once, each stays.
+    The one with the smallest id stays, missing ids last, then the smallest digest of id and text; of rows with the same
+    id and text any one.
     """
-    found = linked(docs, n, percent)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near_copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    sets, labels = _labelled(docs, n, percent)
+    full = sets.where("set is not null").select("doc_id", "doc_key", "set")
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")
+    firsts = full.groupBy("set").agg(F.min(best).alias("best"), F.count("*").alias("rows"))
+    firsts = firsts.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    stays = written(firsts.groupBy("label").agg(F.min("best")["doc_key"].alias("doc_key"), F.sum("rows").alias("rows")), "stays")
+    gone = full.join(stays, "doc_key", "left_anti").select("doc_key").distinct()
+    twice = full.join(stays.where("rows > 1"), "doc_key", "left_semi").groupBy("doc_key").count().where("count > 1")
+    decided = written(gone.withColumn("goes", F.lit(True)).unionByName(
+        twice.select("doc_key", F.lit(False).alias("goes"))), "decisions")
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), document_key().alias("doc_key"))
+    left = base.join(decided.where("goes"), "doc_key", "left_anti")
+    repeated = decided.where("not goes").select("doc_key")
+    if repeated.limit(1).count():  # rows that are there more than once
+        left = left.join(repeated, "doc_key", "left_anti").unionByName(
+            left.join(repeated, "doc_key", "left_semi").dropDuplicates(["doc_key"]))
+    return left.select("row.*")

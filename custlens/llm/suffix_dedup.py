@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm.common import shuffle_partitions, slices
+from custlens.llm.gather import BLOBS, blob_batches, blobs, by_text
 from custlens.llm.hashing import INVERSE, byte_run_hashes, byte_sums, mix, powers, text_bytes, window_minima
 from custlens.llm.run_index import BREAK, RunLengthIndex, doubled_ranks
-from custlens.llm.substring_dedup import repeated
+from custlens.llm.substring_dedup import ANCHOR_ROWS, anchor_batch, repeated
 
 WINDOW = 100
 ANCHOR = 24
@@ -77,7 +78,7 @@ def _anchored(batch: pa.RecordBatch, window: int):
 
 
 def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(anchor, text_id, place) for the anchors of all texts; a task gives a text once, up to a bounded memory."""
+    """The anchors of all texts; a task gives a text once, up to a bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -95,11 +96,9 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
                 new[1:] = places[1:] != places[:-1]
                 places = places[new]
                 doc = np.searchsorted(offsets, places, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[places].view(np.int64)), pa.array(batch.column("text_id").to_numpy()[doc], pa.int64()),
-                     pa.array((places - offsets[doc]).astype(np.int32))], names=["anchor", "text_id", "place"])
+                yield anchor_batch(runs[places], batch.column("text_id").to_numpy()[doc], places - offsets[doc])
 
-    return texts.select("text", "digest", "text_id").mapInArrow(run, "anchor bigint, text_id bigint, place int")
+    return texts.select("text", "digest", "text_id").mapInArrow(run, ANCHOR_ROWS)
 
 
 def _spans(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -130,7 +129,7 @@ SEGMENTS = "bucket int, anchor binary, length binary, content binary, entry bina
 
 
 def segments(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Blocks of distinct segments by bucket of their anchor, and, with ``anchor`` null, spans known to repeat by text.
+    """Blocks of distinct segments by bucket of their anchor, and, with ``anchor`` null, spans known to repeat.
 
     Rows: doc_id, text, digest, text_id and places, the anchors of the text that occur twice, equal texts in succession.
     """
@@ -149,8 +148,9 @@ def segments(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             rows: list[tuple] = []
             order, new = _first_of_equal(anchor, _content_hash(data, start, length), length, _order(table)[entry], place)
             later = order[~new]
-            for t, spans in _spans(entry[later], place[later], length[later] - window + 1):
-                rows.append((int(table["text_id"][t]) % buckets, None, None, None, table[t:t + 1].tobytes(), spans))
+            known = ((table[t:t + 1].tobytes(), _merged(spans)) for t, spans in _spans(
+                entry[later], place[later], length[later] - window + 1))
+            rows += [(b, None, sizes, None, own, spans) for b, own, sizes, spans in blobs(known, buckets)]
             keep = order[new]
             bucket = (anchor[keep] >> np.uint64(20)) % np.uint64(buckets)
             keep = keep[np.argsort(bucket, kind="stable")]
@@ -273,31 +273,24 @@ def _shared_later(lanes, lane, at_place, data, start, length, window) -> Iterato
     yield lanes[lane[found]], at_place[found]
 
 
-def repeats(blocks: DataFrame, window: int) -> DataFrame:
-    """(text_id, doc, digest, spans): runs of windows that start earlier too, by text and task."""
-
-    def rows(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        table = np.frombuffer(b"".join(f[0] for f in found), dtype=_ENTRY)
-        digest = [h.to_bytes(8, "big") + w.to_bytes(8, "big") for h, w in zip(table["high"].tolist(), table["low"].tolist())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(table["text_id"].astype(np.int64)), pa.array(table["doc"].astype(np.int64)), pa.array(digest, pa.binary()),
-             pa.array([f[1] for f in found], pa.binary())], names=["text_id", "doc", "digest", "spans"])
+def repeats(blocks: DataFrame, window: int, buckets: int) -> DataFrame:
+    """Runs of windows that start earlier too, by bucket of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, entries, n_entries = [], [], 0
         for batch in batches:
             known = []
-            for a, n, c, e, p in zip(*(batch.column(x).to_pylist() for x in ("anchor", "length", "content", "entry", "place"))):
+            for b, a, n, c, e, p in zip(*(batch.column(x).to_pylist() for x in (
+                    "bucket", "anchor", "length", "content", "entry", "place"))):
                 if a is None:
-                    known.append((e, p))
+                    known.append((b, e, n, p))
                     continue
                 both = np.frombuffer(p, "<i4").reshape(2, -1).astype(np.int64)
                 held.append((np.frombuffer(a, np.uint64), np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(c, np.uint8),
                              both[0] + n_entries, both[1]))
                 entries.append(np.frombuffer(e, dtype=_ENTRY))
                 n_entries += len(entries[-1])
-            if known:
-                yield rows(known)
+            yield from blob_batches(known)
         if not held:
             return
         anchor, length, data, entry, place = (np.concatenate([h[k] for h in held]) for k in range(5))
@@ -313,12 +306,11 @@ def repeats(blocks: DataFrame, window: int) -> DataFrame:
             out_entry.append(entry[segment])
             out_start.append(place[segment] + at)
             out_count.append(np.ones(len(at), dtype=np.int64))
-        found = [(table[t:t + 1].tobytes(), _merged(spans)) for t, spans in _spans(
-            np.concatenate(out_entry), np.concatenate(out_start), np.concatenate(out_count))]
-        for a in range(0, len(found), 5000):
-            yield rows(found[a:a + 5000])
+        found = ((table[t:t + 1].tobytes(), _merged(spans)) for t, spans in _spans(
+            np.concatenate(out_entry), np.concatenate(out_start), np.concatenate(out_count)))
+        yield from blob_batches(blobs(found, buckets))
 
-    return blocks.repartition("bucket").mapInArrow(run, "text_id bigint, doc bigint, digest binary, spans binary")
+    return blocks.repartition("bucket").mapInArrow(run, BLOBS)
 
 
 def _merged(spans: bytes) -> bytes:
@@ -340,27 +332,31 @@ def _judged(docs: DataFrame, window: int, finish, name: str) -> DataFrame:
         F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("doc"))
     # the same rows are dealt by text for both joins, so the texts move once
     columns = ["doc_id", "text", "digest", "text_id", "doc"]
-    twice = repeated(anchors(texts, window), "anchor", ["text_id", "place"]).groupBy("text_id").agg(
+    twice = repeated(anchors(texts, window)).groupBy("text_id").agg(
         F.collect_list("place").alias("places"))
     with_anchors = texts.join(twice, "text_id").select(*columns, "places").sortWithinPartitions("text_id", "digest", "doc")
-    found = repeats(segments(with_anchors, window, buckets), window)
+    found = by_text(repeats(segments(with_anchors, window, buckets), window, buckets), _ENTRY.itemsize)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    found = found.select("text_id", "entry", F.col("places").alias("spans"), none("bigint", "doc"), none("binary", "digest"))
     copies = texts.groupBy("text_id", "digest").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where(
-        "doc <> last").select("text_id", "doc", "digest", F.lit(None).cast("binary").alias("spans"))
-    gathered = found.unionByName(copies).groupBy("text_id").agg(F.collect_list(F.struct("doc", "digest", "spans")).alias("found"))
+        "doc <> last").select("text_id", none("binary", "entry"), none("binary", "spans"), "doc", "digest")
+    gathered = found.union(copies).groupBy("text_id").agg(
+        F.collect_list(F.struct("doc", "digest", "entry", "spans")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 out = []
-                for doc_id, text, own, doc, lists in zip(*(batch.column(c).to_pylist() for c in (
-                        "doc_id", "text", "digest", "doc", "found"))):
+                for doc_id, text, own, text_id, doc, lists in zip(*(batch.column(c).to_pylist() for c in (
+                        "doc_id", "text", "digest", "text_id", "doc", "found"))):
                     raw = text.encode()
-                    lists = [f for f in lists or () if f["digest"] == own]
                     removed = np.zeros((0, 2), dtype=np.int64)
-                    if len(raw) >= window:
-                        if any(f["spans"] is None and f["doc"] != doc for f in lists):
+                    if len(raw) >= window and lists:
+                        mine = np.array(
+                            [(text_id, doc, int.from_bytes(own[:8], "big"), int.from_bytes(own[8:], "big"))], dtype=_ENTRY).tobytes()
+                        if any(f["digest"] == own and f["doc"] != doc for f in lists):  # a copy of an earlier document
                             removed = np.array([[0, len(raw)]])
-                        elif spans := b"".join(f["spans"] for f in lists if f["spans"] is not None and f["doc"] == doc):
+                        elif spans := b"".join(f["spans"] for f in lists if f["entry"] == mine):
                             runs = np.frombuffer(spans, "<i4").reshape(-1, 2).astype(np.int64)
                             runs = runs[np.argsort(runs[:, 0], kind="stable")]
                             first, end = runs[:, 0], np.maximum.accumulate(runs.sum(axis=1) + window - 1)
