@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from custlens.functions.ranking import ordered_row_numbers
@@ -119,7 +120,9 @@ def scaled_vectors(df: DataFrame, scaler: Scaler, output: str = "x") -> DataFram
     return VectorAssembler(inputCols=names, outputCol=output).transform(filled).drop(*names)
 
 
-ROWS_PER_TASK = 100_000
+#: Partitions of the rows of a fit. Forests, boosting and k-means draw their samples by partition, so the number belongs to
+#: the model's parameters like a seed: equal numbers give equal models on any cluster. Set it with the table's size.
+FIT_PARTITIONS = 8
 FITS_AT_ONCE = 4
 
 
@@ -130,23 +133,16 @@ def in_parallel(fit: Callable, items: Iterable) -> list:
 
 
 @contextmanager
-def fitting_rows(rows: DataFrame) -> Iterator[DataFrame]:
-    """``rows`` cached for an iterative fit, with tasks of a useful size.
+def fitting_rows(rows: DataFrame, partitions: int = FIT_PARTITIONS) -> Iterator[DataFrame]:
+    """``rows`` cached for an iterative fit, dealt by a hash of their key and in the order of the key.
 
-    A fit runs many short jobs; a small table in many partitions would spend
-    them on task starts. A large table keeps its partitions.
+    The key is the customer, or the vector ``x`` where there is none, so neither the layout nor the order of the input
+    matters.
     """
-    cached = rows.cache()
+    key = F.col("customer_id") if "customer_id" in rows.columns else vector_to_array("x")
+    cached = rows.repartition(partitions, key).sortWithinPartitions(key).cache()
     try:
-        tasks = max(1, -(-cached.count() // ROWS_PER_TASK))
-        if tasks >= cached.rdd.getNumPartitions():
-            yield cached
-        else:
-            packed = cached.coalesce(tasks).cache()
-            try:
-                yield packed
-            finally:
-                packed.unpersist()
+        yield cached
     finally:
         cached.unpersist()
 
