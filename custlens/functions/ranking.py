@@ -2,10 +2,9 @@
 
 A window without PARTITION BY moves the whole table into one task, and an
 exact percentile aggregate keeps all values of a group in one buffer. Here a
-column is first reduced to (value, count), and that table is written. If no
-group of it has more than ``ONE_TASK_VALUES`` values, a window per group orders
-it. Otherwise it is cut into ordered buckets whose number is bounded, and only
-the per-bucket totals meet in one task.
+column is first reduced to (value, count), and that table is written and cut
+into ordered buckets whose number is bounded. Values are ordered inside
+buckets, and only the per-bucket totals meet in one task, at every size.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from custlens.functions.joins import lookup_join
 from custlens.functions.stages import written
 
 BUCKETS_PER_E = 1024.0
-ONE_TASK_VALUES = 1_000_000
 
 
 def value_bucket(x: Column) -> Column:
@@ -57,11 +55,6 @@ def cumulative_counts(
     )
     running = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy(*by)
-    if _largest_group(counts, by) <= ONE_TASK_VALUES:
-        return counts.select(
-            *by, "value", "n", (F.sum("n").over(running(group.orderBy("value"))) - F.col("n")).alias("below"),
-            F.sum("n").over(group).alias("total"), *sums,
-        )
     counts = counts.withColumn("bucket", value_bucket(F.col("value")))
     totals = (
         counts.groupBy(*by, "bucket")
@@ -79,20 +72,13 @@ def cumulative_counts(
     )
 
 
-def _largest_group(counts: DataFrame, by: Sequence[str]) -> int:
-    """Most distinct values of a group; one number."""
-    if not by:
-        return counts.count()
-    return counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
 def exact_quantiles(
     df: DataFrame, value: Column | str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linear-interpolation quantiles and the ``total`` of values, one row per
     group, one column per name.
 
-    With buckets, only those that hold a wanted rank are ordered.
+    Only buckets that hold a wanted rank are ordered.
     """
     def ranks(p: float) -> tuple[Column, Column, Column]:
         position = (F.col("total") - 1).cast("double") * F.lit(float(p))
