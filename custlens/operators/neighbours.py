@@ -1,153 +1,61 @@
-"""Exact k-nearest-neighbour vote by cell pruning.
+"""Exact k-nearest-neighbour vote against a bounded number of labelled rows.
 
-Training rows are grouped into cells around centroids. A query row first
-searches its own cell; the distance of its k-th neighbour there bounds the
-search, and only cells that can hold something nearer are visited. Cells are
-cut into blocks, on both sides, so that no task gets a whole cell, and a block
-answers with at most k rows per query.
+The classifier is fitted on at most ``FIT_ROWS`` training rows, picked by a hash of their key; that is its size, like
+the number of trees of a forest. They are one matrix on every executor, and the rows to classify pass it in Arrow
+batches: no vector is shuffled, and the work grows with the rows to classify alone.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
-
-from custlens.functions.stages import written
-from custlens.operators.splits import SEED
+from pyspark.sql import DataFrame, functions as F
 
 NEIGHBOURS = 15
-BLOCK_ROWS = 4096
-MAX_CELLS = 1024
+#: Labelled rows of the fit; with 34 doubles each, 20,000 are a matrix of 5 MB.
+FIT_ROWS = 20_000
 QUERY_ROWS = 256
-# Distances of the pruning test carry rounding errors of the centroid arithmetic.
-SLACK = 1e-9
-
-_RESULT = "qid long, tid long, d double, y double"
-
-
-def _cells(train: DataFrame, cells: int | None) -> tuple[DataFrame, np.ndarray]:
-    """Training rows with their cell, and the centroids (at most MAX_CELLS)."""
-    if cells is None:
-        cells = max(1, min(MAX_CELLS, int(math.sqrt(train.count()) / 4)))
-    if cells == 1:
-        width = len(train.first()["x"])
-        return train.withColumn("cell", F.lit(0)), np.zeros((1, width))
-    vectors = train.withColumn("v", array_to_vector("x"))
-    model = KMeans(k=cells, seed=SEED, featuresCol="v", predictionCol="cell", maxIter=10).fit(vectors)
-    return model.transform(vectors).drop("v"), np.array(model.clusterCenters())
-
-
-def _to_centers(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Distances of the rows of ``x`` to all centroids."""
-    return np.sqrt(np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1))
 
 
-def _search(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows per query and block. Both sides are cut into blocks."""
-    def nearest(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or rows.empty:
-            return pd.DataFrame({"qid": [], "tid": [], "d": [], "y": []})
-        x, ids, y = np.stack(rows["x"]), rows["tid"].to_numpy(), rows["y"].to_numpy()
-        q = np.stack(queries["x"])
-        size, q_size = (x**2).sum(axis=1), (q**2).sum(axis=1)
-        found = []
-        for start in range(0, len(q), QUERY_ROWS):
-            part = slice(start, start + QUERY_ROWS)
-            # Quick squared distances pick the candidates, with room for their rounding errors.
-            quick = size + q_size[part, None] - 2.0 * (q[part] @ x.T)
-            room = 1e-9 * (size.max() + q_size[part] + 1.0)
-            limit = np.partition(quick, k - 1, axis=1)[:, k - 1] + room if len(x) > k else np.full(len(quick), np.inf)
-            for i, qid in enumerate(queries["qid"].iloc[part]):
-                near = np.flatnonzero(quick[i] <= limit[i])
-                d = np.sqrt(((x[near] - q[start + i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[near], d))[:k]
-                found.append((np.full(len(best), qid), ids[near[best]], d[best], y[near[best]]))
-        return pd.DataFrame(dict(zip(("qid", "tid", "d", "y"), map(np.concatenate, zip(*found)))))
+def fit_rows(train: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """The ``rows`` training rows with the smallest hash of ``tid``; all of them if there are no more."""
+    return train.orderBy(F.md5(F.concat(F.col("tid").cast("string"), F.lit(":knn")).cast("binary")), "tid").limit(rows)
 
-    keys = ["cell", "block", "q_block"]
-    return visits.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(nearest, _RESULT)
 
+def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = NEIGHBOURS, rows: int = FIT_ROWS) -> DataFrame:
+    """(qid, tid, d, y) for the k nearest rows of the fit for every query.
 
-def _blocked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training rows with a block number, and per cell its radius and block count."""
-    sizes = written(
-        placed.groupBy("cell").agg(
-            F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.max("to_center").alias("radius")
-        ),
-        "cells",
-    )
-    # At most MAX_CELLS rows.
-    blocked = placed.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    )
-    return blocked, sizes
-
-
-def _visit_blocks(visits: DataFrame, blocked: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries repeated per block of the cell, training blocks per query block."""
-    visits = visits.join(F.broadcast(sizes.select("cell", "blocks")), "cell")
-    q_blocks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("q_blocks"))
-    q = visits.join(F.broadcast(q_blocks), "cell").select(
-        "qid", "x", "cell", F.pmod(F.xxhash64("qid"), F.col("q_blocks")).cast("int").alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-    t = blocked.join(F.broadcast(q_blocks), "cell").select(
-        "tid", "x", "y", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block")
-    )
-    return q, t
-
-
-def nearest_neighbours(
-    queries: DataFrame, train: DataFrame, k: int = NEIGHBOURS, cells: int | None = None
-) -> DataFrame:
-    """(qid, tid, d, y, place) for the k nearest training rows of every query.
-
-    ``queries`` has (qid, x), ``train`` (tid, x, y); x is an array of doubles.
-    Ties in distance go to the smaller tid.
+    ``queries`` has (qid, x), ``train`` (tid, x, y); x is an array of doubles. Ties in distance go to the smaller tid.
     """
-    placed, centers = _cells(train, cells)
-
-    @F.pandas_udf("double")
-    def to_center(x: pd.Series, cell: pd.Series) -> pd.Series:
-        return pd.Series(np.sqrt(((np.stack(x) - centers[cell.to_numpy()]) ** 2).sum(axis=1)))
-
-    placed = written(placed.withColumn("to_center", to_center("x", "cell")), "knn_cells")
-    blocked, sizes = _blocked(placed)
-    known = sizes.collect()  # at most MAX_CELLS rows
-    used = np.array([r.cell for r in known])
-    radius = np.array([r.radius for r in known])
-    used_centers = centers[used]
-
-    @F.pandas_udf("int")
-    def home_cell(x: pd.Series) -> pd.Series:
-        return pd.Series(used[_to_centers(np.stack(x), used_centers).argmin(axis=1)])
-
-    @F.pandas_udf("array<int>")
-    def cells_in_reach(x: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
-        near = _to_centers(np.stack(x), used_centers) - radius <= limit.to_numpy()[:, None] + SLACK
-        near &= used != home.to_numpy()[:, None]
-        return pd.Series([used[row] for row in near])
-
-    home = queries.select("qid", "x", home_cell("x").alias("cell"))
-    nearest_first = written(_keep(_search(*_visit_blocks(home, blocked, sizes), k), k), "home_neighbours")
-    bound = nearest_first.groupBy("qid").agg(F.max("d").alias("bound"), F.count(F.lit(1)).alias("found"))
-    # With fewer than k rows at home nothing can be ruled out.
-    limit = F.coalesce(F.when(F.col("found") >= k, F.col("bound")), F.lit(float("inf")))
-    others = home.join(bound, "qid", "left").select(
-        "qid", "x", F.explode(cells_in_reach("x", "cell", limit)).alias("cell")
-    )
-    second = _search(*_visit_blocks(others, blocked, sizes), k)
-    return _keep(nearest_first.drop("place").unionByName(second), k)
-
-
-def _keep(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy("d", "tid")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    fitted = sorted(fit_rows(train.select("tid", "x", "y"), rows).collect())  # at most ``rows`` rows
+    ids = np.array([r.tid for r in fitted], dtype=np.int64)
+    x, y = np.array([r.x for r in fitted], dtype=np.float64), np.array([r.y for r in fitted], dtype=np.float64)
+    model = queries.sparkSession.sparkContext.broadcast((ids, x, y))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, y = model.value
+        size = (x**2).sum(axis=1) if len(x) else np.zeros(0)
+        for batch in batches:
+            found = []
+            for start in range(0, len(batch) if len(x) else 0, QUERY_ROWS):
+                part = batch.iloc[start:start + QUERY_ROWS]
+                q = np.stack(part["x"])
+                q_size = (q**2).sum(axis=1)
+                # Quick squared distances pick the candidates, with room for their rounding errors.
+                quick = size + q_size[:, None] - 2.0 * (q @ x.T)
+                room = 1e-9 * (size.max() + q_size + 1.0)
+                limit = np.partition(quick, k - 1, axis=1)[:, k - 1] + room if len(x) > k else np.full(len(quick), np.inf)
+                for i, qid in enumerate(part["qid"]):
+                    near = np.flatnonzero(quick[i] <= limit[i])
+                    d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[near], d))[:k]
+                    found.append((np.full(len(best), qid), ids[near[best]], d[best], y[near[best]]))
+            if found:
+                yield pd.DataFrame(dict(zip(("qid", "tid", "d", "y"), map(np.concatenate, zip(*found)))))
+
+    return queries.select("qid", "x").mapInPandas(nearest, "qid long, tid long, d double, y double")
 
 
 def distance_vote(neighbours: DataFrame) -> DataFrame:

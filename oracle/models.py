@@ -60,10 +60,12 @@ EXTRA = {
     "positions": """
  select churn, rank() over (order by margin) + (count(*) over (partition by margin) - 1) / 2.0::double as r from scored""",
     "knn_x": "select customer_id, split, churn, [" + ", ".join(z(c) for c in INPUTS) + "] as x from churn_split, churn_stats",
+    # the same bound on the rows of the fit
+    "knn_fit": "select customer_id, churn, x from knn_x where split = 'train' order by md5(concat(customer_id, ':knn')), customer_id limit 20000",
     "knn_near": """
  select qid, y, d, row_number() over (partition by qid order by d, tid) as place from (
   select q.customer_id as qid, t.customer_id as tid, t.churn as y, list_distance(q.x, t.x) as d
-  from knn_x q join knn_x t on q.split <> 'train' and t.split = 'train')""",
+  from knn_x q cross join knn_fit t where q.split <> 'train')""",
     "gram_x": "select [" + ", ".join([z(c) for c in INPUTS] + ["clv_next_90d / 1000000.0::double", "1.0::double"]) + "]::double[] as x from clv_train, clv_stats",
     "order_events": """
  select customer_id, invoice, min(invoice_date) as seen, sum(total_amount::decimal(18,2))::double as amount, sum(quantity) as quantity,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from custlens.functions.stages import new_path
 from custlens.operators import anomaly, explain, linear, metrics, models, segments, sequences, splits, surrogate
 from custlens.operators.neighbours import distance_vote, nearest_neighbours
+from custlens.operators.splits import fitting_rows
 from custlens.operators.trees import load_ensemble, with_tree_factors
 from tests.conftest import by_key
 
@@ -108,8 +110,7 @@ def test_linear_attributions_add_up(planted):
     assert out.filter(F.abs(F.col("total") - F.col("want")) > 1e-9).count() == 0
 
 
-@pytest.mark.parametrize("cells", [1, 8])
-def test_neighbours_equal_brute_force(spark, cells):
+def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     # Two thirds of the training rows in one tight clump, some of them equal.
     train = np.vstack([rng.normal(0, 0.05, (400, 5)).round(2), rng.normal(0, 3, (200, 5))])
@@ -117,7 +118,7 @@ def test_neighbours_equal_brute_force(spark, cells):
     query = np.vstack([rng.normal(0, 2, (30, 5)), train[:10]])
     t = spark.createDataFrame([(i, x.tolist(), float(c)) for i, (x, c) in enumerate(zip(train, y))], "tid long, x array<double>, y double")
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(query)], "qid long, x array<double>")
-    near = nearest_neighbours(q, t, k=7, cells=cells)
+    near = nearest_neighbours(q, t, k=7)
     got = near.toPandas()
     votes = by_key(distance_vote(near), "qid")
     for i, x in enumerate(query):
@@ -129,17 +130,34 @@ def test_neighbours_equal_brute_force(spark, cells):
         assert votes[i].probability == pytest.approx(want)
 
 
-def test_blocks_split_a_full_cell(spark, monkeypatch):
-    from custlens.operators import neighbours
-
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+def test_neighbours_of_a_bounded_fit(spark):
     rng = np.random.default_rng(2)
     train, query = rng.normal(0, 1, (200, 2)), rng.normal(0, 1, (50, 2))
     t = spark.createDataFrame([(i, x.tolist(), 1.0) for i, x in enumerate(train)], "tid long, x array<double>, y double")
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(query)], "qid long, x array<double>")
-    got = nearest_neighbours(q, t, k=3, cells=1).toPandas()
-    for i, x in enumerate(query):
-        assert sorted(got[got.qid == i].tid) == sorted(np.argsort(((train - x) ** 2).sum(1))[:3])
+    chosen = sorted(range(200), key=lambda i: hashlib.md5(f"{i}:knn".encode()).hexdigest())[:60]
+    for parts in (1, 5):
+        got = nearest_neighbours(q, t.repartition(parts), k=3, rows=60).toPandas()
+        for i, x in enumerate(query):
+            near = sorted(chosen, key=lambda j: ((train[j] - x) ** 2).sum())[:3]
+            assert sorted(got[got.qid == i].tid) == sorted(near)
+
+
+def test_fits_do_not_depend_on_the_layout(spark, planted):
+    rows = _vectors(planted)
+    specs = {name: models.CHURN_MODELS[name] for name in ("churn_rf", "churn_tree")}
+    specs["gbt"] = models.Spec(lambda t, v: GBTClassifier(maxIter=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=1).fit(t))
+    seen = {}
+    for parts in (1, 3, 8):
+        for name, spec in specs.items():
+            with fitting_rows(rows.repartition(parts).orderBy(F.rand(parts))) as fit:
+                model = models.fit_model(fit, spec)
+                out = model.transform(rows).select("customer_id", vector_to_array("probability")[1].alias("p"))
+                got = {r.customer_id: round(r.p, 9) for r in out.collect()}
+            assert seen.setdefault(name, got) == got
+    vectors = rows.select("customer_id", F.col("features").alias("x"))
+    costs = {round(segments.fit_kmeans(vectors.repartition(parts), 3, restarts=2).summary.trainingCost, 6) for parts in (1, 3, 8)}
+    assert len(costs) == 1
 
 
 def _vectors(planted):
