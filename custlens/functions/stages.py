@@ -7,7 +7,9 @@ whole lineage.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _tables: dict[tuple, str] = {}
+_hooked: list = []
+_lock = threading.Lock()
 _local_folders: dict[str, str] = {}
 
 
@@ -31,8 +35,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/custlens/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/custlens/{uuid.uuid4().hex}/{name}"
+    with _lock:
+        if not _hooked:
+            _hooked.append(atexit.register(_release_at_exit))
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the stage tables of this application, for the end of a job whose results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    with _lock:
+        for key in [k for k in _tables if k[0] == spark.sparkContext.applicationId]:
+            del _tables[key]
+
+
+def _release_at_exit() -> None:
+    """At the end of the driver, if its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            release(spark)
+        except Exception:  # the session ends at the same time; what remains lies in the application's own folder
+            pass
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -44,11 +74,15 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
 
 
 def input_version(spark: SparkSession, folder: str) -> tuple:
-    """Names, lengths and change times of the files of a folder."""
+    """Paths, lengths and change times of all files of a folder, those in folders inside it included."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def stage(
@@ -57,8 +91,11 @@ def stage(
 ) -> DataFrame:
     """The stage ``name`` of an input folder, built at its first use in the application."""
     key = (spark.sparkContext.applicationId, folder, input_version(spark, folder), name)
-    if key not in _tables:
+    with _lock:
+        path = _tables.get(key)
+    if path is None:
         path = new_path(spark, name)
         build().write.partitionBy(*partition_by).parquet(path)
-        _tables[key] = path
-    return spark.read.parquet(_tables[key])
+        with _lock:  # of two that were built at the same time, the first stays
+            path = _tables.setdefault(key, path)
+    return spark.read.parquet(path)
