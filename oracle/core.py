@@ -113,6 +113,9 @@ ORACLE = {
     "cohort": q("select * from cohort"),
     "targets": q("select * from targets"),
     "customer_features": q("select * from features"),
+    "ingest_sheets": q("select invoice, trim(stock_code) as stock_code, trim(description) as description, quantity, invoice_date, price, customer_id, trim(country) as country from raw_transactions"),
+    "cleaned_roundtrip": q(f"select {CLEANED} from cleaned, cutoff where invoice_date <= t"),
+    "features_roundtrip": q("select * from features"),
     "cohort_summary": q(f"""
  select count(*)::bigint as cohort_size, {half_even('avg(churn)', 4)} as churn_rate, count(*) filter (where churn = 0)::bigint as retained_count,
         count(*) filter (where churn = 1)::bigint as churned_count, {half_even('sum(clv_next_90d::decimal(18,2))::double / count(*)', 4)} as mean_clv_90d,

@@ -117,6 +117,7 @@ ORACLE = {
         {half_even('sum(predicted_clv::decimal(18,2))::double / count(*)', 2)} as mean_predicted_clv, count(*) filter (where is_anomaly)::bigint as anomalies_detected
  from rescored"""),
     "batch_export": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
+    "export_roundtrip": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
     "serving_customers": q("select * from customers_t"),
     "serving_segments": q("select * from segments_t"),
     "serving_predictions": q("select * from predictions_t"),
