@@ -36,10 +36,13 @@ NOT_PLAIN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 def plain_words(text: Column) -> Column:
     """The runs of letters, digits and characters outside ASCII, as an array."""
-    bare = F.regexp_replace(text, "^" + NOT_PLAIN, "")
-    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, NOT_PLAIN))
-    # a separator at the end leaves an empty last piece
-    return let(words, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, 1, F.size(w) - 1)).otherwise(w))
+    def inner(w: Column) -> Column:
+        """Without the empty pieces that a separator at the beginning or the end leaves."""
+        before = F.when(w[0] == "", 1).otherwise(0)
+        behind = F.when((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == ""), 1).otherwise(0)
+        return F.when((before == 0) & (behind == 0), w).otherwise(F.slice(w, before + 1, F.size(w) - before - behind))
+
+    return let(F.split(text, NOT_PLAIN), inner)
 
 
 def document_key() -> Column:

@@ -41,7 +41,8 @@ def _grams(words: Column, n: int, of) -> Column:
 
 
 def _hash(parts: list[Column]) -> Column:
-    return F.xxhash64(*parts)
+    """Shingles of different lengths differ in their hash, too."""
+    return F.xxhash64(F.lit(len(parts)), *parts)
 
 
 def _phrase(parts: list[Column]) -> Column:
@@ -49,7 +50,10 @@ def _phrase(parts: list[Column]) -> Column:
 
 
 def item_shingles(items: DataFrame, words: int = WORDS) -> DataFrame:
-    """The distinct shingles of every item: item_id, n (words in the shingle), phrase, hash, size (of the item's set)."""
+    """The distinct shingles of every item: item_id, n (words in the shingle), phrase, hash, size (of the item's set).
+
+    No word holds a blank, so phrases of different lengths differ.
+    """
     each = items.select("item_id", rows_of(F.struct(_words().alias("words")))).where(F.size("words") > 0)
     parts = []
     for n in range(1, words + 1):
@@ -66,14 +70,13 @@ def item_shingles(items: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def signatures(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The signature hashes (n, hash) by size partition: sizes up to the next power of two share a signature length."""
+    """The signature hashes by size partition: sizes up to the next power of two share a signature length."""
     largest = F.pow(F.lit(2.0), F.floor(F.log2("size")) + 1).cast("long") - 1
     length = largest - F.ceil(largest * percent / 100) + 1
     # smallest hashes first; the set of one item is small, and its rows are ordered by item
     chosen = shingles.groupBy("item_id", length.alias("length")).agg(
-        F.sort_array(F.collect_list(F.struct("hash", "n"))).alias("sorted"))
-    return chosen.select(F.explode(F.slice("sorted", 1, F.col("length").cast("int"))).alias("s")).select(
-        "s.n", "s.hash").distinct()
+        F.sort_array(F.collect_list("hash")).alias("sorted"))
+    return chosen.select(F.explode(F.slice("sorted", 1, F.col("length").cast("int"))).alias("gram")).distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -83,31 +86,26 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, percent: int
     probes = written(signatures(shingles, percent), "item_signatures")
     lengths = sorted(r["n"] for r in shingles.select("n").distinct().collect())  # at most `words` values
     few = probes.count() <= MOST_BROADCAST
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = document_key()
-
-    def grams(of) -> list:
-        """For each shingle length in use, a function from the words to the array of shingles."""
-        return [lambda w, n=n: F.coalesce(
-            F.transform(_grams(w, n, of), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))),
-            F.array().cast(f"array<struct<n:int,gram:{'bigint' if of is _hash else 'string'}>>")) for n in lengths]
+    # the key is computed before shingles become rows, once per document
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", document_key().alias("doc_key"), "text")
 
     def shingled(frame: DataFrame, of) -> DataFrame:
-        makers = grams(of)
-        return frame.select("doc_id", key.alias("doc_key"), F.inline(
-            let(_words(), lambda w: F.array_distinct(F.concat(*(m(w) for m in makers))) if of is _phrase
-                else F.concat(*(m(w) for m in makers)))))
+        """One row per shingle of the lengths in use: doc_key, doc_id, gram."""
+        kind = "array<bigint>" if of is _hash else "array<string>"
+        one = lambda w, n: F.coalesce(_grams(w, n, of), F.array().cast(kind))
+        grams = let(_words(), lambda w: F.concat(*(one(w, n) for n in lengths)) if len(lengths) > 1 else one(w, lengths[0]))
+        return frame.select("doc_key", "doc_id", F.explode(grams if of is _hash else F.array_distinct(grams)).alias("gram"))
 
     if not lengths:
         return spark.createDataFrame([], "doc_key binary, doc_id bigint, item_id bigint, n_shared bigint, n_item bigint, "
                                          "containment double")
-    probe = probes.select("n", F.col("hash").alias("gram"))
-    hit = shingled(texts, _hash).join(F.broadcast(probe) if few else probe, ["n", "gram"], "left_semi")
+    hit = shingled(texts, _hash).select("doc_key", "gram").join(F.broadcast(probes) if few else probes, "gram", "left_semi")
     near = written(hit.select("doc_key").distinct(), "documents_hit")
-    suspects = texts.join(near, key == near["doc_key"], "left_semi")
-    exact = shingles.select("n", F.col("phrase").alias("gram"), "item_id", "size")
-    shared = shingled(suspects, _phrase).join(exact, ["n", "gram"]).groupBy("doc_key", "doc_id", "item_id").agg(
-        F.count_distinct("n", "gram").alias("n_shared"), F.max("size").alias("n_item"))
+    suspects = texts.join(near, "doc_key", "left_semi")
+    exact = shingles.select(F.col("phrase").alias("gram"), "item_id", "size")
+    shared = shingled(suspects, _phrase).join(exact, "gram").groupBy("doc_key", "doc_id", "item_id").agg(
+        F.count("*").alias("n_shared"), F.max("size").alias("n_item"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).withColumn(
         "containment", F.col("n_shared") / F.col("n_item"))
 

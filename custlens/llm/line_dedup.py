@@ -49,7 +49,9 @@ def windows(docs: DataFrame) -> DataFrame:
                 F.unhex(F.md5(F.concat_ws("\n", *(full[i + k]["s"] for k in range(WINDOW))))).alias("digest"),
                 i.alias("place"), F.array(*(full[i + k]["at"] for k in range(WINDOW))).alias("covers"))))
 
-    return docs.select("doc_id", document_key().alias("doc_key"), F.inline(let(_full(_text()), here)))
+    # the key is computed before windows become rows, once per document
+    keyed = docs.select("doc_id", document_key().alias("doc_key"), "text")
+    return keyed.select("doc_id", "doc_key", F.inline(let(_full(_text()), here)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
