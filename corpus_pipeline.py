@@ -8,6 +8,7 @@ hold a benchmark item.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from custlens.functions.stages import written
 from custlens.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
@@ -19,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later occurrences of three-line windows."""
-    return line_dedup.deduplicated(docs)
+    """Documents without the later occurrences of three-line windows; their length in characters follows."""
+    left = line_dedup.deduplicated(docs)
+    return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
