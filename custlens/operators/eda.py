@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from custlens.functions.columns import cents, days_between, round_even
 from custlens.functions.ranking import exact_quantiles
+from custlens.functions.stages import written
 from custlens.operators.orders import sale
 
 
@@ -112,16 +113,24 @@ def eda_histograms(lines: DataFrame) -> DataFrame:
 
 def findings(lines: DataFrame) -> DataFrame:
     """One row: customers, median and mean of recency, orders and spend, domestic share."""
-    rfm = simple_rfm(lines)
-    measures = {"recency": "recency_days", "frequency": "frequency_orders", "monetary": "spend"}
-    columns = [F.count(F.lit(1)).alias("total_active_customers")]
-    for source, name in measures.items():
-        median = exact_quantiles(rfm, source, {"median": 0.5}).select("median").scalar()
-        columns.append(F.first(median).alias(f"median_{name}"))
-        mean = F.sum(cents(source).cast("decimal(38,0)")).cast("double") / 100.0 / F.count(source)
-        columns.append(mean.alias(f"mean_{name}"))
+    names = {"recency": "recency_days", "frequency": "frequency_orders", "monetary": "spend"}
+    # one row per customer and measure, so that the lines are rolled up once for all of them
+    long = written(simple_rfm(lines).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in names
+    ]))), "rfm_measures")
+    medians = exact_quantiles(long, "value", {"median": 0.5}, by=["measure"]).select("measure", "median")
+    means = long.groupBy("measure").agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.sum(cents("value").cast("decimal(38,0)")).cast("double") / 100.0 / F.count("value")).alias("mean"))
+    both = means.join(medians, "measure", "left")  # three rows
+    def of(source: str, column: str) -> Column:
+        return F.max(F.when(F.col("measure") == source, F.col(column)))
+
+    columns = [F.max("rows").alias("total_active_customers")]
+    for source, name in names.items():
+        columns += [of(source, "median").alias(f"median_{name}"), of(source, "mean").alias(f"mean_{name}")]
     share = domestic_share(lines).scalar()
-    return rfm.agg(*columns, F.first(share).alias("uk_revenue_share"))
+    return both.agg(*columns, F.first(share).alias("uk_revenue_share"))
 
 
 def returner_share(lines: DataFrame) -> DataFrame:

@@ -48,8 +48,10 @@ def fit_ridge(df: DataFrame, columns: list[str], label: str, alpha: float = 100.
     return LinearModel(float(y_mean - mean @ w), {c: float(v) for c, v in zip(columns, w)})
 
 
-def linear_attributions(df: DataFrame, weights: dict[str, float], key: str = "customer_id") -> DataFrame:
-    """Exact Shapley values of a linear score: weight * (value - mean), as a factor array."""
+def linear_attributions(
+    df: DataFrame, weights: dict[str, float], key: str = "customer_id", keep: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Exact Shapley values of a linear score: weight * (value - mean), as a factor array; ``keep`` adds columns."""
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in weights]).first()  # one row
     factors = [
         F.struct(
@@ -59,4 +61,4 @@ def linear_attributions(df: DataFrame, weights: dict[str, float], key: str = "cu
         )
         for c, w in weights.items()
     ]
-    return df.select(key, F.array(*factors).alias("factors"))
+    return df.select(key, F.array(*factors).alias("factors"), *[c.alias(name) for name, c in (keep or {}).items()])

@@ -57,12 +57,16 @@ def anomalies_table(scored: DataFrame, p95: Column, p99: Column, flagged_at: dat
     )
 
 
-def latest(history: DataFrame, at: str) -> DataFrame:
-    """The newest row per customer; an aggregate, so long histories merge before the shuffle."""
+def latest(history: DataFrame, at: str, count_as: str | None = None) -> DataFrame:
+    """The newest row per customer, with their number if ``count_as`` names it.
+
+    An aggregate, so long histories merge before the shuffle.
+    """
     others = [c for c in history.columns if c != "customer_id"]
     order = F.struct(at, *[c for c in others if c != at])
-    newest = history.groupBy("customer_id").agg(F.max(order).alias("row"))
-    return newest.select("customer_id", *[F.col(f"row.{c}").alias(c) for c in others])
+    newest = history.groupBy("customer_id").agg(F.max(order).alias("row"), F.count(F.lit(1)).alias("rows"))
+    counted = [F.col("rows").alias(count_as)] if count_as else []
+    return newest.select("customer_id", *[F.col(f"row.{c}").alias(c) for c in others], *counted)
 
 
 def upsert_customers(existing: DataFrame, scored: DataFrame, country: str = HOME) -> DataFrame:
@@ -129,11 +133,13 @@ def customer_360(
     def nested(df: DataFrame, name: str) -> DataFrame:
         return df.select("customer_id", F.struct(*[c for c in df.columns if c != "customer_id"]).alias(name))
 
-    counts = predictions.groupBy("customer_id").agg(F.count(F.lit(1)).alias("historical_predictions_count"))
+    number = "historical_predictions_count"
+    newest = latest(predictions, "scored_at", number)
+    fields = [c for c in newest.columns if c not in ("customer_id", number)]
+    newest = newest.select("customer_id", F.struct(*fields).alias("latest_prediction"), number)
     return (
         customers.join(nested(segments, "segment"), "customer_id", "left")
-        .join(nested(latest(predictions, "scored_at"), "latest_prediction"), "customer_id", "left")
-        .join(counts, "customer_id", "left")
+        .join(newest, "customer_id", "left")
         .join(nested(latest(anomalies, "flagged_at"), "latest_anomaly"), "customer_id", "left")
         .join(nested(rfm_metrics(features), "rfm_metrics"), "customer_id", "left")
         .fillna(0, subset=["historical_predictions_count"])

@@ -1,10 +1,11 @@
 """Local linear surrogate of a model around single customers.
 
-Features are cut at the quartiles of the training rows. Around a customer,
-bins are drawn by their training frequency; the surrogate is a weighted ridge
-on "same bin as the customer". Quartiles and bin statistics are Spark
-aggregates; the draws, the scoring and the small fit happen where the customer
-is, so nothing is shuffled.
+Features are cut at the quartiles of the training rows. Bins are drawn by
+their training frequency, and values inside them; the surrogate is a weighted
+ridge on "same bin as the customer". The draws do not depend on the customer,
+so a task makes and scores them once, with one call of the model; per customer
+remain the comparison of bins and the small fit. Quartiles and bin statistics
+are Spark aggregates; nothing is shuffled, and the partitions stay as they are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,6 @@ from custlens.operators.splits import SEED
 
 SAMPLES = 5000
 FEATURES = 6
-ROWS_PER_TASK = 64
 
 
 @dataclass
@@ -38,7 +39,8 @@ class Bins:
     high: list[np.ndarray]
 
     def bin_of(self, x: np.ndarray) -> np.ndarray:
-        return np.array([int(np.searchsorted(c, v)) for c, v in zip(self.cuts, x)])
+        """The bins of a matrix of rows, feature by feature."""
+        return np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(self.cuts)], axis=1)
 
     def rule(self, j: int, b: int) -> str:
         c, name = self.cuts[j], self.names[j]
@@ -78,22 +80,24 @@ def fit_bins(train: DataFrame, columns: list[str]) -> Bins:
     return out
 
 
-def _draw(rng: np.random.Generator, bins: Bins, x: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Perturbed rows and their same-bin indicators; the first row is the customer."""
-    home = bins.bin_of(x)
-    rows, same = np.empty((samples, len(x))), np.empty((samples, len(x)))
-    for j in range(len(x)):
+def _draws(bins: Bins, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Perturbed rows and their bins. Values follow the bin's normal distribution cut at its ends, by inverse CDF."""
+    rng, normal = np.random.default_rng(seed), NormalDist()
+    rows, places = np.empty((samples, len(bins.names))), np.empty((samples, len(bins.names)), dtype=np.int64)
+    for j in range(len(bins.names)):
         b = rng.choice(len(bins.share[j]), size=samples, p=bins.share[j])
-        low, high = bins.low[j][b], bins.high[j][b]
-        v = rng.normal(bins.mean[j][b], bins.deviation[j][b])
-        for _ in range(20):  # redraw what fell outside its bin
-            out = (v < low) | (v > high)
-            if not out.any():
-                break
-            v[out] = rng.normal(bins.mean[j][b[out]], bins.deviation[j][b[out]])
-        rows[:, j], same[:, j] = np.clip(v, low, high), b == home[j]
-    rows[0], same[0] = x, 1.0
-    return rows, same
+        u = rng.random(samples)
+        for k in range(len(bins.share[j])):
+            mean, deviation, low, high = (float(v[j][k]) for v in (bins.mean, bins.deviation, bins.low, bins.high))
+            mine = np.flatnonzero(b == k)
+            if deviation == 0.0 or low == high:
+                rows[mine, j] = mean
+                continue
+            first, last = normal.cdf((low - mean) / deviation), normal.cdf((high - mean) / deviation)
+            share = np.clip(first + u[mine] * (last - first), 1e-12, 1.0 - 1e-12)
+            rows[mine, j] = np.clip([mean + deviation * normal.inv_cdf(p) for p in share], low, high)
+        places[:, j] = b
+    return rows, places
 
 
 def _fit(z: np.ndarray, y: np.ndarray, w: np.ndarray, keep: int) -> tuple[list[int], np.ndarray, float]:
@@ -121,32 +125,38 @@ def local_surrogates(
     df: DataFrame, bins: Bins, probability: Callable[[np.ndarray], np.ndarray],
     features: int = FEATURES, samples: int = SAMPLES, key: str = "customer_id", seed: int = SEED,
 ) -> DataFrame:
-    """(key, churn_probability, surrogate_score, factors) per row of ``df``.
+    """(key, churn_probability, surrogate_score, factors) per row of ``df``, the customers to explain.
 
     ``probability`` maps a matrix of feature rows to churn probabilities. The
-    draws of a customer depend on the seed and the key only.
+    draws depend on the seed only.
     """
     names = bins.names
     width = math.sqrt(len(names)) * 0.75
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, places = _draws(bins, samples - 1, seed)
+        drawn = None
         for batch in batches:
+            if batch.empty:
+                continue
+            if drawn is None:
+                drawn = probability(rows)
+            x = batch[names].to_numpy(dtype=float)
+            own, homes = probability(x), bins.bin_of(x)
             out = []
-            for who, x in zip(batch[key], batch[names].to_numpy(dtype=float)):
-                rng = np.random.default_rng([seed, int(who)])
-                rows, same = _draw(rng, bins, x, samples)
-                y = probability(rows)
+            for who, y0, home in zip(batch[key], own, homes):
+                same = np.vstack([np.ones(len(names)), places == home])
+                y = np.concatenate([[y0], drawn])
                 far = (1.0 - same).sum(axis=1)
                 weight = np.sqrt(np.exp(-far / width**2))
                 chosen, beta, r2 = _fit(same, y, weight, features)
-                home = bins.bin_of(x)
                 order = sorted(range(len(chosen)), key=lambda i: -abs(beta[i]))
                 factors = [
                     {"rule": bins.rule(chosen[i], home[chosen[i]]), "weight": round(float(beta[i]), 4),
                      "impact": "Increases Churn Risk" if beta[i] > 0 else "Protective (Reduces Risk)"}
                     for i in order
                 ]
-                out.append((who, round(float(y[0]), 4), round(r2, 4), factors))
+                out.append((who, round(float(y0), 4), round(r2, 4), factors))
             yield pd.DataFrame(out, columns=[key, "churn_probability", "surrogate_score", "factors"])
 
     kind = dict(df.dtypes)[key]
@@ -155,5 +165,4 @@ def local_surrogates(
         "factors array<struct<rule string, weight double, impact string>>"
     )
     rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in names])
-    # A customer costs thousands of model calls, so tasks get few of them.
-    return rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK))).mapInPandas(explain, schema)
+    return rows.mapInPandas(explain, schema)

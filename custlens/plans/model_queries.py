@@ -251,9 +251,10 @@ def local_surrogate(s, d):
 
 
 def narrative(s, d):
-    p = tables.features(s, d).select("customer_id", rule_probability().alias("probability"))
+    rows = linear.linear_attributions(
+        tables.features(s, d), RULE_WEIGHTS, keep={"probability": rule_probability()})
     text = explain.narrative(F.col("customer_id"), F.col("probability"), explain.top_factors(F.col("factors")))
-    return p.join(_factors(s, d), "customer_id").select("customer_id", text.alias("narrative"))
+    return rows.select("customer_id", text.alias("narrative"))
 
 
 def playbook(s, d):
