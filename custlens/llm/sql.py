@@ -41,6 +41,69 @@ from grams d join grams i on d.kind = 'd' and i.kind = 'i' and d.k = i.k and d.g
 group by d.id, i.id having count(*) * 100 >= 80 * max(n_item)
 """
 
+#: Words are runs of characters other than ASCII white space.
+QUALITY = r"""
+with d as (
+ select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+threes as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from d where len(w) > 2),
+counted as (
+ select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from threes),
+covered as (select doc_id, unnest([i, i + 1, i + 2]) as place from counted where n > 1),
+repeats as (select doc_id, count(distinct place) as n_repeat_words from covered group by doc_id),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+of_lines as (
+ select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines,
+        count(*) filter (regexp_matches(line, '(\.\.\.|…)[ \t-\r]*$')) as n_cut
+ from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+counts as (
+ select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+        coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_cut, 0) as n_cut,
+        len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) as n_letters,
+        length(regexp_replace(text, '[^0-9]', '', 'g')) as n_digits
+ from d left join repeats using (doc_id) left join of_lines using (doc_id)),
+base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or n_symbols > n_words or (n_lines >= 4 and n_dup_lines * 100 > n_lines * 60)
+            or word_chars < 2 * n_words or word_chars > 20 * n_words or n_letters * 100 < 80 * n_words
+            or (n_lines >= 4 and n_cut * 100 > n_lines * 60) or n_digits * 2 > word_chars) as kept
+from base
+"""
+
+SUBSTRING_DEDUP = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, unnest(range(1, len(w) - 33)) as i, w from d where len(w) >= 35),
+windows as (select doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) as h from starts),
+repeated as (select doc_id, i from (select *, count(*) over (partition by h) as n from windows) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as place from repeated),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from d)
+select d.doc_id, max(len(w)) as n_words, count(g.place) as n_removed,
+       sha256(coalesce(string_agg(x.word, ' ' order by x.place) filter (g.place is null), '')) as kept_sha256
+from d left join words x on x.doc_id = d.doc_id left join gone g on g.doc_id = x.doc_id and g.place = x.place
+group by d.doc_id
+"""
+
+NGRAM_JOIN = r"""
+with recursive d as (
+ select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+ select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g
+ from d where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+ select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+ select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+reach as (select doc_id, doc_id as other from d union select r.doc_id, l.b from reach r join links l on r.other = l.a)
+select r.doc_id, coalesce(max(s.n), 0) as n_shingles, min(other) as component_id
+from reach r left join sizes s on s.doc_id = r.doc_id group by r.doc_id
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op8_line_dedup": LINE_DEDUP}
+    return {
+        "op1_decontamination": DECONTAMINATION, "op3_substring_dedup": SUBSTRING_DEDUP, "op6_ngram_join": NGRAM_JOIN,
+        "op8_line_dedup": LINE_DEDUP, "op10_quality_rules": QUALITY,
+    }
