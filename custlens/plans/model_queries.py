@@ -265,6 +265,46 @@ def playbook(s, d):
     return tables.features(s, d).select("customer_id", text.alias("playbook"))
 
 
+# ---- what must hold for fitted models, per customer, so that SQL can state it over the cohort ----
+
+
+def tree_additivity(s, d):
+    """Whether a customer's attributions and the base add up to the model's margin."""
+    f = training.fitted(s, d, serving_plan.tree_model(s, d))
+    out = with_tree_factors(tables.features(s, d), load_ensemble(s, f.model, f.path), training.columns(s, d))
+    total = F.aggregate("factors", F.lit(0.0), lambda x, y: x + y["attribution"]) + F.col("base")
+    return out.select("customer_id", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"))
+
+
+def kmeans_membership(s, d):
+    """How many clusters and names a customer has, and whether its name is that of its cluster."""
+    rows, profile = serving_plan.segmented(s, d)[:2]
+    named = rows.join(F.broadcast(profile.select("cluster_id", F.col("segment_name").alias("own"))), "cluster_id", "left")
+    return named.groupBy("customer_id").agg(
+        F.count_distinct("cluster_id").alias("clusters"), F.count_distinct("segment_name").alias("names"),
+        F.bool_and(F.col("segment_name") == F.col("own")).alias("name_of_cluster"))
+
+
+def anomaly_consistency(s, d):
+    """Whether errors are not negative, and flags agree with the cuts and with each other."""
+    _, p95, p99 = serving_plan.spending_profile(s, d)
+    rows = anomaly_scores(s, d)
+    e, cut95, cut99 = F.col("reconstruction_error"), F.lit(p95), F.lit(p99)
+    return rows.select(
+        "customer_id", (e >= 0).alias("not_negative"), ((e >= cut95) == F.col("is_anomaly_95")).alias("flag_95"),
+        ((e >= cut99) == F.col("is_anomaly_99")).alias("flag_99"), (~F.col("is_anomaly_99") | F.col("is_anomaly_95")).alias("nested"))
+
+
+def prediction_totals(s, d):
+    """Rows with a probability from 0 to 1 by model, split and class; they add up to the split's classes."""
+    parts = [
+        training.predictions(s, d, name).groupBy(F.lit(name).alias("model"), "split", F.col("label").cast("int").alias("churn")).agg(
+            F.count_if(F.col("probability").between(0.0, 1.0)).alias("n"))
+        for name in ("churn_lr", "churn_tree", "churn_rf")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -289,5 +329,6 @@ for _name in (*models.CHURN_MODELS, "churn_knn", *models.CLV_MODELS):
     QUERIES[_name] = _evaluation(_name)
 QUERIES.update({
     f.__name__: f
-    for f in (model_pick, model_registry, tree_attribution, tree_importance, local_surrogate)
+    for f in (model_pick, model_registry, tree_attribution, tree_importance, local_surrogate, tree_additivity, kmeans_membership,
+              anomaly_consistency, prediction_totals)
 })

@@ -155,6 +155,10 @@ ORACLE = {
         (select {half_even(AUC, 4)} from positions) as roc_auc,
         tp as true_positives, fp as false_positives, tn as true_negatives, fn as false_negatives
  from (select {CONFUSION} from scored)"""),
+    "tree_additivity": q("select customer_id, true as adds_up from features"),
+    "kmeans_membership": q("select customer_id, 1::bigint as clusters, 1::bigint as names, true as name_of_cluster from features"),
+    "anomaly_consistency": q("select customer_id, true as not_negative, true as flag_95, true as flag_99, true as nested from features"),
+    "prediction_totals": q("select model, split, churn::int as churn, count(*) as n from churn_split, (values ('churn_lr'), ('churn_tree'), ('churn_rf')) m(model) group by all"),
     "exact_auc": q(f"select {half_even(AUC, 9)} as roc_auc from positions"),
     "regressor_metrics": regression("clv"),
     "regressor_metrics_log": regression("greatest(exp(least(greatest(ln(1.0::double + clv), 0.0::double), 15.0::double)) - 1.0::double, 0.0::double)"),

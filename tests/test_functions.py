@@ -93,3 +93,26 @@ def test_lookup_join_with_hot_and_null_keys(spark):
         F.count_if(F.col("v").isNull() & F.col("k").isNotNull() & (F.col("k") != 7)).alias("lost"),
     ).first()
     assert (r.rows, r.wrong, r.lost) == (30000, 0, 0)
+
+
+def test_changed_file_inside_a_table_makes_a_new_stage(spark, tmp_path):
+    from custlens.functions import stages
+
+    table = tmp_path / "t.parquet"
+    spark.range(3).write.parquet(str(table))
+    build = lambda: spark.read.parquet(str(table))
+    first = stages.stage(spark, str(tmp_path), "rows", build)
+    assert stages.stage(spark, str(tmp_path), "rows", build).inputFiles() == first.inputFiles()
+    spark.range(5).write.mode("append").parquet(str(table))
+    assert stages.stage(spark, str(tmp_path), "rows", build).count() == 8
+
+
+def test_released_stages_are_gone(spark, monkeypatch, tmp_path):
+    from custlens.functions import stages
+
+    monkeypatch.setattr(stages, "shared_folder", lambda s: str(tmp_path))
+    monkeypatch.setattr(stages, "_tables", {})
+    assert stages.written(spark.range(4), "some").count() == 4
+    assert list(tmp_path.glob("custlens/*/*"))
+    stages.release(spark)
+    assert not list(tmp_path.glob("custlens/*"))
