@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm.common import shuffle_partitions, slices
-from custlens.llm.hashing import run_hashes, window_minima, words
+from custlens.llm.gather import BLOBS, blob_batches, blobs, by_text
+from custlens.llm.hashing import mix, run_hashes, window_minima, words
 
 WINDOW = 35
 BLOCKS = 5
@@ -88,7 +89,7 @@ def _windows(batch: pa.RecordBatch, window: int):
 
 
 def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(anchor, text_id, place) for the anchors of all texts; a task gives a text once, up to a bounded memory."""
+    """The anchors of all texts; a task gives a text once, up to a bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -105,44 +106,62 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
                 places = np.unique(places)
                 doc = found.doc[places] if len(places) else places
                 ids = batch.column("text_id").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[places].view(np.int64)), pa.array(ids[doc], pa.int64()),
-                     pa.array((places - found.first[doc]).astype(np.int32))], names=["anchor", "text_id", "place"])
+                yield anchor_batch(runs[places], ids[doc], places - found.first[doc])
+
+    return texts.select("text", "digest", "text_id").mapInArrow(run, ANCHOR_ROWS)
 
-    return texts.select("text", "digest", "text_id").mapInArrow(run, "anchor bigint, text_id bigint, place int")
 
+ANCHOR_ROWS = "anchor bigint, known boolean, text_id bigint, place int"
 
-def repeated(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The distinct rows of keys that have several of them, without the key. Groups of any size stream through."""
+
+def anchor_batch(anchor: np.ndarray, text_id: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """The anchors of a few texts, so that the rows of an anchor don't grow with the texts that have it.
+
+    Those that occur twice here are ``known``; such a row needs no partner, and is dealt by its place. One row of each
+    anchor looks for partners elsewhere.
+    """
+    order = np.argsort(anchor, kind="stable")
+    own = anchor[order]
+    begins = np.ones(len(own), dtype=bool)
+    begins[1:] = own[1:] != own[:-1]
+    ends = np.append(begins[1:], True)
+    looks, known = order[begins], order[~(begins & ends)]
+    spread = mix(text_id[known].astype(np.int64).view(np.uint64) ^ mix(place[known].astype(np.uint64)))
+    at = np.concatenate([looks, known])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([anchor[looks], spread]).view(np.int64)), pa.array(np.arange(len(at)) >= len(looks)),
+         pa.array(text_id[at], pa.int64()), pa.array(place[at].astype(np.int32))], names=["anchor", "known", "text_id", "place"])
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(text_id, place) of known rows and of anchors with several distinct rows. Groups of any size stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, open_ = None, False  # the last row so far, and whether its key has had another row before
+        rest = [np.zeros(0, k) for k in (np.int64, bool, np.int64, np.int32)]  # the last row so far
+        open_ = False  # whether its anchor has had another row before
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            table = table.combine_chunks()
-            if not table.num_rows:
+            anchor, known, text, place = (
+                np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)])
+                for r, c in zip(rest, ("anchor", "known", "text_id", "place")))
+            if not len(anchor):
                 continue
-            values = [table[c].to_numpy() for c in (key, *columns)]
-            differs = np.zeros(table.num_rows, dtype=bool)
-            differs[0] = True
-            for v in values:
-                differs[1:] |= v[1:] != v[:-1]
-            values = [v[differs] for v in values]
-            same = values[0][1:] == values[0][:-1]
+            new = np.ones(len(anchor), dtype=bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+            anchor, known, text, place = anchor[new], known[new], text[new], place[new]
+            same = anchor[1:] == anchor[:-1]
             several = np.append(same, False)
             several[1:] |= same
             several[0] |= open_
             open_ = bool(several[-1])
-            out = several.copy()
+            out = several | known
             out[-1] = False  # it may be the first of a group
-            yield pa.RecordBatch.from_arrays([pa.array(v[out]) for v in values[1:]], names=columns)
-            rest = pa.table({c: v[-1:] for c, v in zip((key, *columns), values)}, schema=table.schema)
-        if rest is not None and open_:
-            yield pa.RecordBatch.from_arrays([rest[c].combine_chunks() if rest[c].num_chunks == 1 else rest[c].chunk(0) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(text[out]), pa.array(place[out])], names=["text_id", "place"])
+            rest = [v[-1:] for v in (anchor, known, text, place)]
+        if len(rest[0]) and (open_ or rest[1][0]):
+            yield pa.RecordBatch.from_arrays([pa.array(rest[2]), pa.array(rest[3])], names=["text_id", "place"])
 
-    kinds = dict(rows.dtypes)
-    return rows.repartition(key).sortWithinPartitions(key, *columns).mapInArrow(
-        run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "text_id", "place").mapInArrow(
+        run, "text_id bigint, place int")
 
 
 SUFFIXES = "bucket int, first binary, rest binary, text binary, place binary"
@@ -160,7 +179,7 @@ def _by_text(text: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]
 
 
 def suffixes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Blocks of suffixes by bucket of their prefix, and, with ``first`` null, places known to repeat by text.
+    """Blocks of suffixes by bucket of their prefix, and, with ``first`` null, places known to repeat by bucket of texts.
 
     Rows: text, digest, text_id and places, the anchors of the text that occur twice, ordered by text_id.
     """
@@ -179,8 +198,8 @@ def suffixes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             leaves, node = deep_leaves([first, *(rest[:, k] for k in range(BLOCKS - 1))])
             go_on = np.ones(len(first), dtype=bool)
             if len(leaves):
-                for t, places in _by_text(text[leaves], place[leaves]):
-                    rows.append((int(entry["text_id"][t]) % buckets, None, None, entry[t:t + 1].tobytes(), places))
+                known = ((entry[t:t + 1].tobytes(), places) for t, places in _by_text(text[leaves], place[leaves]))
+                rows += [(b, None, sizes, own, places) for b, own, sizes, places in blobs(known, buckets)]
                 begins = np.ones(len(node), dtype=bool)
                 begins[1:] = node[1:] != node[:-1]
                 go_on[leaves[~begins]] = False
@@ -236,23 +255,16 @@ def suffixes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, SUFFIXES)
 
 
-def repeats(blocks: DataFrame) -> DataFrame:
-    """(text_id, digest, places): where windows that repeat begin, by text and task."""
+def repeats(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Where windows that repeat begin, by bucket of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, rest, text, place, entries = [], [], [], [], []
-
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            table = np.frombuffer(b"".join(f[0] for f in found), dtype=_ENTRY)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(table["text_id"].astype(np.int64)), pa.array([d.tobytes() for d in table["digest"]], pa.binary()),
-                 pa.array([f[1] for f in found], pa.binary())], names=["text_id", "digest", "places"])
-
         for batch in batches:
             known = []
-            for f, r, t, p in zip(*(batch.column(c).to_pylist() for c in ("first", "rest", "text", "place"))):
+            for b, f, r, t, p in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "rest", "text", "place"))):
                 if f is None:
-                    known.append((t, p))
+                    known.append((b, t, r, p))
                     continue
                 first.append(np.frombuffer(f, np.uint64))
                 rest.append(np.frombuffer(r, np.uint32).reshape(-1, BLOCKS - 1))
@@ -260,17 +272,14 @@ def repeats(blocks: DataFrame) -> DataFrame:
                 text.append(both[0] + len(entries))
                 place.append(both[1])
                 entries.extend(t[a:a + 24] for a in range(0, len(t), 24))
-            if known:
-                yield rows(known)
+            yield from blob_batches(known)
         if first:
             code, rest, text, place = np.concatenate(first), np.concatenate(rest), np.concatenate(text), np.concatenate(place)
             leaves, _ = deep_leaves([code, *(rest[:, k] for k in range(BLOCKS - 1))])
-            # one text can have an entry from each block; its rows meet when they are gathered by text
-            found = [(entries[t], p) for t, p in _by_text(text[leaves], place[leaves])]
-            for a in range(0, len(found), 5000):
-                yield rows(found[a:a + 5000])
+            # one text can have an entry from each block; they meet when places are gathered by text
+            yield from blob_batches(blobs(((entries[t], p) for t, p in _by_text(text[leaves], place[leaves])), buckets))
 
-    return blocks.repartition("bucket").mapInArrow(run, "text_id bigint, digest binary, places binary")
+    return blocks.repartition("bucket").mapInArrow(run, BLOBS)
 
 
 def _judged(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
@@ -280,10 +289,11 @@ def _judged(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     texts = texts.select("*", *_text_key())
     # the same rows are dealt by text for both joins, so the texts move once
     dealt = texts.select("doc_id", "text", "digest", "text_id")
-    twice = repeated(anchors(texts, window), "anchor", ["text_id", "place"]).groupBy("text_id").agg(
+    twice = repeated(anchors(texts, window)).groupBy("text_id").agg(
         F.collect_list("place").alias("places"))
     with_anchors = dealt.join(twice, "text_id").select("doc_id", "text", "digest", "text_id", "places")
-    found = repeats(suffixes(with_anchors.sortWithinPartitions("text_id", "digest"), window, buckets))
+    found = by_text(repeats(suffixes(with_anchors.sortWithinPartitions("text_id", "digest"), window, buckets), buckets), 24)
+    found = found.select("text_id", F.substring("entry", 9, 16).alias("digest"), "places")
     copies = texts.groupBy("text_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(
         "text_id", "digest", F.lit(None).cast("binary").alias("places"))
     gathered = found.unionByName(copies).groupBy("text_id").agg(F.collect_list(F.struct("digest", "places")).alias("found"))
