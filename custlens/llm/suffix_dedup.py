@@ -18,7 +18,7 @@ spans to remove.
 Defined results: a missing text counts as empty; texts shorter than a window lose nothing; a missing id comes before all
 others; rows with the same id and the same text are one document, so each of them gets its result; of different texts
 with the same id, the one whose digest is smaller comes first; an empty table gives an empty result; other columns are
-not read. Segments are told apart by 128 bits of hash and their lengths before their bytes are compared.
+not read. Segments are told apart by their length and 128 bits of hash.
 """
 
 from __future__ import annotations
