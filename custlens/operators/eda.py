@@ -101,14 +101,33 @@ def customer_return_rates(lines: DataFrame) -> DataFrame:
     )
 
 
+HISTOGRAM_BINS = {"recency": 40, "frequency": 40, "log_spend": 40, "return_rate": 30}
+
+
 def eda_histograms(lines: DataFrame) -> DataFrame:
-    """40 bins of recency, orders and log spend, 30 of the return rate."""
+    """40 bins of recency, orders and log spend, 30 of the return rate, as :func:`histogram` makes them.
+
+    The customers' values are written once in long form; one aggregate gives all limits, another all counts.
+    """
     rfm = simple_rfm(lines).withColumn("log_spend", F.log1p(F.greatest("monetary", F.lit(0.0))))
-    parts = [histogram(rfm, c, 40) for c in ("recency", "frequency", "log_spend")]
-    out = histogram(customer_return_rates(lines), "return_rate", 30)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    long = rfm.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in HISTOGRAM_BINS if c != "return_rate"
+    ]))).unionByName(customer_return_rates(lines).select(F.lit("return_rate").alias("measure"), F.col("return_rate").alias("value")))
+    long = written(long.filter(F.col("value").isNotNull()), "customer_values")
+    bins = F.lit(0)
+    for name, n in HISTOGRAM_BINS.items():
+        bins = F.when(F.col("measure") == name, n).otherwise(bins)
+    limits = long.groupBy("measure").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    one = F.col("lo") == F.col("hi")
+    limits = limits.select(
+        "measure", F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), bins.alias("bins"))
+    place = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins").cast("double"))
+    return (
+        long.join(F.broadcast(limits), "measure")  # four rows
+        .groupBy("measure", F.least(place, F.col("bins") - 1).cast("int").alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def findings(lines: DataFrame) -> DataFrame:
