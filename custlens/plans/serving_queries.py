@@ -141,7 +141,7 @@ def segment_filter(s, d):
 
 
 def fixed_sample(s, d):
-    return serving.fixed_sample(plan.cohort(s, d), 1500).select("customer_id", "recency_days", "total_spend")
+    return serving.fixed_sample(plan.cohort(s, d), 500).select("customer_id", "recency_days", "total_spend")
 
 
 def segment_summary(s, d):

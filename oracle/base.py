@@ -119,13 +119,13 @@ CTES["gaps"] = f"""
 CTES["pace"] = f"""
  select customer_id, greatest({days('min(order_date)', 'max(t)')}, 1.0::double) as tenure,
         {days('min(order_date)', 'max(order_date)')} as span, count(*) as n, avg(gap) as gap_mean,
-        count(gap) as n_gaps, sum(gap) as s1, sum(gap * gap) as s2,
+        count(gap) as n_gaps, stddev_pop(gap) as gap_sd,
         count(*) filter (where order_date >= t - interval 90 day) as recent
  from gaps, cutoff group by customer_id"""
 CTES["velocity"] = f"""
  select customer_id, {exact('tenure', 1)} as tenure_days, {exact('span', 1)} as days_active_span,
         {exact('coalesce(gap_mean, tenure)', 2)} as inter_purchase_mean,
-        {exact('case when n_gaps > 1 then sqrt(greatest(n_gaps * s2 - s1 * s1, 0.0::double)) / n_gaps else 0.0::double end', 2)} as inter_purchase_std,
+        {exact('case when n_gaps > 1 then gap_sd else 0.0::double end', 2)} as inter_purchase_std,
         (n = 1)::int as is_single_order, recent::bigint as recent_orders_last_90d,
         {exact('recent::double / n', 4)} as recent_orders_ratio,
         {exact('least(greatest(recent / greatest(n::double / tenure * 90.0::double, 0.1::double), 0.0::double), 10.0::double)', 4)} as velocity_acceleration

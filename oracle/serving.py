@@ -152,7 +152,7 @@ ORACLE = {
     "tier_counts": q("select risk_tier, count(*)::bigint as customers from cohort_t group by 1"),
     "segment_filter": q("""
  select customer_id, segment_name, total_spend from cohort_t where total_spend >= 0 and total_spend <= (select quantile_cont(total_spend, 0.98) from cohort_t)"""),
-    "fixed_sample": q("select customer_id, recency_days, total_spend from cohort_t order by md5(customer_id::varchar || ':42'), customer_id limit 1500"),
+    "fixed_sample": q("select customer_id, recency_days, total_spend from cohort_t order by md5(customer_id::varchar || ':42'), customer_id limit 500"),
     "segment_summary": q(f"""
  select segment_name, count(*)::bigint as customers, {half_even('sum(total_spend::decimal(28,6))::double / count(*)', 4)} as avg_spend, {half_even('sum(frequency::decimal(28,6))::double / count(*)', 4)} as avg_freq,
         {half_even('sum(recency_days::decimal(28,6))::double / count(*)', 4)} as avg_recency, {half_even('sum(predicted_clv::decimal(28,6))::double / count(*)', 4)} as avg_clv, {half_even('sum(churn_probability::decimal(28,6))::double / count(*)', 4)} as churn_risk
