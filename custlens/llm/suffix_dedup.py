@@ -41,8 +41,8 @@ WINDOW = 100
 ANCHOR = 24
 SLICE = 1 << 20
 #: Bytes of text that a task holds at a time before equal segments become one, and of segments in one index.
-HELD = 24 << 20
-INDEXED = 4 << 20
+HELD = 16 << 20
+INDEXED = 2 << 20
 
 #: A text in a block of segments: its key, its document, its digest as two numbers that order like it.
 _ENTRY = np.dtype([("text_id", "<i8"), ("doc", "<i8"), ("high", "<u8"), ("low", "<u8")])
@@ -135,18 +135,18 @@ def segments(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # bytes, anchor, start in the bytes, length, entry, place in the text
+        held: list[tuple] = []  # bytes, anchor, start in the bytes, length, entry, place in the text, hash of the content
         entries: list[tuple] = []
         size, last = 0, b""
 
         def flush() -> Iterator[pa.RecordBatch]:
             base = np.cumsum([0, *(len(h[0]) for h in held)])
             data = np.concatenate([h[0] for h in held])
-            anchor, length, entry, place = (np.concatenate([h[k] for h in held]) for k in (1, 3, 4, 5))
+            anchor, length, entry, place, content_hash = (np.concatenate([h[k] for h in held]) for k in (1, 3, 4, 5, 6))
             start = np.concatenate([h[2] + b for h, b in zip(held, base)])
             table = np.array(entries, dtype=_ENTRY)
             rows: list[tuple] = []
-            order, new = _first_of_equal(anchor, _content_hash(data, start, length), length, _order(table)[entry], place)
+            order, new = _first_of_equal(anchor, content_hash, length, _order(table)[entry], place)
             later = order[~new]
             known = ((table[t:t + 1].tobytes(), _merged(spans)) for t, spans in _spans(
                 entry[later], place[later], length[later] - window + 1))
@@ -195,7 +195,8 @@ def segments(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                 length = np.diff(np.append(first, len(start))) + window - 1
                 begin = start[first]
                 doc = np.searchsorted(offsets, begin, side="right") - 1
-                held.append((data, runs[places[first]], begin, length, doc + len(entries), begin - offsets[doc]))
+                held.append((data, runs[places[first]], begin, length, doc + len(entries), begin - offsets[doc],
+                             _content_hash(data, begin, length)))
                 for i, d, doc_id in zip(*(batch.column(c).to_pylist() for c in ("text_id", "digest", "doc"))):
                     entries.append((i, doc_id, int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big")))
                 size += len(data)
@@ -286,18 +287,19 @@ def repeats(blocks: DataFrame, window: int, buckets: int) -> DataFrame:
                     known.append((b, e, n, p))
                     continue
                 both = np.frombuffer(p, "<i4").reshape(2, -1).astype(np.int64)
-                held.append((np.frombuffer(a, np.uint64), np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(c, np.uint8),
-                             both[0] + n_entries, both[1]))
+                size, content = np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(c, np.uint8)
+                held.append((np.frombuffer(a, np.uint64), size, content, both[0] + n_entries, both[1],
+                             _content_hash(content, np.cumsum(size) - size, size)))
                 entries.append(np.frombuffer(e, dtype=_ENTRY))
                 n_entries += len(entries[-1])
             yield from blob_batches(known)
         if not held:
             return
-        anchor, length, data, entry, place = (np.concatenate([h[k] for h in held]) for k in range(5))
+        anchor, length, data, entry, place, content_hash = (np.concatenate([h[k] for h in held]) for k in range(6))
         held.clear()
         table = np.concatenate(entries)
         rank, start = _order(table), np.cumsum(length) - length
-        order, new = _first_of_equal(anchor, _content_hash(data, start, length), length, rank[entry], place)
+        order, new = _first_of_equal(anchor, content_hash, length, rank[entry], place)
         later, keep = order[~new], order[new]
         out_entry, out_start, out_count = [entry[later]], [place[later]], [length[later] - window + 1]
         for segment, at in later_windows(
