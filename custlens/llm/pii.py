@@ -215,13 +215,19 @@ def _email(found: re.Match, p: Pseudonyms) -> str | None:
 
 #: Tried in this order at each place; patterns of later kinds see only what earlier ones left.
 FORMATS: tuple[tuple[str, re.Pattern, Callable[[re.Match, Pseudonyms], str | None]], ...] = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-]|\.[0-9])"), _date),
+    ("email", re.compile(
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
+    ("iban", re.compile(
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    ("date", re.compile(
+        r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
+        r"(?![0-9/-]|\.[0-9])"), _date),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _ip),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
     ("card", re.compile(r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"), _card),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?P<code>\+[0-9]{1,3}(?=[ (.-]))?[ .-]?(?:\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{3,4}|(?<=[0-9][ .-])[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"), _phone),
+    ("phone", re.compile(
+        r"(?<![0-9A-Za-z+])(?P<code>\+[0-9]{1,3}(?=[ (.-]))?[ .-]?(?:\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{3,4}"
+        r"|(?<=[0-9][ .-])[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"), _phone),
 )
 
 #: What a text must hold for any format.

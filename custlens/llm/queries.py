@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from custlens.llm import (
+    decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup)
 from custlens.llm.common import documents, table
 
 
@@ -53,4 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_substring_dedup, op4_best_fit_packing, op5_pii, op6_ngram_join, op7_secret_scan, op8_line_dedup, op9_suffix_dedup, op10_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_decontamination, op2_license_scan, op3_substring_dedup, op4_best_fit_packing, op5_pii, op6_ngram_join,
+            op7_secret_scan, op8_line_dedup, op9_suffix_dedup, op10_quality_rules,
+        )
+    }

@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from custlens.llm import (
     decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup)
