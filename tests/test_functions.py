@@ -7,10 +7,8 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
-from custlens.functions import ranking
 from custlens.functions.columns import days_between, round_even, round_exact, rounded_exact
 from custlens.functions.joins import lookup_join
 from custlens.functions.ranking import average_percent_ranks, cumulative_counts, exact_quantiles, ordered_row_numbers
