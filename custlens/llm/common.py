@@ -78,3 +78,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         end = max(start + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()

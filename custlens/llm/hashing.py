@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +25,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
-def _powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_tables: dict[int, np.ndarray] = {}
 
 
 def powers(size: int, base: np.uint64) -> np.ndarray:
-    """The first powers of ``base``; kept, for sizes rounded up."""
-    return _powers(1 << max(16, int(size - 1).bit_length()), int(base))[:size]
+    """The first powers of ``base``; the longest table so far is kept."""
+    have = _tables.get(int(base))
+    if have is None or len(have) < size:
+        have = np.full(1 << max(16, int(size - 1).bit_length()), base, dtype=np.uint64)
+        have[0] = 1
+        _tables[int(base)] = have = np.cumprod(have, dtype=np.uint64)
+    return have[:size]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ from custlens.llm.hashing import mix, run_hashes, words
 DIMENSIONS = 256
 #: Points in a leaf of the tree, and in one block of a key's points.
 LEAF, BLOCK = 16, 2048
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 # ---- sets and points ----

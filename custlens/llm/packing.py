@@ -51,7 +51,7 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, for a tokenizer with word ends that drops white space."""
 
     #: Remembered parts; beyond, the memory starts anew.
-    MOST_CHUNKS, MOST_WORDS = 300_000, 500_000
+    MOST_CHUNKS, MOST_WORDS = 300_000, 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,15 +89,21 @@ class Encoder:
             self.chunks[""] = b""
         cut: dict[str, list[str]] = {}
         for chunk in chunks:
-            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                cut[chunk] = _CUT.findall(chunk.lower())
+            if (chunk.isascii() and chunk.isprintable()) or _PLAIN.fullmatch(chunk):
+                low = chunk.lower()
+                if low.isalpha():
+                    cut[chunk] = [low]
+                elif "<|" not in low:
+                    cut[chunk] = _CUT.findall(low)
+                else:
+                    self.chunks[chunk] = self._encode(chunk)
             else:
                 self.chunks[chunk] = self._encode(chunk)
         known = self.words
         self._learn_words(list({w for parts in cut.values() for w in parts if w not in known}))
         for chunk, parts in cut.items():
             try:
-                self.chunks[chunk] = b"".join([known[w] for w in parts])
+                self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
             except KeyError:  # forgotten meanwhile
                 self.chunks[chunk] = self._encode(chunk)
 
@@ -134,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         encode, end = encoder(tokenizer).ids, np.array([END], dtype="<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 ids = batch.column("doc_id").to_pylist()
                 rows: list[tuple] = []
                 for doc, raw in zip(ids, encode(batch.column("text").to_pylist())):
