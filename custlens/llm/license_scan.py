@@ -5,6 +5,9 @@ them. Rules are grouped by a keyword, and only groups whose keyword occurs are t
 another one of a rule of higher rank is suppressed, so that a full notice keeps its own label and not those of the
 shorter names in it.
 
+There are four kinds of rules: identifiers behind an SPDX tag, the wording of standard notices, names in several forms, and
+bare names such as "MIT" that count only where a text says that it is licensed under them.
+
 Words are runs of characters other than ASCII control characters, blanks and punctuation. The work is done by built-in
 expressions inside each row; nothing is shuffled.
 
@@ -30,9 +33,14 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: A text without any of these holds no signature; every name or template below has one of them.
 GATE = (
     "(?i)licen[cs]e|spdx|gpl|cc0|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|clause[^a-z0-9]+bsd"
-    "|no[^a-z0-9]+attribution|all[^a-z0-9]+rights[^a-z0-9]+reserved"
+    "|no[^a-z0-9]+attribution|all[^a-z0-9]+rights[^a-z0-9]+reserved|cc[^a-z0-9]+by|is[^a-z0-9]+hereby[^a-z0-9]+granted"
+    "|redistribution[^a-z0-9]+and[^a-z0-9]+use|provided[^a-z0-9]+as[^a-z0-9]+is"
+    "|(?<![a-z0-9])(?:mit|bsd|apache|isc|mpl|epl|cddl|eupl)(?![a-uw-z])"
 )
 
+CC_KINDS = ("-nc-nd", "-nc-sa", "-nc", "-nd", "-sa", "")
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
 #: Label, keyword and name of the licenses, as they read in normal form. A name with a version comes before the same
 #: name without.
 NAMES = (
@@ -105,6 +113,78 @@ NAMES = (
     ("cc-by", "creative commons", "creative commons attribution"),
     ("public-domain", "public domain", "public domain"),
     ("proprietary", "rights reserved", "all rights reserved"),
+    # short forms
+    *((f"cc-by{kind}-{version}", "cc by", f"(?:creative commons )?cc by{kind.replace('-', ' ')}"
+       f"(?: version| v)? v?{version.replace('.0', '(?: 0)?').replace('.', ' ')}(?: international| unported| generic)?")
+      for kind in CC_KINDS for version in CC_VERSIONS),
+    *((f"cc-by{kind}", "cc by", f"(?:creative commons )?cc by{kind.replace('-', ' ')}") for kind in CC_KINDS),
+    ("gpl-1.0", "gpl", "(?:gnu )?gpl(?: version| v)? v?1(?: 0)?"),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl(?:v2| ?(?:version |v )?v?2)(?: 0)?"),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl(?:v3| ?(?:version |v )?v?3)(?: 0)?"),
+    ("lgpl-2.0", "lgpl", "(?:gnu )?lgpl(?:v2| ?(?:version |v )?v?2)(?: 0)?"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?:v2| ?(?:version |v )?v?2) 1"),
+    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl(?:v3| ?(?:version |v )?v?3)(?: 0)?"),
+    ("agpl-3.0", "agpl", "(?:gnu )?agpl(?:v3| ?(?:version |v )?v?3)(?: 0)?"),
+    ("apache-2.0", "apache", "(?:apache(?: version| v)? v?2(?: 0)? licen[cs]e|apache licen[cs]e v2(?: 0)?)"),
+    ("bsd-2-clause", "bsd", "bsd (?:2|two) clause(?: licen[cs]e)?"),
+    ("bsd-3-clause", "bsd", "bsd (?:3|three) clause(?: licen[cs]e)?"),
+    ("bsd-4-clause", "bsd", "bsd (?:4|four) clause(?: licen[cs]e)?"),
+    ("mpl-1.1", "mpl", "mpl(?: version| v)? v?1 1"),
+    ("mpl-2.0", "mpl", "mpl(?:v2| ?(?:version |v )?v?2)(?: 0)?"),
+    ("epl-1.0", "epl", "epl(?: version| v)? v?1(?: 0)?"),
+    ("epl-2.0", "epl", "epl(?: version| v)? v?2(?: 0)?"),
+    ("cddl-1.0", "cddl", "cddl(?: version| v)? v?1(?: 0)?"),
+    ("cddl-1.1", "cddl", "cddl(?: version| v)? v?1 1"),
+    ("eupl-1.1", "eupl", "eupl(?: version| v)? v?1 1"),
+    ("eupl-1.2", "eupl", "eupl(?: version| v)? v?1 2"),
+)
+
+#: Names that mean something else too; they count in the form "licensed under" only.
+BARE_NAMES = (
+    ("apache-2.0", "apache", "apache(?: version| v)? v?2(?: 0)?"),
+    ("mit", "mit", "mit"), ("apache", "apache", "apache"), ("bsd", "bsd", "bsd"), ("isc", "isc", "isc"),
+    ("gpl", "gpl", "(?:gnu )?gpl"), ("lgpl", "gpl", "(?:gnu )?lgpl"), ("agpl", "gpl", "(?:gnu )?agpl"),
+    ("mpl", "mpl", "mpl"), ("epl", "epl", "epl"),
+)
+
+_GNU = ("(?:gnu )?{} (?:gpl |lgpl |agpl )?as published by the free software foundation (?:either |using |at |in )*"
+        "version {}(?: of the licen[cs]e)?")
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted"
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+_GRANTED = "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+
+#: Wording of the standard notices: label, keyword, pattern. The clauses that tell two of a family apart follow within
+#: 1,000 characters, which is less than the length of one notice.
+NOTICES = (
+    *((f"{label}-{version}", "published by the free software", _GNU.format(name, version.replace(".0", "(?: 0)?").replace(".", " ")))
+      for label, name, versions in (
+          ("agpl", "affero general public licen[cs]e", ("3.0",)),
+          ("lgpl", "(?:lesser|library) general public licen[cs]e", ("2.1", "2.0", "3.0")),
+          ("gpl", "general public licen[cs]e", ("1.0", "2.0", "3.0")),
+          ("gfdl", "free documentation licen[cs]e", ("1.2", "1.3")))
+      for version in versions),
+    *((f"gfdl-{version}", "free documentation", "under the terms of the (?:gnu )?free documentation licen[cs]e version "
+       + version.replace(".", " ")) for version in ("1.2", "1.3")),
+    ("mit-0", "permission is hereby granted", _MIT + "(?=.{0,1000}? furnished to do so (?!subject))"),
+    ("mit", "permission is hereby granted", _MIT),
+    ("bsl-1.0", "permission is hereby granted",
+     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying"),
+    ("bsd-4-clause", "redistribution and use", _BSD + "(?=.{0,1000}? all advertising materials mentioning)"),
+    ("bsd-3-clause", "redistribution and use", _BSD + "(?=.{0,1000}? (?:neither the names? of|the names? of .{0,200}? may not be used to endorse))"),
+    ("bsd-2-clause", "redistribution and use", _BSD),
+    ("isc", "is hereby granted", _GRANTED + " provided that the above copyright notice"),
+    ("0bsd", "is hereby granted", _GRANTED + "(?! provided)"),
+    ("zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+)
+
+#: SPDX identifiers; their lower case is the label.
+SPDX = (
+    "MIT", "MIT-0", "X11", "ISC", "Zlib", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Apache-1.0", "Apache-1.1",
+    "Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3",
+    "MPL-1.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CPL-1.0", "CDDL-1.0", "CDDL-1.1", "EUPL-1.1", "EUPL-1.2", "OSL-3.0",
+    "AFL-3.0", "Artistic-1.0", "Artistic-2.0", "BSL-1.0", "Unlicense", "WTFPL", "OFL-1.1", "ODbL-1.0", "PSF-2.0", "CC0-1.0",
+    *(f"CC-BY{kind.upper()}-{version}" for kind in CC_KINDS for version in CC_VERSIONS),
 )
 
 #: How a text names its license, best evidence first: the pattern around the name and its weight.
@@ -128,13 +208,45 @@ class Rule:
     weight: float
 
 
+def _spdx_id(name: str) -> str:
+    """An identifier in normal form, with what may follow its version."""
+    words = name.lower().replace("-", " ").replace(".", " ")
+    if words == "mit":
+        return "mit(?! 0 )"
+    if words.endswith(" 0") and "." in name:
+        words = words[:-2] + "(?: 0|(?! [0-9] ))"
+    return words + ("(?: only| or later)?" if name.startswith(("GPL", "LGPL", "AGPL", "GFDL")) else "")
+
+
+def spdx_rules() -> list[Rule]:
+    """One rule per identifier: a tag with an expression that holds it.
+
+    All match the whole expression and share a rank, so that each license of an expression is kept.
+    """
+    ids = [_spdx_id(name) for name in SPDX]
+    item = f"(?:{'|'.join(ids)})(?: with (?:linux syscall note|(?:[a-z0-9]+ ){{1,3}}exception(?: [0-9]+ [0-9]+)?))?"
+    return [
+        Rule(0, name.lower(), "spdx licen", f"(?<= )spdx licen[cs]e identifier (?=(?:{item} (?:and|or) )*{own}(?= ))"
+             f"{item}(?: (?:and|or) {item})*(?= )", 1.0)
+        for name, own in zip(SPDX, ids)
+    ]
+
+
 def signature_rules() -> list[Rule]:
-    """All names in all forms; a form comes before the next, a name before the next."""
-    rules = []
+    """Identifiers, notices, all names in all forms, bare names; a form comes before the next, a name before the next."""
+    rules = spdx_rules()
+
+    def add(label: str, keyword: str, pattern: str, weight: float) -> None:
+        rules.append(Rule(len(rules), label, keyword, f"(?<= ){pattern}(?= )", weight))
+
+    for label, keyword, pattern in NOTICES:
+        add(label, keyword, pattern, 0.95)
     for form, weight in FORMS:
         for label, keyword, name in NAMES:
-            pattern = "(?<= )" + form.replace("{name}", name) + "(?= )"
-            rules.append(Rule(len(rules), label, keyword, pattern, weight))
+            add(label, keyword, form.replace("{name}", name), weight)
+    form, weight = FORMS[1]
+    for label, keyword, name in BARE_NAMES:
+        add(label, keyword, form.replace("{name}", name), weight)
     return rules
 
 

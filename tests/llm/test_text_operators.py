@@ -84,6 +84,38 @@ def test_license_suppression(spark):
     assert len(license_scan.signature_rules()) > 200
 
 
+def test_license_real_spellings(spark):
+    gnu = "redistribute it under the terms of the GNU {} as published by\n# the Free Software Foundation; either version {} of the License"
+    bsd = ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the "
+           "following conditions are met:\n * 1. Redistributions of source code must retain the above copyright notice.\n")
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+           "files (the \"Software\"), to deal in the Software, and to permit persons to whom the Software is furnished to do so")
+    granted = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    spdx = "SPDX-License-Identifier: "
+    cases_ = [
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0", 0.9), ("CC-BY-SA 3.0 Unported", "cc-by-sa-3.0", 0.5),
+        ("photo: cc by", "cc-by", 0.5), ("CC BY-NC-ND 2.5", "cc-by-nc-nd-2.5", 0.5), ("Creative Commons (CC BY 4.0)", "cc-by-4.0", 0.5),
+        *((spdx + name, name.lower(), 1.0) for name in license_scan.SPDX),
+        (spdx + "GPL-2.0-or-later", "gpl-2.0", 1.0), (spdx + "LGPL-2.1+ */ int x;", "lgpl-2.1", 1.0), (spdx + "GPL-3.0-only", "gpl-3.0", 1.0),
+        (spdx + "(MIT OR Apache-2.0) AND BSD-3-Clause", "apache-2.0,bsd-3-clause,mit", 1.0),
+        (spdx + "GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT", "gpl-2.0,mit", 1.0),
+        (gnu.format("General Public License", 3), "gpl-3.0", 0.95), (gnu.format("Lesser General Public License", 2.1), "lgpl-2.1", 0.95),
+        (gnu.format("Affero General Public License", 3), "agpl-3.0", 0.95),
+        (mit + ", subject to the following conditions:", "mit", 0.95), (mit + ".\n\nTHE SOFTWARE", "mit-0", 0.95),
+        (bsd, "bsd-2-clause", 0.95), (bsd + "3. Neither the name of X nor", "bsd-3-clause", 0.95),
+        (bsd + "3. All advertising materials mentioning features. 4. Neither the name of X nor", "bsd-4-clause", 0.95),
+        (granted + ", provided that the above copyright notice", "isc", 0.95), (granted + ".", "0bsd", 0.95),
+        ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors", "zlib", 0.95),
+        ("This is free and unencumbered software released into the public domain.", "unlicense", 0.95),
+        ("Released under MIT.", "mit", 0.9), ("Distributed under BSD-3-Clause", "bsd-3-clause", 0.9), ("Released under Apache 2.0", "apache-2.0", 0.9),
+        ("Licensed under the GNU GPLv3", "gpl-3.0", 0.9), ("made available under MPLv2", "mpl-2.0", 0.9), ("LGPLv2.1", "lgpl-2.1", 0.5),
+        ("he studied at MIT and flew an Apache", "", 0.0),
+    ]
+    found = {r["doc_id"]: r for r in license_scan.scan(cases.frame(spark, [(k, c[0]) for k, c in enumerate(cases_)])).collect()}
+    got = [(c[0], ",".join(sorted({d["label"] for d in found[k]["detections"]})), found[k]["score"]) for k, c in enumerate(cases_)]
+    assert got == cases_
+
+
 def test_license_empty(empty):
     assert license_scan.scan(empty).count() == 0
 
