@@ -38,24 +38,27 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "vendor_token", "url_password", "linked_id",
          "linked_secret", "linked_endpoint")
 
+#: The name before "://". Of one that is longer than any known scheme, its last 16 characters.
+SCHEME = r"(?:(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}|(?<=[a-z0-9])[a-z0-9]{16})"
+
 STRONG = (
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]{0,10000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?")),
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?")),
     ("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("vendor_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")),
-    ("url_password", re.compile(r"(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s:/@\"']{1,100}:[^\s:/@\"']{3,200}@[A-Za-z0-9.-]+")),
+    ("url_password", re.compile(SCHEME + r"://[^\s:/@\"']+:[^\s:/@\"']{3,}@[A-Za-z0-9.-]+")),
 )
 IDENTIFIER = re.compile(
     r"(?i:(?<![a-z0-9])(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?|tenant_?id))"
-    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{3,200})", re.ASCII)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
+    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{3,})", re.ASCII)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
-    r"(?:(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,500}|(?i:(?<![a-z])(?:host(?:name)?|endpoint|server|region))"
-    r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{3,200})", re.ASCII)
+    rf"(?:{SCHEME}://[^\s\"'<>]{{3,}}|(?i:(?<![a-z])(?:host(?:name)?|endpoint|server|region))"
+    r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{3,})", re.ASCII)
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 #: What a text must hold for any span of any kind: every linked pair has an identifier.
 GATE = (
-    r"(?i:password|passwd|secret|token|api_?key|user|login|account|client_?id|access_?key|tenant_?id)[a-z_]*[\"']?\x20*[:=]"
+    r"(?i:password|passwd|secret|token|api_?key|user|login|account|client_?id|access_?key|tenant_?id)(?i:[a-z_]*)[\"']?\x20*[:=]"
     r"|AKIA|[0-9a-f]{24}|-----BEGIN|eyJ|gh[pousr]_|xox[abprs]-|sk_live_|://[^\s@]+@"
 )
 
