@@ -102,7 +102,8 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, percent: int
                                          "containment double")
     hit = shingled(texts, _hash).select("doc_key", "gram").join(F.broadcast(probes) if few else probes, "gram", "left_semi")
     near = written(hit.select("doc_key").distinct(), "documents_hit")
-    suspects = texts.join(near, "doc_key", "left_semi")
+    # repeated rows are one document, whose shingles count once
+    suspects = texts.join(near, "doc_key", "left_semi").dropDuplicates(["doc_key"])
     exact = shingles.select(F.col("phrase").alias("gram"), "item_id", "size")
     shared = shingled(suspects, _phrase).join(exact, "gram").groupBy("doc_key", "doc_id", "item_id").agg(
         F.count("*").alias("n_shared"), F.max("size").alias("n_item"))

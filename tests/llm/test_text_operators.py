@@ -473,6 +473,16 @@ def test_items_in_documents(spark, rows):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in every if d not in held)
 
 
+def test_repeated_rows_are_one_document(spark):
+    words = [f"w{k}" for k in range(24)]  # 20 shingles
+    part = " ".join(words[:12])  # 8 of them
+    rows = [(1, part), (1, part), (2, " ".join(words)), (2, " ".join(words)), (None, part), (None, part), (3, "x " + " ".join(words))]
+    docs, items = cases.frame(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    found = decontaminate.matches(docs, items).select("doc_id", "item_id", "n_shared", "n_item", "containment").collect()
+    cases.same(found, [(2, 1, 20, 20, 1.0), (3, 1, 20, 20, 1.0)])
+    cases.same(decontaminate.clean(docs, items).select("doc_id", "text").collect(), [r for r in rows if r[0] in (1, None)])
+
+
 def test_items_by_shuffle_and_empty(spark, docs, empty, rows, monkeypatch):
     items = spark.createDataFrame([(6, rows[0][1])], "item_id bigint, text string")
     broadcast = decontaminate.matches(docs, items).drop("doc_key").collect()
