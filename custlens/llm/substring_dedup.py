@@ -3,11 +3,12 @@
 A window is a number of consecutive words (35 if not told otherwise). Every word under a window whose words also start
 anywhere else, in the same text or another, is removed. Windows are judged on the input.
 
-The suffixes of all texts are dealt by prefix into groups, each group's suffixes are ordered into a subtree, and the
-leaves under its internal nodes of window depth are the places of repeats. Depth is counted in blocks of words (a fifth
-of a window each) and a node's children are told apart by the hash of the next block. The prefix that names a group is
-one block long; a group is split by the next block, and the next, as long as it has more than one suffix, so the length
-of a prefix follows the data and a task holds its own share of suffixes only.
+The suffixes of all texts are dealt into groups by their prefix of a whole window, each group's suffixes are ordered into a
+subtree, and the leaves under its internal nodes of window depth are the places of repeats. Depth is counted in blocks of
+words (a fifth of a window each) and a node's children are told apart by the hash of the next block. Prefixes are not of
+variable length: only leaves that agree in a whole window matter, so a shorter prefix that many texts share, followed by
+different words, need not meet in one task, and is spread over all of them. A task's share is not sized to memory; it is
+that of all suffixes by the number of shuffle partitions.
 
 Three things keep the amount small without losing a repeat:
 
@@ -178,8 +179,16 @@ def _by_text(text: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]
             yield int(text[a]), place[a:b].tobytes()
 
 
+def group_of(first: np.ndarray, rest: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each suffix, from the hashes of all its blocks."""
+    whole = mix(first)
+    for k in range(rest.shape[1]):
+        whole = mix(whole ^ rest[:, k].astype(np.uint64))
+    return (whole >> np.uint64(20)) % np.uint64(buckets)
+
+
 def suffixes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Blocks of suffixes by bucket of their prefix, and, with ``first`` null, places known to repeat by bucket of texts.
+    """Blocks of suffixes by bucket of their group, and, with ``first`` null, places known to repeat by bucket of texts.
 
     Rows: text, digest, text_id and places, the anchors of the text that occur twice, ordered by text_id.
     """
@@ -204,7 +213,7 @@ def suffixes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                 begins[1:] = node[1:] != node[:-1]
                 go_on[leaves[~begins]] = False
             first, rest, text, place = first[go_on], rest[go_on], text[go_on], place[go_on]
-            bucket = (first >> np.uint64(20)) % np.uint64(buckets)
+            bucket = group_of(first, rest, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):

@@ -140,6 +140,28 @@ def test_substring_text_and_empty(docs, rows, empty):
     assert substring_dedup.report(empty).count() == 0
 
 
+def test_common_header_is_spread(spark):
+    """Suffixes that agree in a header only are dealt to many buckets, those that agree in a window to one."""
+    rng = random.Random(13)
+    header = cases.prose(rng, 34).replace("\n", " ")
+    some = [(k, f"{header} {cases.prose(rng, 40)}") for k in range(200)]
+    some += [(300 + k, f"start{k} {some[k][1]}") for k in range(20)]
+    docs = cases.frame(spark, some)
+    texts = docs.select("doc_id", "text", *substring_dedup._text_key())
+    places = texts.sparkSession.createDataFrame(
+        [(r["text_id"], list(range(34))) for r in texts.collect()], "text_id bigint, places array<int>")
+    dealt = substring_dedup.suffixes(texts.join(places, "text_id"), 35, 16).where("first is not null").collect()
+    first, rest = (np.concatenate([np.frombuffer(r[c], k) for r in dealt]) for c, k in (("first", np.uint64), ("rest", np.uint32)))
+    bucket = np.repeat([r["bucket"] for r in dealt], [len(r["first"]) // 8 for r in dealt])
+    hot = max(Counter(first.tolist()).items(), key=lambda x: x[1])
+    assert hot[1] >= 100 and len(set(bucket[first == hot[0]].tolist())) == 16
+    whole: dict = {}
+    for f, r, b in zip(first.tolist(), map(tuple, rest.reshape(-1, substring_dedup.BLOCKS - 1).tolist()), bucket.tolist()):
+        whole.setdefault((f, r), set()).add(b)
+    assert all(len(b) == 1 for b in whole.values())
+    cases.same(substring_dedup.report(docs).collect(), cases.substring(some, 35))
+
+
 def test_deep_leaves():
     rng = np.random.default_rng(1)
     codes = [rng.integers(0, 3, 500).astype(np.uint64) for _ in range(5)]
