@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from custlens.llm import (
-    decontaminate, license_scan, line_dedup, merkle, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup)
+    decontaminate, license_scan, line_dedup, merkle, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_file)
 from custlens.llm.common import documents, table
 
 
@@ -57,11 +57,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(documents(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_decontamination, op2_license_scan, op3_substring_dedup, op4_best_fit_packing, op5_pii, op6_ngram_join,
             op7_secret_scan, op8_line_dedup, op9_suffix_dedup, op10_quality_rules, op12_merkle_manifest,
+            op13_token_file,
         )
     }
