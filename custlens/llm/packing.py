@@ -10,20 +10,14 @@ class in one step, with the same outcome as one after another. The plan that res
 the pieces of a length, which sequences they go to. The ranks come from counts by task and length, so no task sees all
 pieces of a length, and the pieces themselves are placed where they are.
 
-Token ids: the text is cut at ASCII white space, which no token of the vocabulary crosses; parts are encoded once and
-remembered up to a bound. Parts of plain Latin letters are cut further at the pattern of the tokenizer and encoded many
-at a time.
-
 Defined results: a missing or empty text is the end token alone; every row is packed, so repeated rows and repeated or
 missing ids are pieces of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,103 +27,12 @@ from pyspark.sql import functions as F
 
 from custlens.functions.stages import written
 from custlens.llm.common import slices
+from custlens.llm.tokens import encoder, word_tokenizer
 
 CAPACITY = 4096
 END = 1
 
 
-# ---- token ids ----
-
-#: Letters whose lower and composed forms are the same everywhere.
-_LETTERS = "a-zA-ZÀ-ÖØ-öø-į"
-_PLAIN = re.compile(f"[!-~{_LETTERS}]*")
-#: The tokenizer's own cut of a text, for plain characters in lower case.
-_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
-
-
-class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers, for a tokenizer with word ends that drops white space."""
-
-    #: Remembered parts; beyond, the memory starts anew.
-    MOST_CHUNKS, MOST_WORDS = 300_000, 600_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn_words(self, words: list[str]) -> None:
-        if len(self.words) > self.MOST_WORDS:
-            self.words.clear()
-        for at in range(0, len(words), 5000):
-            some = words[at:at + 5000]
-            lines = [" ".join(some[i:i + 250]) for i in range(0, len(some), 250)]
-            encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-            ids = np.array([i for e in encoded for i in e.ids], dtype="<u4")
-            stops = (np.flatnonzero(self.is_end[ids]) + 1).tolist() if len(ids) else []
-            if len(stops) != len(some):  # a word that is more than one; none is known
-                self.words.update((w, self._encode(w)) for w in some)
-                continue
-            raw, start = ids.tobytes(), 0
-            for word, stop in zip(some, stops):
-                self.words[word] = raw[start * 4:stop * 4]
-                start = stop
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > self.MOST_CHUNKS:
-            self.chunks.clear()
-            self.chunks[""] = b""
-        cut: dict[str, list[str]] = {}
-        for chunk in chunks:
-            if (chunk.isascii() and chunk.isprintable()) or _PLAIN.fullmatch(chunk):
-                low = chunk.lower()
-                if low.isalpha():
-                    cut[chunk] = [low]
-                elif "<|" not in low:
-                    cut[chunk] = _CUT.findall(low)
-                else:
-                    self.chunks[chunk] = self._encode(chunk)
-            else:
-                self.chunks[chunk] = self._encode(chunk)
-        known = self.words
-        self._learn_words(list({w for parts in cut.values() for w in parts if w not in known}))
-        for chunk, parts in cut.items():
-            try:
-                self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
-            except KeyError:  # forgotten meanwhile
-                self.chunks[chunk] = self._encode(chunk)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        missing = set().union(*cut) - self.chunks.keys()
-        if missing:
-            if len(self.chunks) + len(missing) > self.MOST_CHUNKS:
-                missing = set().union(*cut)
-            self._learn(missing)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
-
-
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, kept over its tasks."""
-    return Encoder(path)
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
@@ -138,17 +41,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        encode, end = encoder(tokenizer).ids, np.array([END], dtype="<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                ids = batch.column("doc_id").to_pylist()
+            for batch in slices(whole, "text", 8 << 20):
+                ids, offsets = encoder(tokenizer).ids(batch.column("text"), END)
+                raw, places = memoryview(ids.tobytes()), offsets.tolist()
                 rows: list[tuple] = []
-                for doc, raw in zip(ids, encode(batch.column("text").to_pylist())):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at:at + 4 * capacity]
-                        n = len(own) // 4
-                        rows.append((doc, k, at // 4, n, zlib.crc32(own), part, int(seen[n])))
+                for doc, first, last in zip(batch.column("doc_id").to_pylist(), places, places[1:]):
+                    for k, at in enumerate(range(first, last, capacity)):
+                        n = min(capacity, last - at)
+                        rows.append((doc, k, at - first, n, zlib.crc32(raw[4 * at:4 * (at + n)]), part, int(seen[n])))
                         seen[n] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -233,7 +134,7 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = written(pieces(docs, tokenizer or default_tokenizer(), capacity), "pieces")
+    found = written(pieces(docs, tokenizer or word_tokenizer(), capacity), "pieces")
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "piece_ranks")
@@ -252,7 +153,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 [*batch.columns[:-1], pa.array(first + nth // per, pa.int64()), pa.array(used + nth % per * length, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = found.join(firsts.select("part", "length", "first"), ["part", "length"]).select(
+    # the ranks grow with tasks times lengths, so they are shuffled and not broadcast
+    ranked = found.join(firsts.select("part", "length", "first").hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(
         place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
