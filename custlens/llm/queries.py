@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from custlens.llm import (
-    decontaminate, license_scan, line_dedup, merkle, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_file)
+    alignment, decontaminate, license_scan, line_dedup, merkle, ngram_join, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_file)
 from custlens.llm.common import documents, table
 
 
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(docs, quality_rules.ordered(docs))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_decontamination, op2_license_scan, op3_substring_dedup, op4_best_fit_packing, op5_pii, op6_ngram_join,
-            op7_secret_scan, op8_line_dedup, op9_suffix_dedup, op10_quality_rules, op12_merkle_manifest,
-            op13_token_file,
+            op7_secret_scan, op8_line_dedup, op9_suffix_dedup, op10_quality_rules, op11_token_alignment,
+            op12_merkle_manifest, op13_token_file,
         )
     }
