@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
@@ -12,9 +15,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from custlens.operators.splits import SEED, class_weights
+from custlens.functions.stages import new_path
+from custlens.operators.splits import FIT_PARTITIONS, SEED, class_weights
+from custlens.operators.trees import TreeEnsemble, load_ensemble
 
 PATIENCE = 30
 
@@ -26,6 +31,7 @@ class Spec:
     fit: Callable[[DataFrame, DataFrame], object]
     scaled: bool = False
     log_target: bool = False
+    partitions: int = FIT_PARTITIONS  # of the training rows; a few hundred for large tables
 
 
 def best_round(losses: list[float], patience: int = PATIENCE) -> int:
@@ -39,14 +45,67 @@ def best_round(losses: list[float], patience: int = PATIENCE) -> int:
     return best + 1
 
 
-def _boosted(estimator, train: DataFrame, val: DataFrame):
-    """Boosting with early stopping. Spark's own stop has no patience, so the
-    rounds are counted on the validation rows and the fit is repeated with them;
-    equal seeds give equal trees.
+def first_trees(model, n: int):
+    """A boosted model of the first ``n`` trees: what a fit with so many rounds and the same seed gives."""
+    if n >= len(model.treeWeights):
+        return model
+    java, gateway = model._java_obj, SparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    more = [java.numFeatures(), java.numClasses()] if hasattr(model, "numClasses") else [java.numFeatures()]
+    return type(model)(_java_class(model)(java.uid(), trees, weights, *more))
+
+
+def _java_class(model):
+    kind = SparkContext._gateway.jvm
+    for part in model._java_obj.getClass().getName().split("."):
+        kind = getattr(kind, part)
+    return kind
+
+
+AUC_BINS = 1 << 14
+
+
+def auc_by_round(ensemble: TreeEnsemble, rows: DataFrame) -> list[float]:
+    """The area under the curve on ``rows`` (features, label) after every round.
+
+    Tasks count rows by round, class and the score's bin; rows in one bin count as equal.
+    """
+    rounds = len(ensemble.scale)
+
+    def count(batches):
+        for pdf in batches:
+            margins = np.cumsum(ensemble.outputs(np.stack(pdf["x"])) * ensemble.scale, axis=1)
+            bins = np.minimum((AUC_BINS / (1.0 + np.exp(-margins))).astype(np.int64), AUC_BINS - 1)
+            keys = (np.arange(rounds) * AUC_BINS + bins) * 2 + pdf["label"].to_numpy().astype(np.int64)[:, None]
+            found, n = np.unique(keys, return_counts=True)
+            yield pd.DataFrame({"round": found // (2 * AUC_BINS), "bin": found // 2 % AUC_BINS, "positive": found % 2, "n": n})
+
+    counted = rows.select(vector_to_array("features").alias("x"), "label").mapInPandas(count, "round bigint, bin bigint, positive bigint, n bigint")
+    bins = counted.groupBy("round", "bin").agg(
+        F.sum(F.col("n") * F.col("positive")).alias("p"), F.sum(F.col("n") * (1 - F.col("positive"))).alias("q"))
+    below = Window.partitionBy("round").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most AUC_BINS rows
+    ranked = bins.withColumn("below", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    areas = ranked.groupBy("round").agg(
+        (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / (F.sum("p") * F.sum("q"))).alias("auc")).orderBy("round").collect()
+    return [r["auc"] if r["auc"] is not None else 0.5 for r in areas]
+
+
+def _boosted(estimator, train: DataFrame, val: DataFrame, stop: str = "loss"):
+    """Boosting with early stopping: one fit with all rounds, cut to those up to the best on the validation rows.
+
+    Spark's own stop has no patience. ``stop`` is "loss" or "auc".
     """
     model = estimator.fit(train)
-    rounds = best_round(model.evaluateEachIteration(val))
-    return model if rounds == estimator.getMaxIter() else estimator.copy({estimator.maxIter: rounds}).fit(train)
+    if stop == "auc":
+        path = new_path(train.sparkSession, "boosted")
+        save_model(model, path)
+        losses = [-a for a in auc_by_round(load_ensemble(train.sparkSession, model, path), val)]
+    else:
+        losses = model.evaluateEachIteration(val)
+    return first_trees(model, best_round(losses))
 
 
 def _logistic(train: DataFrame, val: DataFrame):
@@ -57,13 +116,13 @@ def _logistic(train: DataFrame, val: DataFrame):
     ).fit(train)
 
 
-def _gbt(weighted: bool):
+def _gbt(weighted: bool, stop: str):
     def fit(train: DataFrame, val: DataFrame):
         options = {"weightCol": "weight"} if weighted else {}
         est = GBTClassifier(
             maxIter=300, stepSize=0.03, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED, **options
         )
-        return _boosted(est, train, val)
+        return _boosted(est, train, val, stop)
 
     return fit
 
@@ -81,8 +140,8 @@ CHURN_MODELS: dict[str, Spec] = {
         maxDepth=5, minInstancesPerNode=10, weightCol="weight", seed=SEED).fit(t)),
     "churn_rf": Spec(lambda t, v: RandomForestClassifier(
         numTrees=200, maxDepth=7, minInstancesPerNode=5, weightCol="weight", seed=SEED).fit(t)),
-    "churn_gbt": Spec(_gbt(weighted=False)),
-    "churn_gbt_weighted": Spec(_gbt(weighted=True)),
+    "churn_gbt": Spec(_gbt(weighted=False, stop="auc")),
+    "churn_gbt_weighted": Spec(_gbt(weighted=True, stop="loss")),
     "churn_mlp": Spec(_network, scaled=True),
 }
 

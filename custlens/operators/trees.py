@@ -30,7 +30,8 @@ class TreeEnsemble:
     scale: np.ndarray  # factor of each tree in the margin
     logistic: bool
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        """The value of every row (rows) in every tree (columns)."""
         node = np.zeros((len(x), len(self.scale)), dtype=np.int64)
         tree = np.arange(len(self.scale))
         rows = np.arange(len(x))[:, None]
@@ -42,7 +43,10 @@ class TreeEnsemble:
             goes_left = x[rows, np.where(inner, split, 0)] <= self.threshold[tree, node]
             child = np.where(goes_left, self.left[tree, node], self.right[tree, node])
             node = np.where(inner, child, node)
-        return self.value[tree, node] @ self.scale
+        return self.value[tree, node]
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.outputs(x) @ self.scale
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         m = self.margin(x)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import round_even
-from custlens.functions.stages import written
-from custlens.operators import anomaly, explain, linear, models, segments, sequences, splits, surrogate
+from custlens.functions.stages import new_path, stage, written
+from custlens.operators import anomaly, explain, linear, models, runlog, segments, sequences, splits, surrogate
 from custlens.operators.metrics import classifier_metrics, exact_auc, regressor_metrics
 from custlens.operators.neighbours import distance_vote, nearest_neighbours
 from custlens.operators.orders import order_events
@@ -63,23 +65,43 @@ def regression_metrics_log(s, d):
     return regressor_metrics(f, is_log=True)
 
 
+RUN_AT = (datetime(2001, 8, 2), datetime(2001, 8, 9))
+CHURN_RULES = {
+    "recency_rule": lambda: F.col("recency_days") / 100.0 - 0.5, "order_rule": lambda: 1.0 - F.col("frequency") / 5.0,
+    "both_rule": rule_margin,
+}
+CLV_RULES = {"half_spend": 0.5, "third_spend": 0.3, "rule_spend": 0.45}
+
+
+def rule_log(s, d) -> str:
+    """A run log of rules: a first version measured on the validation rows, and a second one on the test rows."""
+    def build():
+        folder = new_path(s, "rule_log")
+        for version, (part, at) in enumerate(zip(("val", "test"), RUN_AT), 1):
+            for target, rules in (("churn", CHURN_RULES), ("clv_next_90d", CLV_RULES)):
+                rows = training.splits(s, d, target).filter(F.col("split") == part)
+                for name, rule in rules.items():
+                    if target == "churn":
+                        measured = classifier_metrics(rows.withColumn("probability", 1.0 / (1.0 + F.exp(-rule()))), "churn")
+                    else:
+                        prediction = F.lit(rule) * F.greatest(F.col("total_spend"), F.lit(0.0))
+                        measured = regressor_metrics(rows.withColumn("prediction", prediction))
+                    runlog.append(runlog.run_rows(
+                        measured.withColumn("model", F.lit(name)), target, version, at, f"models/v{version}", f'{{"rule": "{name}"}}',
+                        len(training.columns(s, d))), folder)
+        return runlog.read(s, folder)
+
+    return stage(s, d, "rule_log", build)
+
+
 def model_pick(s, d):
-    """Best churn and value model of the run log."""
-    churn = training.comparison(s, d, "churn").select("model", F.lit("churn").alias("target"), F.col("roc_auc").alias("quality"))
-    clv = training.comparison(s, d, "clv_next_90d").select("model", F.lit("clv_next_90d").alias("target"), F.col("r2").alias("quality"))
-    return churn.limit(1).unionByName(clv.limit(1))
+    """Best churn and value model of a run log."""
+    return runlog.active(rule_log(s, d)).select("model", "target", F.col("test_value").alias("quality"))
 
 
 def model_registry(s, d):
-    """Metadata of the stored models, from the run log."""
-    parts = []
-    for target, quality in (("churn", "roc_auc"), ("clv_next_90d", "r2")):
-        log = training.comparison(s, d, target)
-        parts.append(log.select(
-            "model", F.lit(target).alias("target"), F.lit(quality).alias("measure"), F.col(quality).alias("test_value"),
-            F.lit(len(training.columns(s, d))).alias("feature_count"),
-        ))
-    return parts[0].unionByName(parts[1])
+    """Version, time, place, parameters and quality of the last run of every model, and which are active."""
+    return runlog.registry(rule_log(s, d))
 
 
 def knn_vote(s, d):

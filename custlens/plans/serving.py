@@ -6,18 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from custlens.functions.columns import round_even
 from custlens.functions.ranking import exact_quantiles
-from custlens.functions.stages import input_version, stage, written
-from custlens.operators import anomaly, models, segments, serving
+from custlens.functions.stages import input_version, new_path, stage, written
+from custlens.operators import anomaly, bundle, segments, serving
 from custlens.operators.features import rfm_features
-from custlens.operators.metrics import spend_prediction
 from custlens.operators.scoring import MODEL_VERSION, SCORING_SCHEMA, score_batch
-from custlens.operators.splits import Scaler, fit_scaler, scaled_vectors
-from custlens.operators.trees import load_ensemble, with_tree_factors
+from custlens.operators.splits import Scaler, fit_scaler
 from custlens.plans import tables, training
 
 SEEDED_AT = datetime(2001, 8, 2)
@@ -25,6 +22,7 @@ RESCORED_AT = datetime(2001, 8, 9)
 
 # A fixed churn rule instead of a fitted model, so that SQL can check what follows.
 RULE_WEIGHTS = {"recency_days": 1.0 / 100.0, "frequency": -1.0 / 5.0}
+RULE_VALUE_SHARE = 0.45
 
 
 def rule_margin() -> Column:
@@ -36,7 +34,7 @@ def rule_probability() -> Column:
 
 
 def rule_clv() -> Column:
-    return 0.45 * F.greatest(F.col("total_spend"), F.lit(0.0))
+    return RULE_VALUE_SHARE * F.greatest(F.col("total_spend"), F.lit(0.0))
 
 
 def rule_cluster() -> Column:
@@ -181,33 +179,43 @@ _profiles: dict[tuple, tuple] = {}
 
 
 def tree_model(spark: SparkSession, folder: str) -> str:
-    """The tree model in production: the best one by the run log."""
-    return training.picked(spark, folder, "churn", TREE_MODELS)
+    """The tree model in production."""
+    return training.PRODUCTION_CHURN
 
 
-def fitted_scorer(spark: SparkSession, folder: str, churn: str, clv: str) -> Callable[[DataFrame], DataFrame]:
-    """Scores with fitted models: churn trees with attributions, value, segment, anomaly."""
-    names = training.columns(spark, folder)
-    trees = training.fitted(spark, folder, churn)
-    ensemble = load_ensemble(spark, trees.model, trees.path)
-    value = training.fitted(spark, folder, clv)
-    value_scaler = training.scaler(spark, folder, "clv_next_90d")
+def fitted_bundle(
+    spark: SparkSession, folder: str, churn: str = training.PRODUCTION_CHURN, clv: str = training.PRODUCTION_CLV,
+) -> bundle.FittedBundle:
+    """All fits that scoring needs, for a tree model and a value model by name."""
+    trees, value = training.fitted(spark, folder, churn), training.fitted(spark, folder, clv)
     _, personas, kmeans, seg_scaler = segmented(spark, folder)
-    profile, p95, _ = spending_profile(spark, folder)
-
-    def score(df: DataFrame) -> DataFrame:
-        rows = df.fillna(0, subset=names)
-        plain = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-        out = models.churn_probability(trees.model, plain).drop("features")
-        value_inputs = [f"_v{i}" for i in range(len(names))]
-        scale = value_scaler.scaled if value.spec.scaled else (lambda c: F.col(c).cast("double"))
-        out = out.withColumns({v: scale(c) for v, c in zip(value_inputs, names)})
-        out = VectorAssembler(inputCols=value_inputs, outputCol="features").transform(out).drop(*value_inputs)
-        out = value.model.transform(out).withColumn("clv", spend_prediction(F.col("prediction"), value.spec.log_target))
-        out = out.drop("features", "prediction")
-        out = kmeans.transform(scaled_vectors(out, seg_scaler)).drop("x")
-        out = segments.with_segment_names(out, personas)
-        out = profile.with_error(out, "anomaly_error").withColumn("anomaly_limit", F.lit(p95))
-        return with_tree_factors(out, ensemble, names)
-
-    return score
+    profile, p95, p99 = spending_profile(spark, folder)
+    return bundle.FittedBundle(
+        training.columns(spark, folder), trees.model, value.model,
+        training.scaler(spark, folder, "clv_next_90d") if value.spec.scaled else None, value.spec.log_target,
+        kmeans, seg_scaler, personas, profile, p95, p99, trees.path, {"churn": churn, "clv": clv})
+
+
+def rule_bundle(spark: SparkSession, folder: str) -> bundle.RuleBundle:
+    """The rule scorer as a bundle."""
+    r = rule_scorer(spark, folder)
+    return bundle.RuleBundle({c: 1.0 / w for c, w in RULE_WEIGHTS.items()}, r.means, RULE_VALUE_SHARE, r.scaler, r.personas, r.p95, r.p99)
+
+
+def stored_bundle(spark: SparkSession, folder: str, kind: str) -> str:
+    """The folder of bundles of an input, with the one of ``kind`` ("rules" or "fitted") fitted and stored at its first use."""
+    key = (spark.sparkContext.applicationId, folder, input_version(spark, folder), kind)
+    if key not in _bundles:
+        path = new_path(spark, f"bundles_{kind}")
+        made = rule_bundle(spark, folder) if kind == "rules" else fitted_bundle(spark, folder)
+        made.save(spark, path, MODEL_VERSION)
+        _bundles[key] = path
+    return _bundles[key]
+
+
+_bundles: dict[tuple, str] = {}
+
+
+def fitted_scorer(spark: SparkSession, folder: str, churn: str, clv: str) -> Callable[[DataFrame], DataFrame]:
+    """Scores with models fitted in this application."""
+    return fitted_bundle(spark, folder, churn, clv).scorer(spark)

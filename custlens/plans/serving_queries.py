@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import round_even
-from custlens.functions.stages import new_path
-from custlens.operators import scoring, serving
-from custlens.plans import serving as plan, tables, training
+from custlens.functions.stages import input_version, new_path
+from custlens.operators import bundle, scoring, serving
+from custlens.plans import serving as plan, tables
 from custlens.sources.uploads import read_scoring_csv
 from custlens.streaming.scoring import read_scored, start_scoring
+from custlens.streaming.store import ServingStore
 
 
 def impute_features(s, d):
@@ -158,13 +161,19 @@ def leaderboard_total(s, d):
 
 
 def batch_score(s, d):
-    """Partial records scored with the models in production."""
-    clv = training.picked(s, d, "clv_next_90d")
-    scorer = plan.fitted_scorer(s, d, plan.tree_model(s, d), clv)
+    """Partial records scored with the models in production, fitted once, stored, and loaded from their folder."""
+    scorer = bundle.load(s, plan.stored_bundle(s, d, "fitted")).scorer(s)
     scored, _ = scoring.score_batch(plan.partial_records(s, d), scorer, scoring.MODEL_VERSION, plan.RESCORED_AT)
     return scored.withColumn("top_risk_factors", F.to_json("top_risk_factors"))
 
 
+def bundle_score(s, d):
+    """Partial records scored with the rule bundle, from its folder alone."""
+    scorer = bundle.load(s, plan.stored_bundle(s, d, "rules")).scorer(s)
+    scored, _ = scoring.score_batch(plan.partial_records(s, d), scorer, scoring.MODEL_VERSION, plan.RESCORED_AT)
+    return scoring.export_rows(scored)
+
+
 def upload_folder(s, d) -> str:
     """CSV files as customers send them: four or five columns in different orders, and one with further customers' rows.
 
@@ -207,6 +216,52 @@ def stream_score(s, d):
     return scoring.export_rows(read_scored(s, f"{folder}/out"))
 
 
+STREAMED_AT = (datetime(2001, 8, 9), datetime(2001, 8, 16))
+_stores: dict[tuple, str] = {}
+
+
+def streamed_store(s, d) -> ServingStore:
+    """The serving tables after a full load and two runs of the stream.
+
+    The first run gets two thirds of the customers. The second one gets every other customer again, longer ago and with twice
+    the spend, and some that are not known yet. The first batch is then offered once more, as after a failure.
+    """
+    key = (s.sparkContext.applicationId, d, input_version(s, d))
+    if key not in _stores:
+        folder = new_path(s, "streamed")
+        store, scorer = ServingStore(s, f"{folder}/store"), plan.rule_scorer(s, d)
+        store.create(plan.seeded(s, d), scorer.p99)
+        rows = plan.partial_records(s, d).select("customer_id", "recency_days", "frequency", "total_spend")
+        again = rows.withColumns({"recency_days": F.col("recency_days") + 60.0, "total_spend": F.col("total_spend") * 2.0})
+        new = again.filter("customer_id % 50 = 0").withColumn("customer_id", F.col("customer_id") + 1_000_000)
+        uploads = (rows.filter("customer_id % 3 <> 0"), again.filter("customer_id % 2 = 0").unionByName(new))
+        for part, at in zip(uploads, STREAMED_AT):
+            part.write.mode("append").option("header", True).csv(f"{folder}/in")
+            start_scoring(
+                s, f"{folder}/in", f"{folder}/out", scorer, scoring.MODEL_VERSION, once=True, clock=lambda at=at: at, store=store,
+            ).awaitTermination()
+        store.apply(0, store.spark.read.parquet(store.pending()[0]))
+        store.compact()
+        _stores[key] = store.folder
+    return ServingStore(s, _stores[key])
+
+
+def stream_customers(s, d):
+    return streamed_store(s, d).tables()["customers"]
+
+
+def stream_segments(s, d):
+    return streamed_store(s, d).tables()["customer_segments"]
+
+
+def stream_predictions(s, d):
+    return streamed_store(s, d).tables()["predictions"]
+
+
+def stream_anomalies(s, d):
+    return streamed_store(s, d).tables()["anomaly_reports"]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -214,5 +269,6 @@ QUERIES = {
         serving_predictions, serving_anomalies, upsert_customers, upsert_segments, append_predictions,
         append_anomalies, customer_360, prediction_history, customer_page, cohort_view, cohort_view_unscored, kpis, tier_counts,
         segment_filter, fixed_sample, segment_summary, leaderboard, leaderboard_total, upload_rows, stream_score, batch_score,
+        bundle_score, stream_customers, stream_segments, stream_predictions, stream_anomalies,
     )
 }

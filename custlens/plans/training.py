@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custlens.functions.stages import input_version, new_path, stage, written
-from custlens.operators import models
+from custlens.operators import models, runlog
 from custlens.operators.metrics import classifier_metrics, regressor_metrics
 from custlens.operators.neighbours import distance_vote, nearest_neighbours
 from custlens.operators.splits import Scaler, assign_splits, fit_scaler, fitting_rows, in_parallel, model_inputs
@@ -17,6 +19,9 @@ from custlens.plans import tables
 
 SPECS = {**models.CHURN_MODELS, **models.CLV_MODELS}
 
+#: The models in production, named by a run log of the past; reports and scoring fit these and no other.
+PRODUCTION_CHURN, PRODUCTION_CLV = "churn_gbt_weighted", "clv_ridge"
+
 
 @dataclass
 class Fitted:
@@ -72,7 +77,7 @@ def fitted(spark: SparkSession, folder: str, name: str) -> Fitted:
     """The model, fitted and saved at its first use in the application."""
     key = _key(spark, folder, name)
     if key not in _fitted:
-        with fitting_rows(model_rows(spark, folder, name)) as rows:
+        with fitting_rows(model_rows(spark, folder, name), SPECS[name].partitions) as rows:
             model = models.fit_model(rows, SPECS[name])
         path = new_path(spark, name)
         models.save_model(model, path)
@@ -144,6 +149,31 @@ def run_log(spark: SparkSession, folder: str, target: str, names: tuple[str, ...
     return reduce(DataFrame.unionByName, in_parallel(lambda n: evaluation(spark, folder, n), names))
 
 
+def log_runs(
+    spark: SparkSession, folder: str, log: str, version: int, trained_at: datetime, target: str, names: tuple[str, ...] = (),
+) -> None:
+    """Adds the runs of a target's models to the run log in the folder ``log``; the models are stored beside it."""
+    for measured in run_log(spark, folder, target, names).filter("split = 'test'").collect():  # one row per model
+        name = measured["model"]
+        place = f"{log}_models/v{version}"
+        if name in SPECS:
+            models.save_model(fitted(spark, folder, name).model, f"{place}/{name}")
+        rows = spark.createDataFrame([measured.asDict()])
+        runlog.append(runlog.run_rows(
+            rows, target, version, trained_at, place, parameters_of(spark, folder, name), len(columns(spark, folder))), log)
+
+
+def parameters_of(spark: SparkSession, folder: str, name: str) -> str:
+    """The parameters that a fit was given, as text in order of their names."""
+    if name not in SPECS:
+        return json.dumps({"neighbours": 15})
+    model = fitted(spark, folder, name).model
+    given = {p.name: v for p, v in model.extractParamMap().items() if isinstance(v, (int, float, str, bool)) and not p.name.endswith("Col")}
+    if hasattr(model, "treeWeights"):
+        given["trees"] = len(model.treeWeights)
+    return json.dumps(given, sort_keys=True)
+
+
 def comparison(spark: SparkSession, folder: str, target: str, names: tuple[str, ...] = ()) -> DataFrame:
     """Models by test quality, best first: AUC then recall, or R2."""
     test = run_log(spark, folder, target, names).filter("split = 'test'")

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from custlens.operators.scoring import SCORING_SCHEMA, score_batch
 from custlens.sources.uploads import CORRUPT, read_records
+from custlens.streaming.store import ServingStore
 
 
 def utc_now() -> datetime:
@@ -35,20 +36,25 @@ def write_scored_batch(
 def start_scoring(
     spark: SparkSession, source: str, folder: str, scorer: Callable[[DataFrame], DataFrame],
     version: str, files_per_batch: int = 100, once: bool = False, clock: Callable[[], datetime] = utc_now,
+    store: ServingStore | None = None,
 ) -> StreamingQuery:
     """Reads new CSV files under ``source`` and writes results under ``folder``.
 
     The stream tells which files are new; each micro-batch reads its files by their own headers. Its records carry the
-    time at which it was scored.
+    time at which it was scored. With a ``store``, each batch also updates the serving tables, once, however often it runs.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
     files = lines.select(F.col("_metadata.file_path").alias("file"))
 
     def score(batch: DataFrame, batch_id: int) -> None:
+        if store is not None and store.committed(batch_id):
+            return
         paths = [r["file"] for r in batch.distinct().collect()]  # at most files_per_batch
         if paths:
             records, unreadable = read_records(batch.sparkSession, sorted(paths), SCORING_SCHEMA)
             write_scored_batch(records, unreadable, batch_id, folder, scorer, version, clock())
+            if store is not None:
+                store.commit(batch_id, f"{folder}/predictions/batch_id={batch_id}")
 
     writer = files.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(score)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

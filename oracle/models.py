@@ -114,6 +114,32 @@ EXTRA = {
 }
 
 
+CHURN_RULES = {"recency_rule": "recency_days / 100.0::double - 0.5::double", "order_rule": "1.0::double - frequency / 5.0::double", "both_rule": MARGIN}
+CLV_RULES = {"half_spend": "0.5", "third_spend": "0.3", "rule_spend": "0.45"}
+EXTRA |= {
+    "rule_scores": " union all ".join(
+        f"select customer_id, churn, split, '{name}' as model, 1.0::double / (1.0::double + exp(-({margin}))) as p from churn_split"
+        for name, margin in CHURN_RULES.items()),
+    "rule_places": """
+ select *, rank() over (partition by model, split order by p) + (count(*) over (partition by model, split, p) - 1) / 2.0::double as r from rule_scores""",
+    "rule_values": " union all ".join(
+        f"select clv_next_90d as y, split, '{name}' as model, {share}::double * greatest(total_spend, 0.0::double) as x from clv_split"
+        for name, share in CLV_RULES.items()),
+    "registry": f"""
+ select target, model, 2::bigint as version, timestamp '2001-08-09 00:00:00' as trained_at, 'models/v2/' || model as path, '{{"rule": "' || model || '"}}' as parameters,
+        {len(INPUTS)}::bigint as feature_count, measure, test_value, second_value,
+        (row_number() over (partition by target order by test_value desc, second_value desc nulls last, model))::int as place
+ from (
+  select 'churn' as target, model, 'roc_auc' as measure,
+         {half_even("(sum(r) filter (where churn = 1) - count(*) filter (where churn = 1) * (count(*) filter (where churn = 1) + 1) / 2.0::double) / (count(*) filter (where churn = 1) * count(*) filter (where churn = 0))", 4)} as test_value,
+         {half_even("count(*) filter (where p >= 0.5 and churn = 1)::double / count(*) filter (where churn = 1)", 4)} as second_value
+  from rule_places where split = 'test' group by model
+  union all
+  select 'clv_next_90d', model, 'r2', {half_even('1.0::double - avg((y - x) * (y - x)) / var_pop(y)', 4)}, null::double
+  from rule_values where split = 'test' group by model)""",
+}
+
+
 def q(sql: str) -> str:
     return with_ctes(sql, EXTRA)
 
@@ -159,6 +185,8 @@ ORACLE = {
     "kmeans_membership": q("select customer_id, 1::bigint as clusters, 1::bigint as names, true as name_of_cluster from features"),
     "anomaly_consistency": q("select customer_id, true as not_negative, true as flag_95, true as flag_99, true as nested from features"),
     "prediction_totals": q("select model, split, churn::int as churn, count(*) as n from churn_split, (values ('churn_lr'), ('churn_tree'), ('churn_rf')) m(model) group by all"),
+    "model_pick": q("select model, target, test_value as quality from registry where place = 1"),
+    "model_registry": q("select *, place = 1 as active from registry"),
     "exact_auc": q(f"select {half_even(AUC, 9)} as roc_auc from positions"),
     "regressor_metrics": regression("clv"),
     "regressor_metrics_log": regression("greatest(exp(least(greatest(ln(1.0::double + clv), 0.0::double), 15.0::double)) - 1.0::double, 0.0::double)"),

@@ -100,6 +100,29 @@ EXTRA = {
 }
 
 
+T3 = "timestamp '2001-08-16 00:00:00'"
+
+
+def scored_uploads(records: str, at: str) -> str:
+    """What the stream makes of upload records (customer_id, recency_days, frequency, total_spend)."""
+    imputed = "select customer_id, " + ", ".join(f"({e})::double as {c}" for c, e in UPLOAD_IMPUTED.items()) + f" from ({records})"
+    return f"""
+ select customer_id, {exact('p', 4)} as churn_probability, p >= 0.5 as is_churn, {exact('clv', 2)} as predicted_clv, {tier('p')} as risk_tier,
+        coalesce(segment_name, 'Cluster ' || cluster_id) as segment_name, e >= p95 as is_anomaly, {exact('e', 4)} as anomaly_score, {at} as scored_at
+ from (select *, {RULE_P} as p, {RULE_CLV} as clv, {CLUSTER_ID} as cluster_id, {ERROR} as e from ({imputed}), anomaly_stats, limits95) r
+ left join personas using (cluster_id)"""
+
+
+EXTRA |= {
+    "stream_first": scored_uploads("select customer_id, recency_days, frequency, total_spend from records where customer_id % 3 <> 0", T2),
+    "stream_second": scored_uploads(
+        "select customer_id, recency_days + 60.0::double as recency_days, frequency, total_spend * 2.0::double as total_spend from records where customer_id % 2 = 0 "
+        "union all select customer_id + 1000000, recency_days + 60.0::double, frequency, total_spend * 2.0::double from records where customer_id % 50 = 0", T3),
+    "streamed": "select * from stream_first union all select * from stream_second",
+    "streamed_last": "select * from (select *, row_number() over (partition by customer_id order by scored_at desc) as rn from streamed) where rn = 1",
+}
+
+
 def q(sql: str) -> str:
     return with_ctes(sql, EXTRA)
 
@@ -117,6 +140,7 @@ ORACLE = {
         {half_even('sum(predicted_clv::decimal(18,2))::double / count(*)', 2)} as mean_predicted_clv, count(*) filter (where is_anomaly)::bigint as anomalies_detected
  from rescored"""),
     "batch_export": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
+    "bundle_score": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
     "export_roundtrip": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
     "serving_customers": q("select * from customers_t"),
     "serving_segments": q("select * from segments_t"),
@@ -159,6 +183,19 @@ ORACLE = {
  from cohort_t group by 1"""),
     "leaderboard": q("select * from risky order by priority_revenue_at_risk desc, customer_id limit 100"),
     "leaderboard_total": q("select count(*)::bigint as accounts, coalesce(sum(priority_revenue_at_risk::decimal(18,2))::double, 0.0::double) as revenue_at_risk from risky"),
+    "stream_customers": q("""
+ select * from customers_t union all
+ select customer_id, 'United Kingdom', null, null, true from streamed_last where customer_id not in (select customer_id from customers_t)"""),
+    "stream_segments": q("""
+ select coalesce(s.customer_id, r.customer_id) as customer_id, coalesce(segment_id, 0)::int as segment_id, coalesce(r.segment_name, s.segment_name) as segment_name,
+        coalesce(engagement_score, 50.0::double) as engagement_score, coalesce(r.scored_at, updated_at) as updated_at
+ from segments_t s full join streamed_last r on s.customer_id = r.customer_id"""),
+    "stream_predictions": q("""
+ select * from predictions_t union all
+ select customer_id, churn_probability, is_churn, predicted_clv, risk_tier, 'v1.0.0', scored_at from streamed"""),
+    "stream_anomalies": q("""
+ select * from anomalies_t union all
+ select customer_id, anomaly_score, is_anomaly, anomaly_score >= p99, scored_at from streamed, limits95"""),
     "upload_rows": q("select * from upload_checked"),
     "stream_score": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from upload_scored"),
 }
