@@ -15,7 +15,11 @@ Equal sets are one point, and linked. What is asked for is components, so pairs
 1. Each set is compared with one of those that it shares a key with, the one with most shared keys. The links found make components, and a
    group of many copies mostly becomes one here, in linear work.
 2. For keys that still hold sets of several components, the sets outside the largest component of the key are looked up
-   in R-trees over blocks of the key's sets. Survivors of the bound are compared, and links between components added.
+   in an R-tree over the key's sets. Survivors of the bound are compared, and links between components added.
+3. A key with more than ``FEW`` sets may be a template that many texts share without being linked, and its pairs would grow
+   with its square. Its sets are dealt once more, by their rarest shingles (of all such sets): of two linked sets, the
+   first few of one and the first few of the other have one in common, so sets that share only what is common to all no
+   longer meet. Trees are built over the sets of a shingle, in blocks, and those that ask are cut into blocks, too.
 
 Defined results: A-Z count as a-z and words are runs of characters other than ASCII white space; a missing, empty or
 blank text has no shingles and is linked with nothing; fewer words than a shingle has are one shingle; rows with equal
@@ -43,6 +47,8 @@ from custlens.llm.hashing import mix, run_hashes, words
 DIMENSIONS = 256
 #: Points in a leaf of the tree, and in one block of a key's points.
 LEAF, BLOCK = 16, 2048
+#: Sets of a key up to which they are all looked up among each other.
+FEW = 64
 SLICE = 1 << 20
 
 
@@ -251,10 +257,11 @@ class CountTree:
         return self.order[alive[fits]]
 
 
-def candidate_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+def candidate_pairs(blocks: DataFrame, percent: int, larger_asks: bool = False) -> DataFrame:
     """Pairs (a, b) of different components within a block that the bound lets through.
 
-    Rows: key, block, asks (whether the row is looked up or is looked in), node, component, size, point.
+    Rows: key, block, asks (whether the row is looked up or is looked in), node, component, size, point. With
+    ``larger_asks`` a set is looked up among sets that are not larger.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +277,7 @@ def candidate_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 tree = CountTree(points[inside], size[inside])
                 for q in np.flatnonzero(asks):
                     for at in inside[tree.near(points[q], int(size[q]), percent)]:
-                        if component[at] != component[q]:
+                        if component[at] != component[q] and not (larger_asks and size[at] > size[q]):
                             pairs.append((min(node[at], node[q]), max(node[at], node[q])))
             pairs = sorted(set(pairs))
             return pa.RecordBatch.from_arrays(
@@ -299,10 +306,8 @@ def candidate_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 # ---- the join ----
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of nodes whose sets reach the similarity, as pairs of whole digests."""
-    asked = written(pairs, "pairs")
-    nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
+def contents_of(nodes: DataFrame, docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The sets of ``nodes`` with their shingles, written: set, node, hashes."""
     # one document for every set in question
     some = sets.where("set is not null").join(nodes, "node", "left_semi").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("missing"))
@@ -320,7 +325,14 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
                      pa.array([v.view(np.int64) for v in found], pa.list_(pa.int64()))], names=["set", "node", "hashes"])
 
     contents = texts.select("text").mapInArrow(run, "set binary, node bigint, hashes array<bigint>")
-    contents = written(contents.join(some.select("set"), "set", "left_semi").dropDuplicates(["set"]), "set_contents")
+    return written(contents.join(some.select("set"), "set", "left_semi").dropDuplicates(["set"]), "set_contents")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs of nodes whose sets reach the similarity, as pairs of whole digests."""
+    asked = written(pairs, "pairs")
+    nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
+    contents = contents_of(nodes, docs, sets, n)
     a = contents.select(F.col("node").alias("a"), F.col("set").alias("set_a"), F.col("hashes").alias("hashes_a"))
     b = contents.select(F.col("node").alias("b"), F.col("set").alias("set_b"), F.col("hashes").alias("hashes_b"))
     both = F.size(F.array_intersect("hashes_a", "hashes_b"))
@@ -328,6 +340,59 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
         both * 100 >= percent * (F.size("hashes_a") + F.size("hashes_b") - both)).select("set_a", "set_b")
 
 
+def rare_shingles(contents: DataFrame, percent: int) -> DataFrame:
+    """(key, node, indexed): the first shingles of each set in the order of their frequency among ``contents``.
+
+    Of two sets with overlap o, the first size - o + 1 shingles of one and those of the other have one in common. A set of
+    size s has overlap s * t or more with a smaller one that is linked, and 2 * s * t / (1 + t) or more with a larger one;
+    so it asks with the first s - s * t + 1 and is looked in for the fewer that the second bound leaves (``indexed``).
+    Shingles that no other set has come first, and nobody meets there.
+    """
+    each = contents.select("set", "node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own = each.join(several, "key").groupBy("set", "node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    size, alone = F.col("size"), F.col("size") - F.size("shared")
+    asks = size - F.ceil(size * F.lit(percent) / F.lit(100)).cast("int") + 1
+    indexed = size - F.ceil(size * F.lit(2 * percent) / F.lit(100 + percent)).cast("int") + 1
+    first = own.select("node", indexed.alias("indexed"), alone.alias("alone"), F.slice("shared", 1, F.greatest(asks - alone, F.lit(0))).alias("first"))
+    return first.select("node", "indexed", "alone", F.posexplode("first").alias("place", "shingle")).select(
+        F.col("shingle.key").alias("key"), "node", (F.col("alone") + F.col("place") < F.col("indexed")).alias("indexed"))
+
+
+def rare_blocks(dealt: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of :func:`candidate_pairs` for sets dealt by shingles.
+
+    In a shingle's group the sets outside the largest component ask among all, and those of the largest one among the
+    others. Both sides are cut: those looked in into blocks, those that ask into slices, and every block meets every slice.
+    """
+    rows = written(dealt.join(named.select("node", "component"), "node"), "rare_members")
+    of_component = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if("indexed").alias("inside"))
+    groups = of_component.groupBy("key").agg(
+        F.count("*").alias("components"), F.max(F.struct("n", "component", "inside")).alias("top"), F.sum("n").alias("n"),
+        F.sum("inside").alias("inside")).where("components > 1 and inside > 0")
+    few = lambda c: F.ceil(c / F.lit(BLOCK)).cast("bigint")
+    groups = groups.select(
+        "key", F.col("top.component").alias("largest"), few(F.col("inside")).alias("blocks_0"),
+        few(F.col("inside") - F.col("top.inside")).alias("blocks_1"), few(F.col("n") - F.col("top.n")).alias("slices_0"),
+        few(F.col("top.n")).alias("slices_1"))
+    placed = rows.join(groups, "key")
+    parts = []
+    for side in (0, 1):
+        blocks, slices_ = F.col(f"blocks_{side}"), F.col(f"slices_{side}")
+        other = F.col("component") != F.col("largest")
+        some = placed.where(blocks > 0)
+        key = F.xxhash64("key", F.lit(side)).alias("key")
+        spot = F.pmod(F.xxhash64("node"), blocks)
+        inside = some.where("indexed" if side == 0 else (F.col("indexed") & other)).select(
+            key, "node", F.lit(False).alias("asks"), spot.alias("_b"), slices_.alias("_n"), F.explode(F.sequence(F.lit(0).cast("bigint"), slices_ - 1)).alias("_s"))
+        asking = some.where(other if side == 0 else ~other).select(
+            key, "node", F.lit(True).alias("asks"), F.pmod(F.xxhash64("node"), slices_).alias("_s"), slices_.alias("_n"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("_b"))
+        parts += [x.select("key", (F.col("_b") * F.col("_n") + F.col("_s")).alias("block"), "asks", "node") for x in (inside, asking)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.join(named, "node").select("key", "block", "asks", "node", "component", "size", "point")
+
+
 def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents, and the component of every set that is linked with another: node, label."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -365,13 +430,15 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         F.bit_xor("x").alias("x")).where("components > 1")
     # of keys with the same members one is enough
     mixed = written(mixed.groupBy("x", "n", "largest").agg(F.min("key").alias("key")), "mixed_keys")
-    rows = members.join(mixed.select("key", "n", "largest"), "key").join(named.drop("component"), "node")
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("asks", F.lit(False))
-    asking = rows.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), count - 1))).withColumn(
-        "asks", F.lit(True))
+    rows = members.join(mixed.select("key", "n", "largest"), "key")
+    some = rows.where(F.col("n") <= FEW).join(named.drop("component"), "node").withColumn("block", F.lit(0).cast("bigint"))
+    inside, asking = some.withColumn("asks", F.lit(False)), some.where("component <> largest").withColumn("asks", F.lit(True))
     blocks = inside.unionByName(asking).select("key", "block", "asks", "node", "component", "size", "point")
-    second = written(verified(candidate_pairs(blocks, percent), texts, sets, n, percent), "links_2")
+    # 3. keys with many sets: dealt by their rarest shingles
+    many = written(rows.where(F.col("n") > FEW).select("node").distinct(), "sets_of_large_keys")
+    dealt = rare_shingles(contents_of(many, texts, sets, n), percent)
+    pairs = candidate_pairs(blocks, percent).unionByName(candidate_pairs(rare_blocks(dealt, named), percent, larger_asks=True))
+    second = written(verified(pairs.distinct(), texts, sets, n, percent), "links_2")
     labels = by_set(first.unionByName(second))
 
     return sets, labels
