@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import core, models, serving
+    from oracle import core, models, serving, studies
 
-    return {**core.ORACLE, **serving.ORACLE, **models.ORACLE}
+    return {**core.ORACLE, **serving.ORACLE, **models.ORACLE, **studies.ORACLE}
