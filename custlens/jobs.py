@@ -5,6 +5,7 @@ application can read.
 
     clean_job(spark, ["s3://…/2010", "s3://…/2011"], "s3://…/cleaned", fmt="csv")
     features_job(spark, "s3://…/cleaned", "s3://…/features")
+    serving_job(spark, "s3://…/cleaned", "s3://…/features", "s3://…/bundles", "s3://…/serving", seeded_at)
     export_job(scored, "s3://…/export")
 """
 
@@ -13,9 +14,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custlens.functions.columns import days_before
+from custlens.operators import bundle, serving
 from custlens.operators.clean import clean_transactions
 from custlens.operators.eda import cohort_summary
 from custlens.operators.features import FEATURE_DICTIONARY, check_features, cohort, customer_features
@@ -24,6 +26,7 @@ from custlens.operators.scoring import export_rows
 from custlens.operators.validate import validate_cleaned
 from custlens.sources import sinks
 from custlens.sources.invoices import load_raw
+from custlens.streaming.store import ServingStore
 
 
 def clean_job(
@@ -56,6 +59,28 @@ def features_job(
     return written
 
 
+def serving_job(
+    spark: SparkSession, cleaned: str, features: str, bundles: str, out: str, seeded_at: datetime, version: str | None = None,
+    database: str | None = None,
+) -> ServingStore:
+    """A full load of the four serving tables with a stored bundle: into a store that streams go on with, and into the catalog
+    if a database is named."""
+    _, manifest = bundle.manifest(spark, bundles, version)
+    made = bundle.load(spark, bundles, manifest["version"])
+    table = spark.read.parquet(f"{features}/customer_features")
+    scored = made.scorer(spark)(table)
+    store = ServingStore(spark, out)
+    store.create({
+        "customers": serving.customers_table(table, sinks.read_cleaned(spark, cleaned)),
+        "customer_segments": serving.segments_table(scored, seeded_at),
+        "predictions": serving.predictions_table(scored, manifest["version"], seeded_at),
+        "anomaly_reports": serving.anomalies_table(scored, F.lit(made.p95), F.lit(made.p99), seeded_at),
+    }, made.p99)
+    if database:
+        sinks.replace_tables(store.tables(), database)
+    return store
+
+
 def export_job(scored: DataFrame, out: str) -> None:
     """Scored records as CSV with a header."""
     sinks.write_csv(export_rows(scored), out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from custlens import jobs
@@ -46,6 +48,20 @@ def features_roundtrip(s, d):
     return jobs.features_job(s, cleaned, out)
 
 
+def serving_roundtrip(s, d):
+    """The serving tables of the job, read back from the catalog and joined."""
+    cleaned, features, out = new_path(s, "cleaned_by_month"), new_path(s, "features_out"), new_path(s, "serving")
+    database = f"serving_{uuid.uuid4().hex}"
+    s.sql(f"CREATE DATABASE {database} LOCATION '{new_path(s, 'serving_tables')}'")
+    sinks.write_cleaned(tables.cleaned(s, d), cleaned)
+    jobs.features_job(s, cleaned, features)
+    jobs.serving_job(s, cleaned, features, plan.stored_bundle(s, d, "rules"), out, plan.SEEDED_AT, database=database)
+    read = lambda name, *columns: sinks.read_serving(s, f"{database}.{name}", ["customer_id", *columns])
+    joined = read("customers", "country", "is_uk").join(read("customer_segments", "segment_name", "updated_at"), "customer_id")
+    joined = joined.join(read("predictions", "churn_probability", "predicted_clv", "risk_tier", "model_version"), "customer_id")
+    return joined.join(read("anomaly_reports", "reconstruction_error", "is_anomaly_95", "is_anomaly_99"), "customer_id")
+
+
 def export_roundtrip(s, d):
     """The CSV export of a scoring run, read by its header."""
     out = new_path(s, "export_csv")
@@ -55,4 +71,4 @@ def export_roundtrip(s, d):
     return read_by_header(s, [out], kinds.__getitem__)
 
 
-QUERIES = {f.__name__: f for f in (ingest_sheets, cleaned_roundtrip, features_roundtrip, export_roundtrip)}
+QUERIES = {f.__name__: f for f in (ingest_sheets, cleaned_roundtrip, features_roundtrip, serving_roundtrip, export_roundtrip)}

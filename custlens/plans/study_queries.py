@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from custlens.functions.columns import days_before, round_even
 from custlens.functions.stages import stage
-from custlens.operators import effects, folds, trends
+from custlens.operators import effects, folds, kernel_svm, smote, trends
 from custlens.operators.backtest import backtest as run_backtest
 from custlens.operators.encoding import HotCodes, TargetEncoding
-from custlens.operators.metrics import exact_auc
+from custlens.operators.metrics import classifier_metrics, exact_auc
 from custlens.operators.orders import latest_date
 from custlens.operators.trees import TreeEnsemble
 from custlens.plans import tables, training
+from custlens.plans.serving import rule_margin
 
 BACKTEST_DAYS = (90, 120, 180, 270, 365)
 
@@ -99,9 +100,43 @@ def next_category(s, d):
     return trends.next_category(tables.cleaned(s, d), tables.cutoff(s, d), segments)
 
 
+def smote_rows(s, d):
+    """For every training row of the smaller class how many synthetic rows it gives, and whether all lie on their segments."""
+    train = training.scaler(s, d, "churn").apply(training.splits(s, d, "churn").filter("split = 'train'"))
+    names = training.columns(s, d)
+    rows = stage(s, d, "smote_train", lambda: train.select("customer_id", F.array(*names).alias("x"), "churn"))
+    made = smote.smote(rows)
+    end = lambda name: rows.select(F.col("customer_id").alias(f"{name}_id"), F.col("x").alias(name), F.col("churn").alias(f"{name}_class"))
+    both = made.withColumnRenamed("x", "z").join(end("source"), "source_id").join(end("neighbour"), "neighbour_id")
+    far = F.aggregate(F.zip_with("z", F.zip_with("source", "neighbour", lambda a, b: a + F.col("gap") * (b - a)), lambda p, q: F.abs(p - q)),
+                      F.lit(0.0), lambda x, y: F.greatest(x, y))
+    right = (far < 1e-9) & (F.col("gap") >= 0) & (F.col("gap") < 1) & (F.col("source_id") != F.col("neighbour_id"))
+    return both.groupBy(F.col("source_id").alias("customer_id")).agg(
+        F.count(F.lit(1)).alias("synthetic"), F.bool_and(right).alias("on_segment"),
+        F.bool_and(F.col("source_class") == F.col("neighbour_class")).alias("own_class"))
+
+
+def margin_calibration(s, d):
+    """Isotonic rates of the churn rule's margin, by bucket."""
+    rows = tables.features(s, d).withColumn("margin", rule_margin())
+    found = kernel_svm.Calibration.fit(rows, "margin", "churn", width=0.5, most=20)
+    return s.createDataFrame(found.steps, "bucket int, rate double").withColumn("rate", round_even("rate", 9))
+
+
+def churn_kernel_svm(s, d):
+    """Metrics of the kernel classifier on the test rows."""
+    names = training.columns(s, d)
+    rows = training.scaler(s, d, "churn").apply(training.splits(s, d, "churn")).select(
+        "customer_id", "split", F.array(*names).alias("x"), F.col("churn").cast("double").alias("label"))
+    rows = stage(s, d, "kernel_rows", lambda: rows)
+    model = kernel_svm.fit_kernel_svm(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
+    return classifier_metrics(model.transform(rows.filter("split = 'test'")), "label")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         backtest, cv_folds, halving_search, target_encoding, hot_codes, partial_dependence, frequency_slope, revenue_forecast, next_category,
+        smote_rows, margin_calibration, churn_kernel_svm,
     )
 }

@@ -142,6 +142,10 @@ ORACLE = {
     "batch_export": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
     "bundle_score": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
     "export_roundtrip": q("select customer_id, churn_probability, is_churn, predicted_clv as predicted_clv_90d, risk_tier, segment_name, is_anomaly, anomaly_score from rescored"),
+    "serving_roundtrip": q("""
+ select c.customer_id, country, is_uk, segment_name, updated_at, churn_probability, predicted_clv, risk_tier, model_version, reconstruction_error,
+        is_anomaly_95, is_anomaly_99
+ from customers_t c join segments_t s using (customer_id) join predictions_t p using (customer_id) join anomalies_t a using (customer_id)"""),
     "serving_customers": q("select * from customers_t"),
     "serving_segments": q("select * from segments_t"),
     "serving_predictions": q("select * from predictions_t"),

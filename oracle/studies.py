@@ -41,6 +41,11 @@ EXTRA = {
     "levels": """
  select level, row_number() over (order by n desc, level) as nr from (select primary_country as level, count(*) as n from churn_train where primary_country is not null group by 1)
  order by nr limit 3""",
+    "margin_counts": "select least(greatest(floor(margin / 0.5::double), -20), 20)::int as bucket, count(*) as n, sum(churn) as positives from scored group by 1",
+    # the closest rising rates: the largest, over beginnings up to a bucket, of the smallest means up to ends from it on
+    "margin_means": """
+ select a.bucket as i, b.bucket as j, sum(c.positives)::double / sum(c.n) as avg_rate from margin_counts a join margin_counts b on a.bucket <= b.bucket
+ join margin_counts c on c.bucket between a.bucket and b.bucket group by 1, 2""",
     "order_bins": "select customer_id, (date_diff('day', order_date::date, t::date) // 30)::bigint as back from order_table, cutoff",
     "bin_numbers": "select customer_id, max(back) + 1 as bins, count(*) as orders from order_bins group by 1",
     "every_bin": "select customer_id, bins, orders, unnest(range(bins)) as bin from bin_numbers",
@@ -110,6 +115,16 @@ ORACLE = {
  select month, revenue, revenue as level, null::double as forecast, nr from every_month where nr = 0
  union all
  select e.month, e.revenue, 0.3::double * e.revenue + 0.7::double * s.level, s.level, e.nr from smoothed s join every_month e on e.nr = s.nr + 1"""}).replace("with ", "with recursive ", 1),
+    "smote_rows": q("""
+ select customer_id, synthetic, true as on_segment, true as own_class from (
+  select customer_id, (wanted // size + (place <= wanted % size)::int)::bigint as synthetic from (
+   select customer_id, row_number() over (order by md5(customer_id::varchar || ':quota:42'), customer_id) as place, count(*) over () as size,
+          (select count(*) from churn_train) - 2 * count(*) over () as wanted
+   from churn_train where churn = (select churn from churn_train group by 1 order by count(*), churn limit 1))) where synthetic > 0"""),
+    "margin_calibration": q(f"""
+ select k.bucket, {half_even('max(worst)', 9)} as rate from margin_counts k join (
+   select i.bucket as i, m.bucket as m, min(avg_rate) as worst from margin_counts i join margin_counts m on i.bucket <= m.bucket
+   join margin_means a on a.i = i.bucket and a.j >= m.bucket group by 1, 2) w on w.m = k.bucket group by k.bucket"""),
     "next_category": q("""
  select m.customer_id, m.category as last_category, case when o.n >= 5 then o.best when t.n >= 5 then t.best else a.best end as predicted,
         case when o.n >= 5 then 'customer' when t.n >= 5 then 'segment' when a.best is not null then 'all' end as source, x.actual

@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 
 from custlens.functions.stages import new_path
-from custlens.operators import backtest, bundle, effects, folds, models, trends
+from custlens.operators import backtest, bundle, effects, folds, kernel_svm, models, smote, trends
 from custlens.operators.encoding import HotCodes, TargetEncoding
 from custlens.operators.features import customer_features
 from custlens.operators.trees import load_ensemble
@@ -223,3 +223,89 @@ def test_next_category(spark):
     assert again[3] == ("21", "22", "all")
     nearer = {r["customer_id"]: r["source"] for r in trends.next_category(few, d(2010, 1, 20), segments, least=1).collect()}
     assert nearer[3] == "segment"
+
+
+# ---- synthetic rows ----
+
+
+def plain_smote_quota(ids, wanted):
+    import hashlib
+
+    order = sorted(ids, key=lambda i: (hashlib.md5(f"{i}:quota:42".encode()).hexdigest(), i))
+    return {i: wanted // len(ids) + (k < wanted % len(ids)) for k, i in enumerate(order)}
+
+
+def test_smote(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(5, 1, 3).tolist(), 1.0) for k in range(40)] + [(100 + k, rng.normal(0, 1, 3).tolist(), 0.0) for k in range(137)]
+    rows += [(90, rows[0][1], 1.0)]  # an equal row
+    train = spark.createDataFrame(rows, "customer_id long, x array<double>, churn double")
+    made = smote.smote(train, k=4).collect()
+    again = smote.smote(train.repartition(7).orderBy(F.rand(1)), k=4).collect()
+    assert sorted(map(str, made)) == sorted(map(str, again))
+    points = {i: np.array(x) for i, x, y in rows if y == 1.0}
+    assert len(made) == 137 - 41
+    counts = {}
+    for r in made:
+        counts[r["source_id"]] = counts.get(r["source_id"], 0) + 1
+        a, b = points[r["source_id"]], points[r["neighbour_id"]]
+        assert np.allclose(r["x"], a + r["gap"] * (b - a)) and 0 <= r["gap"] < 1 and r["label"] == 1.0
+        others = sorted((np.linalg.norm(points[j] - a), j) for j in points if j != r["source_id"])[:4]
+        assert r["neighbour_id"] in [j for _, j in others]
+    assert counts == {i: n for i, n in plain_smote_quota(list(points), 96).items() if n}
+    assert len({r["neighbour_id"] for r in made}) > 10 and len({round(r["gap"], 6) for r in made}) == len(made)
+    even = train.filter("customer_id < 20 or customer_id between 100 and 119")
+    assert smote.smote(even).count() == 0 and smote.smote(even).columns == ["source_id", "neighbour_id", "nr", "gap", "x", "label"]
+    with pytest.raises(ValueError):
+        smote.smote(train.filter("churn = 1"))
+
+
+# ---- kernel classifier ----
+
+
+def ring(spark, n, seed):
+    """Two classes that no line separates: inside and outside a ring."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-2, 2, (n, 2))
+    y = ((x ** 2).sum(axis=1) < 1.6).astype(float)
+    return spark.createDataFrame([(seed * n + k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y))], "customer_id long, x array<double>, label double").cache()
+
+
+def test_kernel_svm_learns_a_ring(spark):
+    train, val, test = (ring(spark, 600, k) for k in range(3))
+    model = kernel_svm.fit_kernel_svm(train, val, gamma=1.0, features=128, penalty=1e-4, partitions=2)
+    rows = model.transform(test).toPandas()
+    assert ((rows.probability >= 0.5) == (rows.label == 1)).mean() > 0.9
+    assert rows.probability.between(0, 1).all()
+    order = rows.sort_values("margin").probability.to_numpy()
+    assert (np.diff(order) >= 0).all()
+    linear = LogisticRegression().fit(train.select("label", kernel_svm.array_to_vector("x").alias("features")))
+    plain = linear.transform(test.select("label", kernel_svm.array_to_vector("x").alias("features"))).toPandas()
+    assert (plain.prediction == plain.label).mean() < 0.75
+
+
+def test_fourier_features_approach_the_kernel():
+    fourier = kernel_svm.FourierMap.draw(3, 0.4, features=20_000)
+    x = np.random.default_rng(1).normal(size=(5, 3))
+    z = fourier.mapped(x)
+    want = np.exp(-0.4 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(z @ z.T, want, atol=0.05)
+
+
+def test_pooling_is_the_closest_rising_sequence():
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = []
+        for b in range(rng.randrange(1, 12)):
+            n = rng.randrange(1, 9)
+            counts.append((b, n, float(rng.randrange(0, n + 1))))
+        got = [rate for _, rate in kernel_svm.pooled(counts)]
+        mean = lambda i, j: sum(c[2] for c in counts[i:j + 1]) / sum(c[1] for c in counts[i:j + 1])
+        want = [max(min(mean(i, j) for j in range(k, len(counts))) for i in range(k + 1)) for k in range(len(counts))]
+        assert got == pytest.approx(want)
+
+
+def test_calibration_steps(spark):
+    c = kernel_svm.Calibration([(-2, 0.1), (0, 0.4), (3, 0.9)], width=0.5, most=4)
+    rows = spark.createDataFrame([(m,) for m in (-9.0, -1.0, -0.1, 0.0, 1.4, 1.5, 99.0)], "m double")
+    assert [r[0] for r in rows.select(c.probability(F.col("m"))).collect()] == [0.1, 0.1, 0.1, 0.4, 0.4, 0.9, 0.9]
