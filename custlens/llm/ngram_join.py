@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ DIMENSIONS = 256
 LEAF, BLOCK = 16, 2048
 #: Sets of a key up to which they are all looked up among each other.
 FEW = 64
+#: Shingles of a chunk of sets, and of a bucket in which they are counted.
+CHUNK_HASHES = 1 << 20
 SLICE = 1 << 20
 
 
@@ -340,23 +343,114 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
         both * 100 >= percent * (F.size("hashes_a") + F.size("hashes_b") - both)).select("set_a", "set_b")
 
 
-def rare_shingles(contents: DataFrame, percent: int) -> DataFrame:
+def _prefixes(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its first shingles a set asks with, and with how many of them it is looked in."""
+    asks = size + size * -percent // 100 + 1
+    return asks, size + -2 * size * percent // (100 + percent) + 1
+
+
+CHUNKS = "chunk bigint, nodes binary, sizes binary, hashes binary"
+ASKED = "chunk bigint, bucket int, hashes binary, counts binary"
+TOLD = "chunk bigint, bucket int, ranks binary"
+
+
+def set_chunks(contents: DataFrame) -> DataFrame:
+    """The sets of ``contents`` in written chunks of about ``CHUNK_HASHES`` hashes, a larger set in one of its own."""
+    most = CHUNK_HASHES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, nodes, sizes, hashes, held = TaskContext.get().partitionId() << 32, [], [], [], 0
+        for batch in batches:
+            lists = batch.column("hashes")
+            values, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for node, a, b in zip(batch.column("node").to_pylist(), cut[:-1].tolist(), cut[1:].tolist()):
+                nodes.append(node)
+                sizes.append(b - a)
+                hashes.append(values[a:b])
+                held += b - a
+                if held >= most:
+                    yield _chunk(chunk, nodes, sizes, hashes)
+                    chunk, nodes, sizes, hashes, held = chunk + 1, [], [], [], 0
+        if nodes:
+            yield _chunk(chunk, nodes, sizes, hashes)
+
+    return written(contents.select("node", "hashes").mapInArrow(run, CHUNKS), "set_chunks")
+
+
+def _chunk(chunk: int, nodes: list[int], sizes: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk], pa.int64()), pa.array([np.array(nodes, "<i8").tobytes()]), pa.array([np.array(sizes, "<i8").tobytes()]),
+         pa.array([np.concatenate(hashes).astype("<i8").tobytes()])], names=["chunk", "nodes", "sizes", "hashes"])
+
+
+def _bucket_of(unique: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(unique.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def frequency_ranks(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket of hashes a byte for each different hash: how often it comes in all sets, by eighths of
+    powers of two, 0 for a single set.
+
+    A chunk asks for each of its hashes once; a bucket, sized by the number of hashes, adds up and answers.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
+                unique, counts = np.unique(np.frombuffer(raw, "<i8"), return_counts=True)
+                bucket = _bucket_of(unique, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    own = order[cuts[k]:cuts[k + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk], pa.int64()), pa.array([k], pa.int32()), pa.array([unique[own].astype("<i8").tobytes()]),
+                         pa.array([counts[own].astype("<u4").tobytes()])], names=["chunk", "bucket", "hashes", "counts"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(h, "<i8") for h in asked.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in asked.column("counts").to_pylist()])
+        _, back = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.bincount(back, weights=counts)
+        ranks = np.minimum(np.ceil(8.0 * np.log2(total)), 255).astype(np.uint8)[back]
+        cut = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).tolist()
+        told = [ranks[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(told, pa.binary())], names=["chunk", "bucket", "ranks"])
+
+    return chunks.select("chunk", "hashes").mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, TOLD)
+
+
+def rare_shingles(contents: DataFrame, percent: int, hashes: int) -> DataFrame:
     """(key, node, indexed): the first shingles of each set in the order of their frequency among ``contents``.
 
-    Of two sets with overlap o, the first size - o + 1 shingles of one and those of the other have one in common. A set of
-    size s has overlap s * t or more with a smaller one that is linked, and 2 * s * t / (1 + t) or more with a larger one;
-    so it asks with the first s - s * t + 1 and is looked in for the fewer that the second bound leaves (``indexed``).
-    Shingles that no other set has come first, and nobody meets there.
+    Of two sets with overlap o, the first size - o + 1 shingles of one and those of the other have one in common, in any order
+    that is the same for all. A set of size s has overlap s * t or more with a smaller one that is linked, and
+    2 * s * t / (1 + t) or more with a larger one; so it asks with the first s - s * t + 1 and is looked in for the fewer that
+    the second bound leaves (``indexed``). Shingles that no other set has come first, and nobody meets there. ``hashes`` is the
+    number of all shingles.
     """
-    each = contents.select("set", "node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
-    several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    own = each.join(several, "key").groupBy("set", "node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
-    size, alone = F.col("size"), F.col("size") - F.size("shared")
-    asks = size - F.ceil(size * F.lit(percent) / F.lit(100)).cast("int") + 1
-    indexed = size - F.ceil(size * F.lit(2 * percent) / F.lit(100 + percent)).cast("int") + 1
-    first = own.select("node", indexed.alias("indexed"), alone.alias("alone"), F.slice("shared", 1, F.greatest(asks - alone, F.lit(0))).alias("first"))
-    return first.select("node", "indexed", "alone", F.posexplode("first").alias("place", "shingle")).select(
-        F.col("shingle.key").alias("key"), "node", (F.col("alone") + F.col("place") < F.col("indexed")).alias("indexed"))
+    buckets = max(1, -(-hashes // CHUNK_HASHES))
+    chunks = set_chunks(contents)
+
+    def deal(own: pa.Table, told: pa.Table) -> pa.Table:
+        nodes, size, values = (np.frombuffer(own.column(c)[0].as_py(), "<i8") for c in ("nodes", "sizes", "hashes"))
+        unique, back = np.unique(values, return_inverse=True)
+        order = np.argsort(_bucket_of(unique, buckets), kind="stable")
+        by_bucket = sorted(zip(told.column("bucket").to_pylist(), told.column("ranks").to_pylist()))
+        rank = np.zeros(len(unique), dtype=np.uint8)
+        rank[order] = np.frombuffer(b"".join(r for _, r in by_bucket), np.uint8)
+        each = rank[back]
+        row = np.repeat(np.arange(len(size)), size)
+        sorted_ = np.lexsort((values, each, row))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+        asks, indexed = _prefixes(size, percent)
+        row, each = row[sorted_], each[sorted_]
+        some = (place < asks[row]) & (each > 0)
+        return pa.table([pa.array(values[sorted_][some], pa.int64()), pa.array(nodes[row[some]], pa.int64()),
+                         pa.array((place < indexed[row])[some], pa.bool_())], names=["key", "node", "indexed"])
+
+    ranks = frequency_ranks(chunks, buckets)
+    return chunks.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(deal, "key bigint, node bigint, indexed boolean")
 
 
 def rare_blocks(dealt: DataFrame, named: DataFrame) -> DataFrame:
@@ -436,7 +530,8 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     blocks = inside.unionByName(asking).select("key", "block", "asks", "node", "component", "size", "point")
     # 3. keys with many sets: dealt by their rarest shingles
     many = written(rows.where(F.col("n") > FEW).select("node").distinct(), "sets_of_large_keys")
-    dealt = rare_shingles(contents_of(many, texts, sets, n), percent)
+    hashes = points.join(many, "node").agg(F.sum("size")).first()[0] or 0
+    dealt = rare_shingles(contents_of(many, texts, sets, n), percent, hashes)
     pairs = candidate_pairs(blocks, percent).unionByName(candidate_pairs(rare_blocks(dealt, named), percent, larger_asks=True))
     second = written(verified(pairs.distinct(), texts, sets, n, percent), "links_2")
     labels = by_set(first.unionByName(second))

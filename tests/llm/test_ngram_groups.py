@@ -12,9 +12,10 @@ from tests.llm import cases
 
 @pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (2, 60)])
 def test_large_keys_lose_no_link(spark, monkeypatch, n, percent):
-    """Every key counts as large, and blocks and slices hold two sets."""
+    """Every key counts as large, blocks and slices hold two sets, and chunks a few."""
     monkeypatch.setattr(ngram_join, "FEW", 1)
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "CHUNK_HASHES", 200)
     rng = random.Random(percent)
     rows = list(cases.odd_rows())
     for family in range(6):
