@@ -21,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,7 +44,8 @@ SCHEME = r"(?:(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}|(?<=[a-z0-9])[a-z0-9]{16})"
 
 STRONG = (
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?")),
-    ("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    # only at the beginning of a run of its characters, and each part takes its whole run: linear in the text
+    ("web_token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
     ("vendor_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")),
     ("url_password", re.compile(SCHEME + r"://[^\s:/@\"']+:[^\s:/@\"']{3,}@[A-Za-z0-9.-]+")),
 )
@@ -62,7 +64,7 @@ GATE = (
     r"|AKIA|[0-9a-f]{24}|-----BEGIN|eyJ|gh[pousr]_|xox[abprs]-|sk_live_|://[^\s@]+@"
 )
 
-#: Parts of a credential stand at most this many characters apart.
+#: Parts of a credential stand at most this many characters apart, unless a call says otherwise; None is the whole scope.
 REACH = 300
 
 Span = tuple[int, str, int]
@@ -98,7 +100,7 @@ def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
     return kept
 
 
-def linked_spans(text: str, known: list[Span]) -> list[Span]:
+def linked_spans(text: str, known: list[Span], reach: int | None = REACH) -> list[Span]:
     """Weak candidates that complement each other, or a known span, within one scope.
 
     ``known`` spans are parts too: an access key is an identifier, any other one a secret.
@@ -110,28 +112,34 @@ def linked_spans(text: str, known: list[Span]) -> list[Span]:
     ends = _free([(m.start(), "linked_endpoint", m.end()) for m in ENDPOINT.finditer(text)], known + ids + secrets)
     ids = _free(ids, known)
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
-    scope = lambda s: bisect_left(breaks, s[0])
+    far = len(text) if reach is None else reach
     all_ids = sorted(ids + [s for s in known if s[1] == "access"])
     all_secrets = sorted(secrets + [s for s in known if s[1] != "access"])
 
-    def near(span: Span, others: list[Span]) -> bool:
-        """Whether the nearest other span before or behind is in reach and in the same scope."""
-        k = bisect_left(others, (span[0], "", 0))
-        before = any(span[0] - o[2] <= REACH and scope(o) == scope(span) for o in others[max(0, k - 1):k])
-        behind = any(o[0] - span[2] <= REACH and scope(o) == scope(span) for o in others[k:k + 1])
-        return before or behind
-
-    out = [s for s in ids if near(s, all_secrets)] + [s for s in secrets if near(s, all_ids)]
-    pairs = sorted([s for s in all_ids if near(s, all_secrets)])
+    def near(span: Span, others: tuple[list[Span], list[int]]) -> bool:
+        """Whether another span before or behind is in reach and in the same scope."""
+        spans, ended = others
+        k, nr = bisect_left(spans, (span[0], "", 0)), bisect_left(breaks, span[0])
+        begins, ends = breaks[nr - 1] if nr else -1, breaks[nr] if nr < len(breaks) else len(text)
+        before = k > 0 and ended[k - 1] > begins and span[0] - ended[k - 1] <= far
+        return before or (k < len(spans) and spans[k][0] <= ends and spans[k][0] - span[2] <= far)
+
+    def by_place(spans: list[Span]) -> tuple[list[Span], list[int]]:
+        """The spans in order, and how far those up to each reach."""
+        return spans, list(accumulate((e for _, _, e in spans), max))
+
+    all_secrets, placed_ids = by_place(all_secrets), by_place(all_ids)
+    out = [s for s in ids if near(s, all_secrets)] + [s for s in secrets if near(s, placed_ids)]
+    pairs = by_place([s for s in all_ids if near(s, all_secrets)])
     return out + [s for s in ends if near(s, pairs)]
 
 
-def scan_text(text: str) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str, reach: int | None = REACH) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans; both by start, then by kind."""
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
     base = sorted(base_spans(text), key=order)
     strong = [(m.start(), kind, m.end()) for kind, pattern in STRONG for m in pattern.finditer(text)]
-    return base, sorted(base + strong + linked_spans(text, base + strong), key=order)
+    return base, sorted(base + strong + linked_spans(text, base + strong, reach), key=order)
 
 
 def _listed(spans: list[Span]) -> str:
@@ -142,7 +150,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanned(batches: Iterator[pa.RecordBatch], reach: int | None = REACH) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 8 << 20):
             texts = batch.column("text")
@@ -151,7 +159,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, spans = [EMPTY] * n, [""] * n
             hits = pc.indices_nonzero(pc.match_substring_regex(texts, GATE)).to_pylist()
             for i in hits:
-                base, every = scan_text(texts[i].as_py())
+                base, every = scan_text(texts[i].as_py(), reach)
                 for _, kind, _ in base:
                     counts[kind][i] += 1
                 sums[i] = hashlib.sha256(_listed(base).encode()).hexdigest()
@@ -162,7 +170,10 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of base spans, the digest of their list, and all spans as kind:start:end."""
+def scan(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """One row per document: counts of base spans, the digest of their list, and all spans as kind:start:end.
+
+    ``reach`` is the distance up to which parts of a credential are linked within a scope; None links any two of a scope.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_scanned, SCHEMA)
+    return texts.mapInArrow(lambda batches: _scanned(batches, reach), SCHEMA)
