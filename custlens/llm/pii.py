@@ -3,10 +3,12 @@
 Values are found by pattern and validated; then a keyed Feistel network permutes them within their format: a card number
 becomes another valid card number of that length, a date another date, an address another address. The permutation
 depends on the key and the format only, so equal values get equal pseudonyms in all documents, whatever their
-separators, and the holder of the key can turn them back (``restored``).
+separators, and the holder of the key can turn them back (``restored``). There is no default key.
 
 Formats: card (13 to 19 digits, Luhn), iban (mod 97), ssn (issued ranges), phone, ip (four octets), date (ISO, dotted,
-slashed), email (the local part; letters stay letters, digits digits). Numbers that fail their check are left alone.
+slashed), email (the local part; letters stay letters, digits digits). Numbers that fail their check are left alone. The
+order and the widths of a date's fields are part of its format: ``1.2.2024`` becomes a date whose day and month have one digit,
+``25/12/2024``, which only the day can begin, one that the day begins, too.
 
 Each document is handled on its own, in Arrow batches; a pattern match picks the documents that need a closer look, and
 nothing is shuffled.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -32,12 +35,20 @@ from pyspark.sql import functions as F
 from custlens.llm.common import slices
 
 ROUNDS = 10
-DEFAULT_KEY = b"change this key"
 KINDS = ("card", "date", "email", "iban", "ip", "phone", "ssn")
 
 #: Dates are permuted within these years.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
-DAYS = (LAST_DAY - FIRST_DAY).days + 1
+#: Smallest day, and the digits of day and month, of dates that are written in full.
+FULL = (1, 2, 2)
+
+
+@lru_cache(16)
+def days_of_format(first: int, day_width: int, month_width: int) -> list[int]:
+    """Ordinals of all dates with a day from ``first`` on whose day and month have so many digits; two digits may begin with 0."""
+    every = (FIRST_DAY + timedelta(days=k) for k in range((LAST_DAY - FIRST_DAY).days + 1))
+    most = {1: 9, 2: 99}
+    return [d.toordinal() for d in every if first <= d.day <= most[day_width] and d.month <= most[month_width]]
 
 
 class Feistel:
@@ -80,7 +91,7 @@ class Feistel:
 class Pseudonyms:
     """Permutations by format under one key; ``back`` turns pseudonyms into the values again."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
         self.key, self.back = key, back
         self._network = lru_cache(4096)(lambda name, size: Feistel(key, name, size))
 
@@ -112,8 +123,11 @@ class Pseudonyms:
         k = int.from_bytes(bytes(map(int, value.split("."))), "big")
         return ".".join(map(str, self.number("ip", k, 1 << 32).to_bytes(4, "big")))
 
-    def day(self, value: date) -> date:
-        return FIRST_DAY + timedelta(days=self.number("date", (value - FIRST_DAY).days, DAYS))
+    def day(self, value: date, form: tuple[int, int, int] = FULL) -> date:
+        """Another date of the same form (see :func:`days_of_format`)."""
+        days = days_of_format(*form)
+        name = "date" if form == FULL else "date/{}/{}/{}".format(*form)
+        return date.fromordinal(days[self.number(name, bisect_left(days, value.toordinal()), len(days))])
 
     def mixed(self, name: str, value: str) -> str:
         """Letters and digits permuted together, each within its class; other characters stay."""
@@ -193,19 +207,19 @@ def _date(found: re.Match, p: Pseudonyms) -> str | None:
     """ISO and dotted dates have one reading; slashed ones are month first unless that is impossible."""
     value = found[0]
     mark = next(c for c in value if not c.isdigit())
-    a, b, c = (int(x) for x in value.split(mark))
-    month_first = mark == "/" and a <= 12
-    y, m, d = (a, b, c) if mark == "-" else (c, a, b) if month_first else (c, b, a)
+    fields = value.split(mark)
+    month_first = mark == "/" and int(fields[0]) <= 12
+    year, month, day = fields if mark == "-" else (fields[2], *fields[:2]) if month_first else (fields[2], fields[1], fields[0])
     try:
-        day = date(y, m, d)
+        given = date(int(year), int(month), int(day))
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if not FIRST_DAY <= given <= LAST_DAY:
         return None
-    new = p.day(day)
-    if mark == "-":
-        return new.isoformat()
-    return f"{new.day:02d}.{new.month:02d}.{new.year}" if mark == "." else f"{new.month:02d}/{new.day:02d}/{new.year}"
+    # a slashed date that the day begins is read so because the day is beyond 12, and its pseudonym must be, too
+    new = p.day(given, (13 if mark == "/" and not month_first else 1, len(day), len(month)))
+    d, m, y = f"{new.day:0{len(day)}d}", f"{new.month:0{len(month)}d}", f"{new.year:04d}"
+    return mark.join((y, m, d) if mark == "-" else (m, d, y) if month_first else (d, m, y))
 
 
 def _email(found: re.Match, p: Pseudonyms) -> str | None:
@@ -259,7 +273,7 @@ def replaced(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, str]]]
     return "".join([*parts, text[at:]]), [(s, e, kind) for s, e, kind, _ in found]
 
 
-def pseudonymized(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False) -> DataFrame:
+def pseudonymized(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """One row per document: the text with pseudonyms, how many values of each kind, and their spans in the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +300,6 @@ def pseudonymized(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False)
     return texts.mapInArrow(run, f"doc_id bigint, text string, {counts}, spans string")
 
 
-def restored(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def restored(docs: DataFrame, key: bytes) -> DataFrame:
     """The texts before ``pseudonymized``, for the holder of the key."""
     return pseudonymized(docs, key, back=True)

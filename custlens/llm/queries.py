@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+#: The setting with the key of pseudonyms; without it every call draws a new one that nobody keeps.
+PII_KEY = "spark.custlens.pii.key"
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymized(documents(spark, sf_dir))
+    key = spark.conf.get(PII_KEY, None)
+    return pii.pseudonymized(documents(spark, sf_dir), key.encode() if key else secrets.token_bytes(32))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
