@@ -17,6 +17,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlens.functions.columns import cents, days_between, money, rounded_exact, timestamp
+from custlens.functions.stages import written
 from custlens.operators.features import VELOCITY_DIGITS, behavior_columns, rfm_columns, velocity_columns
 from custlens.operators.orders import CATEGORIES, RECENT_DAYS, sale
 
@@ -96,8 +97,9 @@ def backtest(lines: DataFrame, cutoffs: Sequence[datetime], window_days: int = 9
     bounds = sorted({b for three in roles.values() for b in three})
     nr = {b: k for k, b in enumerate(bounds)}
     lines = lines.filter(F.col("invoice_date") <= timestamp(bounds[-1]))
-    parts = order_parts(lines, bounds)
-    states = interval_states(parts, lines, bounds)
+    # both are read several times; the lines behind them are combined once
+    parts = written(order_parts(lines, bounds), "order_parts")
+    states = written(interval_states(parts, lines, bounds), "interval_states")
 
     # running values at every bound: one empty state per bound, behind the state of its interval
     spark = lines.sparkSession

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlens.functions.columns import cents, timestamp
+from custlens.functions.stages import written
 from custlens.operators.orders import order_table, sale, upto
 
 BIN_DAYS = 30
@@ -87,7 +88,7 @@ def next_category(lines: DataFrame, cutoff: datetime, segments: DataFrame, least
     cutoff. Neighbouring orders are found inside a customer's day, and from one day to the next, so no window holds more than
     the orders of one day or one row per day.
     """
-    orders = order_categories(upto(lines, cutoff)).withColumn("day", F.to_date("order_date"))
+    orders = written(order_categories(upto(lines, cutoff)).withColumn("day", F.to_date("order_date")), "order_categories")
     in_day = Window.partitionBy("customer_id", "day").orderBy("order_date", "invoice")
     within = orders.select("customer_id", "category", F.lead("category").over(in_day).alias("next"))
     row = F.struct("order_date", "invoice", "category")
@@ -95,7 +96,7 @@ def next_category(lines: DataFrame, cutoff: datetime, segments: DataFrame, least
     across = days.select("customer_id", "category", F.lead("first").over(Window.partitionBy("customer_id").orderBy("day")).alias("next"))
     steps = within.unionByName(across)
     newest = orders.groupBy("customer_id").agg(F.max(F.struct("order_date", "invoice", "category"))["category"].alias("last_category"))
-    counts = steps.filter("next is not null").groupBy("customer_id", "category", "next").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(steps.filter("next is not null").groupBy("customer_id", "category", "next").agg(F.count(F.lit(1)).alias("n")), "category_moves")
     of_segment = counts.join(segments, "customer_id").groupBy("segment", "category", "next").agg(F.sum("n").alias("n"))
     of_all = counts.groupBy("category", "next").agg(F.sum("n").alias("n"))
 
