@@ -30,6 +30,7 @@ of missing ids only has a missing id; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,18 @@ def point(values: np.ndarray) -> np.ndarray:
     return np.bincount((values % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point as a short text, since one goes along with every key of its set: a byte or four for a count, deflated."""
+    width = 1 if point.max() < 256 else 4
+    return bytes([width]) + zlib.compress(point.astype(f"<u{width}").tobytes(), 6, -15)
+
+
+def unpacked(texts: list[bytes]) -> np.ndarray:
+    """The points of :func:`packed`, one in a row."""
+    rows = [np.frombuffer(zlib.decompress(t[1:], -15), f"<u{t[0]}") for t in texts]
+    return np.stack(rows).astype(np.int32) if rows else np.zeros((0, DIMENSIONS), np.int32)
+
+
 class Bands:
     """Bands of set sizes for a similarity, and the number of parts in each."""
 
@@ -130,7 +143,7 @@ def _short(digest16: bytes) -> int:
     return int.from_bytes(digest16[:8], "little", signed=True)
 
 
-SETS = "doc_id bigint, doc_key binary, n_shingles bigint, set binary, node bigint, point array<int>"
+SETS = "doc_id bigint, doc_key binary, n_shingles bigint, set binary, node bigint, point binary"
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -145,10 +158,10 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                     sizes.append(len(values))
                     sets.append(own)
                     nodes.append(_short(own) if own else None)
-                    points.append(point(values) if own else None)
+                    points.append(packed(point(values)) if own else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("doc_key"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()),
-                     pa.array(nodes, pa.int64()), pa.array(points, pa.list_(pa.int32()))],
+                     pa.array(nodes, pa.int64()), pa.array(points, pa.binary())],
                     names=["doc_id", "doc_key", "n_shingles", "set", "node", "point"])
 
     return docs.select("doc_id", document_key().alias("doc_key"), "text").mapInArrow(run, SETS)
@@ -260,6 +273,22 @@ class CountTree:
         return self.order[alive[fits]]
 
 
+def bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose points (point_a, point_b) and sizes (size_a, size_b) can reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (unpacked(batch.column(c).to_pylist()) for c in ("point_a", "point_b"))
+            least = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+            size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            fits = pa.array(least * 100 >= percent * (size - least))
+            yield batch.select(["a", "b"]).filter(fits)
+
+    return pairs.select("a", "b", "size_a", "size_b", "point_a", "point_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def candidate_pairs(blocks: DataFrame, percent: int, larger_asks: bool = False) -> DataFrame:
     """Pairs (a, b) of different components within a block that the bound lets through.
 
@@ -273,7 +302,7 @@ def candidate_pairs(blocks: DataFrame, percent: int, larger_asks: bool = False)
         def answer(rows: pa.Table) -> pa.RecordBatch:
             node, component, size = (rows[c].to_numpy() for c in ("node", "component", "size"))
             asks = rows["asks"].to_numpy(zero_copy_only=False)
-            points = rows["point"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
+            points = unpacked(rows["point"].to_pylist())
             inside = np.flatnonzero(~asks)
             pairs: list[tuple[int, int]] = []
             if len(inside):
@@ -496,9 +525,6 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         sets.where("set is not null").groupBy("set").agg(
             F.first("node").alias("node"), F.first("n_shingles").alias("size"), F.first("point").alias("point")), "points")
 
-    least = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    bound = least * 100 >= percent * (F.col("size_a") + F.col("size_b") - least)
-
     def side(x: str) -> DataFrame:
         return points.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("point").alias(f"point_{x}"))
 
@@ -507,7 +533,7 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     degree = shared.groupBy("node").agg(F.count("*").alias("keys"))
     hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("keys", "node")).alias("hub"))
     stars = shared.join(hubs, "key").groupBy(F.col("node").alias("b")).agg(F.max("hub")["node"].alias("a")).where("a <> b")
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b")
+    stars = bounded(stars.join(side("a"), "a").join(side("b"), "b"), percent)
     first = written(verified(stars, texts, sets, n, percent), "links_1")
 
     def by_set(links: DataFrame) -> DataFrame:

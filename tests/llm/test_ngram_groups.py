@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from custlens.llm import ngram_join
@@ -54,3 +55,13 @@ def test_an_unlinked_template(spark, monkeypatch, words):
     found = ngram_join.linked(cases.frame(spark, rows), 3, 90).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {k: k % 5000 for k, _ in rows}
     assert sum(made) < 3 * len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 20, 1000, 100_000])
+def test_points_are_packed_without_loss(n):
+    values = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
+    heavy = np.append(values, np.full(300, 7, np.uint64))  # a count above a byte
+    for some in (values, heavy):
+        want = ngram_join.point(some)
+        assert (ngram_join.unpacked([ngram_join.packed(want)] * 2) == want).all()
+    assert ngram_join.unpacked([]).shape == (0, ngram_join.DIMENSIONS)
