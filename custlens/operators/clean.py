@@ -100,11 +100,18 @@ def description_modes(df: DataFrame) -> DataFrame:
 
 
 def standardize_descriptions(df: DataFrame) -> DataFrame:
+    """The stock code's most frequent description on every line; the line's own where there is none.
+
+    A line whose own description takes part in the vote gets one, so its own need not travel through the join.
+    """
     modes = description_modes(df)
     own = F.upper(strip(F.coalesce("description", F.lit(""))))
+    votes = F.col("stock_code").isNotNull() & (F.length(own) > 2)
     return (
-        lookup_join(df, modes, ["stock_code"], "lines", spread_by=["customer_id", "invoice", "quantity", "price", "description"])
-        .withColumn("description", F.coalesce("mode_description", own))
+        lookup_join(
+            df.withColumn("description", F.when(~votes, own)), modes, ["stock_code"], "lines",
+            spread_by=["customer_id", "invoice", "quantity", "price", "invoice_date"])
+        .withColumn("description", F.coalesce("mode_description", "description"))
         .drop("mode_description")
     )
 
