@@ -120,6 +120,17 @@ def scaled_vectors(df: DataFrame, scaler: Scaler, output: str = "x") -> DataFram
     return VectorAssembler(inputCols=names, outputCol=output).transform(filled).drop(*names)
 
 
+TASKS_PER_CORE = 4
+
+
+def spread(rows: DataFrame, key: str = "customer_id") -> DataFrame:
+    """``rows`` dealt by a hash of their key over all cores, for work that takes long per row.
+
+    A customer table is small for its work: read as it lies in its files, it would keep a few tasks busy.
+    """
+    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 #: Partitions of the rows of a fit. Forests, boosting and k-means draw their samples by partition, so the number belongs to
 #: the model's parameters like a seed: equal numbers give equal models on any cluster. Set it with the table's size.
 FIT_PARTITIONS = 8

@@ -5,7 +5,7 @@ their training frequency, and values inside them; the surrogate is a weighted
 ridge on "same bin as the customer". The draws do not depend on the customer,
 so a task makes and scores them once, with one call of the model; per customer
 remain the comparison of bins and the small fit. Quartiles and bin statistics
-are Spark aggregates; nothing is shuffled, and the partitions stay as they are.
+are Spark aggregates; the customers to explain are dealt evenly to all cores.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from custlens.functions.ranking import exact_quantiles
-from custlens.operators.splits import SEED
+from custlens.operators.splits import SEED, spread
 
 SAMPLES = 5000
 FEATURES = 6
@@ -101,24 +101,31 @@ def _draws(bins: Bins, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _fit(z: np.ndarray, y: np.ndarray, w: np.ndarray, keep: int) -> tuple[list[int], np.ndarray, float]:
-    """Forward selection by weighted R2, then a ridge (alpha 1) on the chosen features."""
-    total = w.sum()
-    zc = z - (w @ z) / total
-    yc = y - (w @ y) / total
-    gram, moment, whole = zc.T @ (zc * w[:, None]), zc.T @ (w * yc), float((w * yc * yc).sum())
-
-    def solve(chosen: list[int], alpha: float) -> tuple[np.ndarray, float]:
-        g, m = gram[np.ix_(chosen, chosen)], moment[chosen]
-        beta = np.linalg.lstsq(g + alpha * np.eye(len(chosen)), m, rcond=None)[0]
-        left = whole - 2.0 * beta @ m + beta @ g @ beta
-        return beta, (1.0 - left / whole if whole > 0 else 0.0)
+    """Forward selection by weighted R2, then a ridge (alpha 1) on the chosen features.
 
-    chosen: list[int] = []
+    What a feature adds to R2 follows from its part that the chosen ones leave over; a step takes the chosen one's part out
+    of all others, so no step solves a system.
+    """
+    total = w.sum()
+    mean, yc = (w @ z) / total, y - (w @ y) / total
+    rooted = z * np.sqrt(w)[:, None]
+    gram, moment, whole = rooted.T @ rooted - total * np.outer(mean, mean), z.T @ (w * yc), float((w * yc * yc).sum())
+    left, rest, chosen = gram.copy(), moment.copy(), []
     for _ in range(min(keep, z.shape[1])):
-        rest = [j for j in range(z.shape[1]) if j not in chosen]
-        chosen.append(max(rest, key=lambda j: solve([*chosen, j], 0.0)[1]))
-    beta, r2 = solve(chosen, 1.0)
-    return chosen, beta, r2
+        size = left.diagonal()
+        free = size > 1e-10 * total  # not a sum of the chosen ones, or constant
+        gain = np.where(free, rest * rest / np.where(free, size, 1.0), 0.0)
+        gain[chosen] = -1.0
+        k = int(gain.argmax())
+        chosen.append(k)
+        if free[k]:
+            share = left[k] / size[k]
+            rest = rest - share * rest[k]
+            left = left - np.outer(share, left[k])
+    g, m = gram[np.ix_(chosen, chosen)], moment[chosen]
+    beta = np.linalg.solve(g + np.eye(len(chosen)), m)
+    unexplained = whole - 2.0 * beta @ m + beta @ g @ beta
+    return chosen, beta, (1.0 - unexplained / whole if whole > 0 else 0.0)
 
 
 def local_surrogates(
@@ -132,23 +139,24 @@ def local_surrogates(
     """
     names = bins.names
     width = math.sqrt(len(names)) * 0.75
+    # By the number of features in another bin.
+    weights = np.sqrt(np.exp(-np.arange(len(names) + 1.0) / width**2))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, places = _draws(bins, samples - 1, seed)
-        drawn = None
+        y, same, ones = None, np.ones((samples, len(names))), np.ones(len(names))
         for batch in batches:
             if batch.empty:
                 continue
-            if drawn is None:
-                drawn = probability(rows)
+            if y is None:
+                y = np.concatenate([[0.0], probability(rows)])
             x = batch[names].to_numpy(dtype=float)
             own, homes = probability(x), bins.bin_of(x)
             out = []
             for who, y0, home in zip(batch[key], own, homes):
-                same = np.vstack([np.ones(len(names)), places == home])
-                y = np.concatenate([[y0], drawn])
-                far = (1.0 - same).sum(axis=1)
-                weight = np.sqrt(np.exp(-far / width**2))
+                same[1:] = places == home
+                y[0] = y0
+                weight = weights[len(names) - (same @ ones).astype(np.int64)]
                 chosen, beta, r2 = _fit(same, y, weight, features)
                 order = sorted(range(len(chosen)), key=lambda i: -abs(beta[i]))
                 factors = [
@@ -164,5 +172,5 @@ def local_surrogates(
         f"{key} {kind}, churn_probability double, surrogate_score double, "
         "factors array<struct<rule string, weight double, impact string>>"
     )
-    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in names])
+    rows = spread(df.select(key, *[F.col(c).cast("double").alias(c) for c in names]), key)
     return rows.mapInPandas(explain, schema)
