@@ -86,33 +86,62 @@ class TreeEnsemble:
         return float(sum((g["value"] * g["bounds"][:, :, 2].prod(axis=1)).sum() for g in self.leaf_paths().values()))
 
 
-def shapley(x: np.ndarray, groups: dict[int, dict[str, np.ndarray]], width: int) -> np.ndarray:
-    """Attributions of the rows of ``x``.
+#: Leaves with up to this many features on their path have a table of their attributions, 2^features rows each.
+TABLE_FEATURES = 6
+
+
+def leaf_shares(o: np.ndarray, z: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Attributions (..., leaf, feature) of the features on the leaves' paths.
 
     In one leaf with shares z and indicators o, the subset sums of a feature
     are the coefficients of the product of (z_j + o_j t) over the others.
     """
+    m = z.shape[1]
+    size_weight = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
+    out = np.empty(o.shape)
+    for i in range(m):
+        terms = [np.ones(o.shape[:-1])]
+        for j in range(m):
+            if j == i:
+                continue
+            grown = [terms[0] * z[:, j]]
+            grown += [terms[s] * z[:, j] + terms[s - 1] * o[..., j] for s in range(1, len(terms))]
+            terms = [*grown, terms[-1] * o[..., j]]
+        subsets = sum(w * t for w, t in zip(size_weight, terms))
+        out[..., i] = value * (o[..., i] - z[:, i]) * subsets
+    return out
+
+
+def with_tables(groups: dict[int, dict[str, np.ndarray]]) -> dict[int, dict[str, np.ndarray]]:
+    """``groups`` with a table of all attributions of a leaf, by which of its features are in their intervals."""
+    out = {}
+    for m, g in groups.items():
+        out[m] = dict(g)
+        if 0 < m <= TABLE_FEATURES:
+            patterns = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+            o = np.broadcast_to(patterns[:, None, :], (1 << m, len(g["value"]), m))
+            out[m]["table"] = leaf_shares(o, g["bounds"][:, :, 2], g["value"])
+    return out
+
+
+def shapley(x: np.ndarray, groups: dict[int, dict[str, np.ndarray]], width: int) -> np.ndarray:
+    """Attributions of the rows of ``x``, looked up where ``with_tables`` has made tables."""
     out = np.zeros((len(x), width))
     for m, g in groups.items():
         if m == 0:
             continue
         low, high, z = (g["bounds"][:, :, i] for i in range(3))
         picked = x[:, g["feature"]]
-        o = ((picked > low) & (picked <= high)).astype(float)
-        size_weight = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
+        inside = (picked > low) & (picked <= high)
+        if "table" in g:
+            pattern = inside @ (1 << np.arange(m))
+            shares = g["table"][pattern, np.arange(len(z))]
+        else:
+            shares = leaf_shares(inside.astype(float), z, g["value"])
         for i in range(m):
-            terms = [np.ones(o.shape[:2])]
-            for j in range(m):
-                if j == i:
-                    continue
-                grown = [terms[0] * z[:, j]]
-                grown += [terms[s] * z[:, j] + terms[s - 1] * o[:, :, j] for s in range(1, len(terms))]
-                terms = [*grown, terms[-1] * o[:, :, j]]
-            subsets = sum(w * t for w, t in zip(size_weight, terms))
-            share = g["value"] * (o[:, :, i] - z[:, i]) * subsets
             onehot = np.zeros((len(z), width))
             onehot[np.arange(len(z)), g["feature"][:, i]] = 1.0
-            out += share @ onehot
+            out += shares[..., i] @ onehot
     return out
 
 
@@ -157,7 +186,7 @@ def load_ensemble(spark: SparkSession, model, path: str) -> TreeEnsemble:
 
 def explanation(ensemble: TreeEnsemble, columns: list[str]) -> Column:
     """Struct (margin, base, attributions) of a row; Arrow batches, no shuffle."""
-    groups, base = ensemble.leaf_paths(), ensemble.base_value()
+    groups, base = with_tables(ensemble.leaf_paths()), ensemble.base_value()
     width = len(columns)
 
     @F.pandas_udf("struct<margin double, base double, attributions array<double>>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from custlens.operators import splits, surrogate
+from custlens.operators import splits, surrogate, trees
 
 
 def plain_fit(z, y, w, keep):
@@ -52,3 +52,19 @@ def test_customers_to_explain_are_dealt_to_all_cores(spark):
     out = surrogate.local_surrogates(rows, bins, lambda x: x[:, 0] / 10.0, samples=30)
     assert out.rdd.getNumPartitions() == splits.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     assert out.count() == 400
+
+
+def test_tables_hold_the_attributions_of_every_pattern():
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 4, trees.TABLE_FEATURES, trees.TABLE_FEATURES + 1):
+        low = rng.normal(size=(11, m)) - 1.0
+        bounds = np.stack([low, low + 2.0 * rng.random((11, m)), rng.random((11, m))], axis=2)
+        group = {"value": rng.normal(size=11), "feature": np.array([rng.permutation(9)[:m] for _ in range(11)]), "bounds": bounds}
+        tabled = trees.with_tables({m: group})
+        assert ("table" in tabled[m]) == (m <= trees.TABLE_FEATURES)
+        x = rng.normal(size=(50, 9))
+        assert np.array_equal(trees.shapley(x, tabled, 9), trees.shapley(x, {m: group}, 9))
+        # What the features of a leaf get is what the row's value differs from the mean by.
+        inside = (x[:, group["feature"]] > low) & (x[:, group["feature"]] <= bounds[:, :, 1])
+        reached = (group["value"] * inside.all(axis=2)).sum(axis=1) - (group["value"] * bounds[:, :, 2].prod(axis=1)).sum()
+        assert np.allclose(trees.shapley(x, tabled, 9).sum(axis=1), reached)
