@@ -104,10 +104,10 @@ def behavior_columns(categories: tuple[str, ...] = CATEGORIES) -> list[Column]:
 
 def customer_facts(
     lines: DataFrame, cutoff: datetime, products: bool = True, discounts: bool = True,
-    country: bool = True, categories: tuple[str, ...] = CATEGORIES,
+    country: bool = True, categories: tuple[str, ...] = CATEGORIES, gaps: bool = True,
 ) -> DataFrame:
     """The roll-ups the blocks need, joined on the customer they are all partitioned by."""
-    facts = rollup.customer_order_facts(lines, cutoff, categories)
+    facts = rollup.customer_order_facts(lines, cutoff, categories, gaps)
     if products:
         facts = facts.join(rollup.customer_product_facts(lines, discounts), "customer_id", "left")
     if country:
@@ -117,7 +117,7 @@ def customer_facts(
 
 def rfm_features(lines: DataFrame, cutoff: datetime | None = None) -> DataFrame:
     lines, cutoff = _bounded(lines, cutoff)
-    facts = customer_facts(lines, cutoff, discounts=False, country=False)
+    facts = customer_facts(lines, cutoff, discounts=False, country=False, gaps=False)
     return facts.select("customer_id", *rfm_columns(cutoff))
 
 

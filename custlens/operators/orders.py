@@ -80,11 +80,11 @@ def order_totals(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) ->
 
 
 def customer_order_facts(
-    lines: DataFrame, cutoff: datetime, categories: tuple[str, ...] = CATEGORIES
+    lines: DataFrame, cutoff: datetime, categories: tuple[str, ...] = CATEGORIES, gaps: bool = True
 ) -> DataFrame:
-    """One row per customer: sums over orders, and the gaps between them.
+    """One row per customer: sums over orders, and the gaps between them if wanted.
 
-    Gaps need neighbouring orders. They are taken inside each (customer, day)
+    Without gaps, orders merge into customers at once. Gaps need neighbouring orders. They are taken inside each (customer, day)
     and between a customer's consecutive days, so no window holds more than
     one day of orders or one row per day of history.
     """
@@ -93,23 +93,26 @@ def customer_order_facts(
         *[f"cat_cents_{c}" for c in categories],
     ]
     recent = timestamp(cutoff) - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
+    orders = order_totals(lines, categories)
+    from_orders = {
+        "orders": F.count("order_date"),
+        "q4_orders": F.count_if(F.col("q4_lines") > 0),
+        "recent_orders": F.count_if(F.col("order_date") >= recent),
+        "first_order": F.min("order_date"),
+        "last_order": F.max("order_date"),
+        "last_sale": F.max("last_sale"),
+        **{s: F.sum(s) for s in sums},
+    }
+    if not gaps:
+        return orders.groupBy("customer_id").agg(*[x.alias(name) for name, x in from_orders.items()])
     in_day = Window.partitionBy("customer_id", "day").orderBy("order_date")
     gap = days_between(F.lag("order_date").over(in_day), F.col("order_date"))
     per_day = (
-        order_totals(lines, categories)
-        .withColumn("day", F.to_date(F.coalesce("order_date", "first_line")))
+        orders.withColumn("day", F.to_date(F.coalesce("order_date", "first_line")))
         .withColumn("gap", gap)
         .groupBy("customer_id", "day")
-        .agg(
-            F.count("order_date").alias("orders"),
-            F.count_if(F.col("q4_lines") > 0).alias("q4_orders"),
-            F.count_if(F.col("order_date") >= recent).alias("recent_orders"),
-            F.min("order_date").alias("first_order"),
-            F.max("order_date").alias("last_order"),
-            F.max("last_sale").alias("last_sale"),
-            F.sum(F.col("gap") * F.col("gap")).alias("gap_squares"),
-            *[F.sum(s).alias(s) for s in sums],
-        )
+        .agg(*[x.alias(name) for name, x in from_orders.items()],
+             F.sum(F.col("gap") * F.col("gap")).alias("gap_squares"))
     )
     # Days with returns only have no order; the last one before them counts.
     across = (
@@ -117,19 +120,17 @@ def customer_order_facts(
     )
     before = F.last("last_order", ignorenulls=True).over(across)
     jump = days_between(before, F.col("first_order"))
+    added = ("orders", "q4_orders", "recent_orders", *sums)
     return (
         per_day.withColumn("jump", jump)
         .groupBy("customer_id")
         .agg(
-            F.sum("orders").alias("orders"),
-            F.sum("q4_orders").alias("q4_orders"),
-            F.sum("recent_orders").alias("recent_orders"),
+            *[F.sum(x).alias(x) for x in added],
             F.min("first_order").alias("first_order"),
             F.max("last_order").alias("last_order"),
             F.max("last_sale").alias("last_sale"),
             (F.coalesce(F.sum("gap_squares"), F.lit(0.0))
              + F.coalesce(F.sum(F.col("jump") * F.col("jump")), F.lit(0.0))).alias("gap_squares"),
-            *[F.sum(s).alias(s) for s in sums],
         )
     )
 

@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from custlens.operators import clean
+from custlens.operators.features import rfm_features
+from custlens.operators.orders import customer_order_facts
 from custlens.sources.star import raw_transactions
-from tests.conftest import RAW_SCHEMA
+from tests.conftest import CLEAN_SCHEMA, RAW_SCHEMA, clean_line
 
 D = datetime(1995, 5, 5)
 
@@ -68,3 +70,14 @@ def test_voting_lines_leave_their_description_behind(spark, monkeypatch):
     assert {r.invoice: r.description for r in out.collect()} == {
         "1": "RED RING", "2": "RED RING", "3": "RED RING", "4": "Y", "5": "LONELY ONE", "6": ""}
     assert {r.invoice for r in sent[0].filter(F.col("description").isNull()).collect()} == {"1", "2"}
+
+
+def test_customers_without_gaps_need_no_days(spark):
+    lines = spark.createDataFrame(
+        [clean_line(1 + i % 5, f"I{i // 3}-{i % 5}", datetime(2010, 1 + i % 12, 1 + i % 27, i % 24), 1.0 + i, f"{22 + i % 2}001", 1.0 + i % 4,
+                    ret=i % 7 == 0) for i in range(200)], CLEAN_SCHEMA)
+    cutoff = datetime(2010, 11, 1)
+    days, direct = (customer_order_facts(lines, cutoff, gaps=g) for g in (True, False))
+    assert sorted(map(tuple, days.select(*direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+    plan = rfm_features(lines, cutoff)._jdf.queryExecution().executedPlan().toString()
+    assert "day#" not in plan and "Window" not in plan
