@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from custlens.functions.ranking import ordered_row_numbers
+from custlens.functions.stages import written
 
 NON_FEATURES = ("customer_id", "primary_country", "engagement_tier", "churn", "clv_next_90d", "target_orders_count")
 SEED = 42
@@ -58,25 +58,40 @@ def assign_splits(
     df: DataFrame, target: str = "churn", test_share: float = TEST_SHARE, val_share: float = VAL_SHARE,
     seed: int = SEED, key: str = "customer_id",
 ) -> DataFrame:
-    """Adds ``split`` (train, val, test): exact sizes per class, repeatable by hash of the key."""
+    """Adds ``split`` (train, val, test): exact sizes per class, repeatable by hash of the key.
+
+    Rows are counted by class and the first digits of the hash. Nearly all of these buckets lie in one split as a whole, so
+    their rows stay where they are; only the few that a split ends in are put in order.
+    """
     stratum = F.col(target).cast("string") if is_stratified(df, target) else F.lit("all")
     keyed = df.withColumn("stratum", stratum).withColumn(
         "_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
     )
     # The first three hex digits order the rows into 4096 even buckets.
-    bucket = F.substring("_hash", 1, 3)
-    numbered = ordered_row_numbers(keyed, bucket, ["_hash", key], "_place", by=["stratum"])
-    quotas = split_quotas(keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), test_share, val_share)
-    place = F.col("_place")
-    return (
-        numbered.join(F.broadcast(quotas), "stratum")  # one row per stratum
-        .withColumn(
-            "split",
+    keyed = keyed.withColumn("_bucket", F.substring("_hash", 1, 3))
+
+    def split_of(place: Column) -> Column:
+        return (
             F.when(place <= F.col("test_n"), "test")
-            .when(place <= F.col("test_n") + F.col("val_n"), "val").otherwise("train"),
+            .when(place <= F.col("test_n") + F.col("val_n"), "val").otherwise("train")
         )
-        .select(*df.columns, "split")
+
+    counts = keyed.groupBy("stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    quotas = split_quotas(counts.groupBy("stratum").agg(F.sum("_n").alias("n")), test_share, val_share)
+    upto = Window.partitionBy("stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = written(
+        counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_before", F.col("_end") - F.col("_n"))
+        .join(F.broadcast(quotas), "stratum")  # one row per stratum
+        .withColumn("_first", split_of(F.col("_before") + 1)).withColumn("_last", split_of(F.col("_end")))
+        .drop("_n", "_end"),
+        "split_bounds",
     )
+    placed = keyed.join(F.broadcast(bounds), ["stratum", "_bucket"])  # at most 4096 rows per stratum
+    same = F.col("_first") == F.col("_last")
+    inside = F.row_number().over(Window.partitionBy("stratum", "_bucket").orderBy("_hash", key))
+    ordered = placed.filter(~same).withColumn("split", split_of(F.col("_before") + inside))
+    whole = placed.filter(same).withColumn("split", F.col("_first"))
+    return whole.select(*df.columns, "split").unionByName(ordered.select(*df.columns, "split"))
 
 
 @dataclass(frozen=True)
