@@ -13,11 +13,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from custlens.functions.joins import lookup_join
+from custlens.functions.joins import HOT_KEYS, lookup_join
 from custlens.functions.stages import written
 
 BUCKETS_PER_E = 1024.0
 
+#: Groups are counted by a hash of their key into this many cells. A cell is heavy from 1/2000 of all rows, if that is
+#: more than a task sorts with ease.
+CELLS = 1 << 14
+CELL_ROWS = 1 << 17
+
+
+def heavy_cells(rows: DataFrame, keys: Sequence[str], cells: int = CELLS, least: int = CELL_ROWS) -> Column | None:
+    """Whether a row's keys fall into a cell with a large share of all rows: at most 2000 cells, in one narrow pass.
+
+    None if there is no such cell. The keys of every other cell together have fewer rows than that share, or than ``least``, and may meet in one task.
+    """
+    cell = F.pmod(F.xxhash64(*keys), F.lit(cells))
+    sizes = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # one row per cell
+    large = sizes.withColumn("total", total).filter((F.col("n") > least) & (F.col("n") * F.lit(HOT_KEYS) >= F.col("total")))
+    found = [r["cell"] for r in large.select("cell").collect()]
+    return cell.isin(found) if found else None
+
 
 def value_bucket(x: Column) -> Column:
     """A monotone bucket number of a double.
@@ -72,13 +90,24 @@ def cumulative_counts(
     )
 
 
+def _counts_of_small_groups(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What :func:`cumulative_counts` gives, for groups of which each may meet in one task: one shuffle, by group."""
+    group = Window.partitionBy(*by)
+    counts = rows.repartition(*by).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("below", F.sum("n").over(upto) - F.col("n")).withColumn("total", F.sum("n").over(group))
+
+
 def exact_quantiles(
-    df: DataFrame, value: Column | str, probs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: Column | str, probs: dict[str, float], by: Sequence[str] = (), many_groups: bool = False
 ) -> DataFrame:
     """Linear-interpolation quantiles and the ``total`` of values, one row per
     group, one column per name.
 
-    Only buckets that hold a wanted rank are ordered.
+    Only buckets that hold a wanted rank are ordered. With ``many_groups`` a
+    group is ordered in one task, unless it may have a large share of all rows:
+    with few rows in a group nearly every value has its own bucket, and the
+    buckets cost more than the values.
     """
     def ranks(p: float) -> tuple[Column, Column, Column]:
         position = (F.col("total") - 1).cast("double") * F.lit(float(p))
@@ -91,7 +120,6 @@ def exact_quantiles(
         wanted = wanted | (
             (F.col("before") <= high) & (low < F.col("before") + F.col("bucket_n"))
         )
-    cdf = cumulative_counts(df, value, by, keep_buckets=wanted)
 
     def value_at(rank: Column) -> Column:
         hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
@@ -108,7 +136,23 @@ def exact_quantiles(
             F.when(t >= 0.5, hi - (hi - lo) * (1.0 - t)).otherwise(lo + (hi - lo) * t)
         )
         outs.append(F.when(t == 0, lo).otherwise(mix).alias(name))
-    return cdf.groupBy(*by).agg(*aggs).select(*by, *outs, "total")
+
+    def at_ranks(cdf: DataFrame) -> DataFrame:
+        return cdf.groupBy(*by).agg(*aggs).select(*by, *outs, "total")
+
+    if not many_groups:
+        return at_ranks(cumulative_counts(df, value, by, keep_buckets=wanted))
+    value = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*by, value.cast("double").alias("value"))
+    present = F.col("value").isNotNull() & ~F.isnan("value")
+    for key in by:
+        present = present & F.col(key).isNotNull()
+    rows = rows.filter(present)
+    heavy = heavy_cells(rows, by)
+    if heavy is None:
+        return at_ranks(_counts_of_small_groups(rows, by))
+    small = at_ranks(_counts_of_small_groups(rows.filter(~heavy), by))
+    return small.unionByName(at_ranks(cumulative_counts(rows.filter(heavy), "value", by, keep_buckets=wanted)))
 
 
 def average_percent_ranks(df: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Roll-ups of invoice lines: per order, per customer.
 
-Lines are combined map-side into orders before the first shuffle, and orders
-into days before the second. A customer with a large share of all lines
-therefore arrives as one row per map task, never as one big group.
+Lines meet in their order first, those of an order with a large share of all
+lines combined map-side, and orders are combined into days before the second
+shuffle. A customer with a large share of all lines therefore never arrives as
+one big group.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlens.functions.columns import cents, days_between, timestamp
 from custlens.functions.joins import lookup_join
-from custlens.functions.ranking import exact_quantiles
+from custlens.functions.ranking import exact_quantiles, heavy_cells
 
 # Two-character stock-code prefixes whose spend share is tracked.
 CATEGORIES = ("22", "21", "85", "84", "23", "20")
@@ -54,29 +55,46 @@ def order_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def order_totals(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """One row per (customer, invoice) with everything the customer features sum up."""
-    amount = cents("total_amount")
+def order_totals(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES, all_sums: bool = True) -> DataFrame:
+    """One row per (customer, invoice) with everything the customer features sum up.
+
+    All sums together are wider than a line, and a task holds few lines of an order, so the lines go to their order, and only
+    orders that may have a large share of all lines are summed up before. With ``all_sums`` off, for a few of the sums, all
+    orders are.
+    """
+    narrow = lines.select(
+        "customer_id", "invoice", "invoice_date", "is_return", "quantity",
+        cents("total_amount").alias("amount"), F.substring("stock_code", 1, 2).alias("prefix"),
+    )
+    amount, prefix = F.col("amount"), F.col("prefix")
     q4 = F.month("invoice_date").isin(10, 11, 12)
-    prefix = F.substring("stock_code", 1, 2)
 
     def sale_sum(x: Column, cond: Column | None = None) -> Column:
         return F.sum(F.when(sale() if cond is None else sale() & cond, x))
 
-    return lines.groupBy("customer_id", "invoice").agg(
-        F.min("invoice_date").alias("first_line"),
-        F.min(F.when(sale(), F.col("invoice_date"))).alias("order_date"),
-        F.max(F.when(sale(), F.col("invoice_date"))).alias("last_sale"),
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if("is_return").alias("return_lines"),
-        F.count_if(sale() & q4).alias("q4_lines"),
-        F.sum(amount).alias("net_cents"),
-        sale_sum(amount).alias("gross_cents"),
-        F.sum(F.when(F.col("is_return"), amount)).alias("return_cents"),
-        sale_sum(amount, q4).alias("q4_cents"),
-        sale_sum(F.col("quantity")).alias("items"),
-        *[sale_sum(amount, prefix == c).alias(f"cat_cents_{c}") for c in categories],
-    )
+    def totals(part: DataFrame) -> DataFrame:
+        return part.groupBy("customer_id", "invoice").agg(
+            F.min("invoice_date").alias("first_line"),
+            F.min(F.when(sale(), F.col("invoice_date"))).alias("order_date"),
+            F.max(F.when(sale(), F.col("invoice_date"))).alias("last_sale"),
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if("is_return").alias("return_lines"),
+            F.count_if(sale() & q4).alias("q4_lines"),
+            F.sum(amount).alias("net_cents"),
+            sale_sum(amount).alias("gross_cents"),
+            F.sum(F.when(F.col("is_return"), amount)).alias("return_cents"),
+            sale_sum(amount, q4).alias("q4_cents"),
+            sale_sum(F.col("quantity")).alias("items"),
+            *[sale_sum(amount, prefix == c).alias(f"cat_cents_{c}") for c in categories],
+        )
+
+    if not all_sums:
+        return totals(narrow)
+    order = ("customer_id", "invoice")
+    heavy = heavy_cells(narrow, order)
+    if heavy is None:
+        return totals(narrow.repartition(*order))
+    return totals(narrow.filter(~heavy).repartition(*order)).unionByName(totals(narrow.filter(heavy)))
 
 
 def customer_order_facts(
@@ -93,7 +111,7 @@ def customer_order_facts(
         *[f"cat_cents_{c}" for c in categories],
     ]
     recent = timestamp(cutoff) - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
-    orders = order_totals(lines, categories)
+    orders = order_totals(lines, categories, all_sums=gaps)
     from_orders = {
         "orders": F.count("order_date"),
         "q4_orders": F.count_if(F.col("q4_lines") > 0),
@@ -138,7 +156,7 @@ def customer_order_facts(
 def product_reference_prices(lines: DataFrame) -> DataFrame:
     """Median sale price per product, and its number of sale lines."""
     sales = lines.filter(sale() & F.col("stock_code").isNotNull())
-    median = exact_quantiles(sales, "price", {"reference_price": 0.5}, by=["stock_code"])
+    median = exact_quantiles(sales, "price", {"reference_price": 0.5}, by=["stock_code"], many_groups=True)
     return median.withColumnRenamed("total", "sale_lines")
 
 

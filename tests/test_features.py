@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from custlens.functions import ranking
 from custlens.operators import eda, features as feat, orders
 from custlens.sources import sinks
 from tests.conftest import CLEAN_SCHEMA, by_key, clean_line
@@ -193,3 +194,20 @@ def test_order_events_include_returns(spark):
     lines = [clean_line(1, "a", d, 10.0), clean_line(1, "a", d + timedelta(minutes=5), -4.0, qty=-1.0, ret=True)]
     r = orders.order_events(spark.createDataFrame(lines, CLEAN_SCHEMA)).first()
     assert (r.invoice_date, r.total_amount, r.total_quantity, r.is_return) == (d, 6.0, 0.0, True)
+
+
+def test_lines_of_an_order_meet_with_and_without_heavy_orders(spark, monkeypatch):
+    """All sums: lines are dealt to their order; an order with a large share of them is summed up map-side before."""
+    day = datetime(2010, 3, 1)
+    rows = [clean_line(1, "BIG", day, 1.0 + i % 7, code=f"22{i:04d}", ret=i % 5 == 0) for i in range(900)]
+    rows += [clean_line(i % 60, f"I{i % 200}" if i % 11 else None, day, 2.0, code=f"85{i:04d}") for i in range(1200)]
+    lines = spark.createDataFrame(rows, CLEAN_SCHEMA).repartition(6)
+    key = ["customer_id", "invoice"]
+    merged = orders.order_totals(lines, all_sums=False)  # every order is summed up before the shuffle
+    want = sorted(map(str, merged.collect()))
+    dealt = orders.order_totals(lines)
+    assert sorted(map(str, dealt.collect())) == want
+    assert "REPARTITION_BY_COL" in dealt._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ranking.heavy_cells, "__defaults__", (ranking.CELLS, 500))
+    assert lines.filter(ranking.heavy_cells(lines, key)).count() >= 900
+    assert sorted(map(str, orders.order_totals(lines).collect())) == want

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from custlens.functions import ranking
 from custlens.functions.columns import days_between, round_even, round_exact, rounded_exact
 from custlens.functions.joins import lookup_join
 from custlens.functions.ranking import average_percent_ranks, cumulative_counts, exact_quantiles, ordered_row_numbers
@@ -114,3 +115,28 @@ def test_released_stages_are_gone(spark, monkeypatch, tmp_path):
     assert list(tmp_path.glob("custlens/*/*"))
     stages.release(spark)
     assert not list(tmp_path.glob("custlens/*"))
+
+
+def test_quantiles_of_many_groups_take_one_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = rng.normal(0, 100, 6000).round(2)
+    groups = np.where(rng.random(6000) < 0.3, 0, rng.integers(1, 400, 6000))  # one group with a third of all rows
+    odd = pd.DataFrame({"g": ["7", None, "9999"], "x": [None, 1.0, float("nan")]}, dtype=object)
+    df = spark.createDataFrame(
+        list(zip(groups.astype(str).tolist(), values.tolist())) + [tuple(r) for r in odd.itertuples(index=False)], "g string, x double")
+    probs = {"a": 0.25, "b": 0.5, "hi": 1.0}
+
+    def check(got):
+        assert {r.g for r in got} == set(groups.astype(str)) and len(got) == len(set(groups))
+        for r in got:
+            mine = values[groups == int(r.g)]
+            assert r.total == len(mine)
+            assert (r.a, r.b, r.hi) == (np.percentile(mine, 25), np.median(mine), mine.max())
+
+    cut = exact_quantiles(df, "x", probs, by=["g"], many_groups=True)
+    check(cut.collect())
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("== Final Plan"):plan.index("== Initial Plan")].count("Exchange hashpartitioning") <= 1
+    monkeypatch.setattr(ranking.heavy_cells, "__defaults__", (ranking.CELLS, 500))
+    assert 0 < df.filter(ranking.heavy_cells(df, ["g"])).count() < 4000
+    check(exact_quantiles(df, "x", probs, by=["g"], many_groups=True).collect())
