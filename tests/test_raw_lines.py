@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from custlens.operators import clean
 from custlens.operators.features import rfm_features
 from custlens.operators.orders import customer_order_facts
+from custlens.plans import job_queries, tables
 from custlens.sources.star import raw_transactions
 from tests.conftest import CLEAN_SCHEMA, RAW_SCHEMA, clean_line
 
@@ -81,3 +82,25 @@ def test_customers_without_gaps_need_no_days(spark):
     assert sorted(map(tuple, days.select(*direct.columns).collect())) == sorted(map(tuple, direct.collect()))
     plan = rfm_features(lines, cutoff)._jdf.queryExecution().executedPlan().toString()
     assert "day#" not in plan and "Window" not in plan
+
+
+def test_round_trip_of_cleaned_lines_makes_the_raw_lines_once(spark, tmp_path, monkeypatch):
+    folder = star(spark, tmp_path)
+    old = datetime(1994, 5, 5)
+    spark.createDataFrame([(3, 11, D), (20, 12, D), (7, 11, old)], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz").write.mode(
+        "overwrite").parquet(f"{folder}/orders.parquet")
+    seen, raw = spark.sparkContext.accumulator(0), tables.raw
+
+    def counted(s, d):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        lines = raw(s, d)
+        return lines.mapInArrow(run, lines.schema)
+
+    monkeypatch.setattr(tables, "raw", counted)
+    got = job_queries.cleaned_roundtrip(spark, folder).collect()
+    assert [(r.invoice, r.description, r.quantity, r.invoice_date) for r in got] == [("7", "OLD BOLT", 1000.0, old)]
+    assert seen.value == 6
