@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ARROW_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Hands batches of about ``most`` bytes to Python workers in jobs that run meanwhile.
+
+    Batches are otherwise counted by rows, so that long texts take much memory, in the executor and in the worker.
+    """
+    before = spark.conf.get(ARROW_BYTES_CONF)
+    spark.conf.set(ARROW_BYTES_CONF, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES_CONF, before)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about ``most_bytes`` of text; a longer text is a part of its own."""
     text = batch.column(column)

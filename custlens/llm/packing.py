@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlens.functions.stages import written
-from custlens.llm.common import slices
+from custlens.llm.common import arrow_bytes, slices
 from custlens.llm.tokens import encoder, word_tokenizer
 
 CAPACITY = 4096
 END = 1
+#: Text that is encoded at a time, and about the most that is handed to a worker at a time.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 ids, offsets = encoder(tokenizer).ids(batch.column("text"), END)
                 raw, places = memoryview(ids.tobytes()), offsets.tolist()
                 rows: list[tuple] = []
@@ -134,7 +136,8 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = written(pieces(docs, tokenizer or word_tokenizer(), capacity), "pieces")
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        found = written(pieces(docs, tokenizer or word_tokenizer(), capacity), "pieces")
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "piece_ranks")

@@ -5,6 +5,7 @@ Texts are cut where no token can cross: at blanks, tabs and line feeds, and wher
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -36,6 +37,9 @@ _CUT = np.zeros((5, 5), dtype=bool)
 _CUT[1:, 1:] = ~np.eye(4, dtype=bool)
 _CUT[_DIGIT, _DIGIT] = True
 _CUT[_APOSTROPHE, _LETTER] = _CUT[_MARK, _APOSTROPHE] = _CUT[_APOSTROPHE, _MARK] = False
+#: The same as tables for ``translate``, which needs no index arrays.
+_PLAIN_BYTES, _LOWERED_BYTES, _KIND_BYTES = _PLAIN.tobytes(), _LOWERED.tobytes(), _KIND.tobytes()
+_CUT_BYTES = _CUT.tobytes().ljust(256, b"\0")  # at 5 * kind + next kind
 #: Pieces that are one word for the tokenizer, already in its form.
 _WORD = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 
@@ -50,16 +54,18 @@ def prepared(texts: pa.Array) -> pa.Array:
     raw, offsets = text_bytes(texts)
     whole = raw.tobytes()
     if b"<|" in whole or b"\xce\xa3" in whole:
-        data = _PLAIN[raw]
+        data = np.frombuffer(whole.translate(_PLAIN_BYTES), dtype=np.uint8)
     else:
-        data = _LOWERED[raw]
-        kind = _KIND[data]
+        lowered = bytearray(whole.translate(_LOWERED_BYTES))
+        kinds = bytearray(lowered.translate(_KIND_BYTES))
+        data, kind = np.frombuffer(lowered, dtype=np.uint8), np.frombuffer(kinds, dtype=np.uint8)
         lead = np.flatnonzero(data[:-1] == 0xC3)
         second = data[lead + 1]
         data[lead[_CAPITAL[second]] + 1] += 32
         letters = lead[_LATIN[second]]
         kind[letters] = kind[letters + 1] = _LETTER
-        at = np.flatnonzero(_CUT[kind[:-1], kind[1:]]) + 1
+        both = kind[:-1] * np.uint8(5) + kind[1:]
+        at = np.flatnonzero(np.frombuffer(both.tobytes().translate(_CUT_BYTES), dtype=bool)) + 1
         if len(at):
             data = np.insert(data, at, 32)
             offsets = offsets + np.searchsorted(at, offsets)
@@ -75,6 +81,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of a worker keep memory each
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -118,14 +125,11 @@ class Encoder:
                 self.known = {"": b""}
                 missing = [p for p in pieces if p]
             self._learn(missing)
-        coded = list(map(self.known.__getitem__, pieces))
-        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-        table = np.frombuffer(b"".join(coded), dtype="<u4")
-        begin = np.cumsum(size) - size
-        which = words.indices.to_numpy()
-        n = size[which]
-        until = np.concatenate([[0], np.cumsum(n)])
-        out = table[np.repeat(begin[which] - until[:-1], n) + np.arange(until[-1])]
+        coded = pa.array(map(self.known.__getitem__, pieces), pa.large_binary(), size=len(pieces))
+        all_ids = coded.take(words.indices)  # their bytes stand one behind the other
+        _, starts, raw = all_ids.buffers()
+        until = np.frombuffer(starts, dtype=np.int64, count=len(all_ids) + 1) // 4
+        out = np.frombuffer(raw, dtype="<u4", count=until[-1]) if until[-1] else np.empty(0, dtype="<u4")
         offsets = until[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         if end is not None:
             out = np.insert(out, offsets[1:], np.uint32(end))
