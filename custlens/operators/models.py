@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import SparkContext
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +18,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from custlens.functions.stages import new_path
+from custlens.operators.perceptron import fit_perceptron
 from custlens.operators.splits import FIT_PARTITIONS, SEED, class_weights
 from custlens.operators.trees import TreeEnsemble, load_ensemble
 
@@ -128,10 +129,7 @@ def _gbt(weighted: bool, stop: str):
 
 
 def _network(train: DataFrame, val: DataFrame):
-    width = len(train.first()["features"])
-    return MultilayerPerceptronClassifier(
-        layers=[width, 128, 64, 32, 2], maxIter=80, seed=SEED, blockSize=64
-    ).fit(train)
+    return fit_perceptron(train, [128, 64, 32], max_iter=80, seed=SEED)
 
 
 CHURN_MODELS: dict[str, Spec] = {

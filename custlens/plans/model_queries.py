@@ -12,6 +12,7 @@ from custlens.operators import anomaly, explain, linear, models, runlog, segment
 from custlens.operators.metrics import classifier_metrics, exact_auc, regressor_metrics
 from custlens.operators.neighbours import distance_vote, nearest_neighbours
 from custlens.operators.orders import order_events
+from custlens.operators.perceptron import fit_perceptron
 from custlens.operators.trees import load_ensemble, with_tree_factors
 from custlens.plans import serving as serving_plan, tables, training
 from custlens.plans.serving import RULE_WEIGHTS, rule_clv, rule_cluster, rule_margin, rule_probability
@@ -134,7 +135,6 @@ def purchase_sequences(s, d):
 
 def sequence_model(s, d):
     """Metrics of a churn network on the flattened sequences (24 inputs)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     seq = sequences.purchase_sequences(order_events(tables.observed(s, d)))
@@ -142,9 +142,8 @@ def sequence_model(s, d):
         "customer_id", "split", F.col("churn").cast("double").alias("label"), array_to_vector(F.flatten("sequence")).alias("features")
     )
     rows = written(rows, "sequence_rows")
-    width = sequences.LENGTH * len(sequences.STEP)
     with splits.fitting_rows(rows.filter("split = 'train'")) as train:
-        model = MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=60, seed=splits.SEED).fit(train)
+        model = fit_perceptron(train, [64, 32], max_iter=60, seed=splits.SEED)
     scored = model.transform(rows.filter("split = 'test'")).withColumn("probability", vector_to_array("probability")[1])
     return classifier_metrics(scored, "label")
 
