@@ -8,7 +8,7 @@ the model's margin.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,59 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROWS_AT_ONCE = 256
 
+#: Trees with up to this many leaves are evaluated by sets of leaves, a bit each.
+MASK_LEAVES = 16
+
+
+@dataclass
+class LeafMasks:
+    """Which leaves of all trees a row can still reach, by the interval that a feature's value lies in.
+
+    Leaves are numbered from left to right. A split that a row passes to the right rules out the leaves to its left, so the
+    row's leaf is the first one that no split rules out.
+    """
+
+    cuts: dict[int, np.ndarray]  # per feature, the thresholds of all trees in order
+    reach: dict[int, np.ndarray]  # per feature, a row of sets (a tree each) per interval between the cuts
+    leaf: np.ndarray  # values of the leaves, a row per tree
+    lowest: np.ndarray  # the first member of every set
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The value of every row (rows) in every tree (columns)."""
+        left = np.full((len(x), len(self.leaf)), (1 << MASK_LEAVES) - 1, dtype=np.uint16)
+        for f, cuts in self.cuts.items():
+            left &= self.reach[f][np.searchsorted(cuts, x[:, f])]
+        return self.leaf.take(self.lowest[left] + np.arange(len(self.leaf)) * MASK_LEAVES)
+
+
+def leaf_masks(ensemble: TreeEnsemble) -> LeafMasks | bool:
+    """The sets of leaves of an ensemble; False if a tree has too many leaves."""
+    leaf, splits = np.zeros((len(ensemble.scale), MASK_LEAVES)), []  # of splits: feature, cut, tree, set of leaves that stay
+    for t in range(len(leaf)):
+        seen = 0  # leaves so far, from left to right
+        stack = [(0, None)]
+        while stack:
+            node, at = stack.pop()
+            if at is not None:  # all leaves to the left of this split have been seen
+                splits.append((int(ensemble.feature[t, node]), ensemble.threshold[t, node], t, ~((1 << seen) - (1 << at))))
+            elif ensemble.feature[t, node] >= 0:
+                stack += [(int(ensemble.right[t, node]), None), (node, seen), (int(ensemble.left[t, node]), None)]
+            elif seen == MASK_LEAVES:
+                return False
+            else:
+                leaf[t, seen] = ensemble.value[t, node]
+                seen += 1
+    cuts = {f: np.unique([c for g, c, _, _ in splits if g == f]) for f in sorted({s[0] for s in splits})}
+    every = (1 << MASK_LEAVES) - 1
+    reach = {f: np.full((len(c) + 1, len(leaf)), every, dtype=np.uint16) for f, c in cuts.items()}
+    for f, cut, t, stay in splits:
+        reach[f][np.searchsorted(cuts[f], cut) + 1 :, t] &= np.uint16(stay & every)
+    sets = np.arange(every + 1)
+    lowest = np.zeros(every + 1, dtype=np.int64)
+    for i in reversed(range(MASK_LEAVES)):
+        lowest[sets >> i & 1 == 1] = i
+    return LeafMasks(cuts, reach, leaf, lowest)
+
 
 @dataclass
 class TreeEnsemble:
@@ -29,9 +82,25 @@ class TreeEnsemble:
     cover: np.ndarray
     scale: np.ndarray  # factor of each tree in the margin
     logistic: bool
+    _masks: LeafMasks | bool | None = field(default=None, repr=False, compare=False)  # made at the first use; False without
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_masks": None}  # each task makes its own
 
     def outputs(self, x: np.ndarray) -> np.ndarray:
         """The value of every row (rows) in every tree (columns)."""
+        if self._masks is None:
+            self._masks = leaf_masks(self)
+        if not self._masks:
+            return self._walked(x)
+        out = np.empty((len(x), len(self.scale)))
+        for start in range(0, len(x), ROWS_AT_ONCE):
+            part = slice(start, start + ROWS_AT_ONCE)
+            out[part] = self._masks.values(x[part])
+        return out
+
+    def _walked(self, x: np.ndarray) -> np.ndarray:
+        """The same by a walk down the trees, for trees of any size."""
         node = np.zeros((len(x), len(self.scale)), dtype=np.int64)
         tree = np.arange(len(self.scale))
         rows = np.arange(len(x))[:, None]
