@@ -264,10 +264,11 @@ def tree_importance(s, d):
 def local_surrogate(s, d):
     """Local rules of the production tree model for every customer."""
     name = serving_plan.tree_model(s, d)
-    f = training.fitted(s, d, name)
-    ensemble = load_ensemble(s, f.model, f.path)
     rows, names = training.splits(s, d, "churn"), training.columns(s, d)
-    bins = surrogate.fit_bins(rows.filter("split = 'train'"), names)
+    # The bins need no model, and the fit leaves cores idle between its many short stages.
+    f, bins = splits.in_parallel(lambda make: make(), [
+        lambda: training.fitted(s, d, name), lambda: surrogate.fit_bins(rows.filter("split = 'train'"), names)])
+    ensemble = load_ensemble(s, f.model, f.path)
     out = surrogate.local_surrogates(rows, bins, ensemble.probability)
     return out.select("customer_id", "churn_probability", "surrogate_score", F.inline("factors"))
 
